@@ -104,8 +104,7 @@ TRAFFIC = "sum(inc) AS request_rate, coalesce(sum(inc) FILTER (status_code LIKE
 def traffic_rates(spark, sf_dir):
     """Request and error rate from one scan of the counter."""
     inc = F.col("increase")
-    sums = {"request_rate": inc, "error_rate": F.when(rates.is_server_error("status_code"), inc).otherwise(0.0)}
-    # A step whose increases are all unknown has no error total either.
+    sums = {"request_rate": inc, "error_rate": F.coalesce(F.when(rates.is_server_error("status_code"), inc), F.lit(0.0))}
     rows = increases(spark, sf_dir)
     return rounded(rates.rate_on_grid(rows, SERIES, "ts", sums, window_s=3600, step_s=600))
 
