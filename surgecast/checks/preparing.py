@@ -95,13 +95,13 @@ def fill_remaining(spark, sf_dir):
     f"WITH {FRAME} "
     + " UNION ALL ".join(
         f"SELECT {KEYS}, '{m}' AS \"column\", count({m}) AS count, count(*) - count({m}) AS nulls, "
-        f"round_even((count(*) - count({m})) / count(*) * 100, 2) AS null_pct, round_even(avg({m}), 4) AS mean, "
-        f"round_even(stddev_samp({m}), 4) AS std, round_even(min({m}), 4) AS min, round_even(max({m}), 4) AS max FROM frame GROUP BY {KEYS}"
+        f"{r(f'(count(*) - count({m})) / count(*) * 100', 'null_pct')}, {r(f'avg({m})', 'mean')}, "
+        f"{r(f'stddev_samp({m})', 'std')}, {r(f'min({m})', 'min')}, {r(f'max({m})', 'max')} FROM frame GROUP BY {KEYS}"
         for m in METRICS
     ),
 )
 def quality_report(spark, sf_dir):
-    return cleaning.quality_report(frame(spark, sf_dir), SERIES, exclude=["ts"])
+    return rounded(cleaning.quality_report(frame(spark, sf_dir), SERIES, exclude=["ts"], round_values=False))
 
 
 @query("clean_frame", "E1 E3 E5 B4 B7", f"WITH {CLEANED} SELECT {KEYS}, ts, {rs(METRICS)} FROM cleaned")
@@ -299,14 +299,14 @@ def scaled_sql(method: str) -> str:
 P_COLS = ["data_min", "data_max", "scale", "min_", "mean", "var"]
 
 
-@query("fit_minmax", "G1 G7", f"WITH {CLEANED}, {params_sql('minmax')} SELECT {KEYS}, method, feature, {rs(P_COLS, 8)} FROM params")
+@query("fit_minmax", "G1 G7", f"WITH {CLEANED}, {params_sql('minmax')} SELECT {KEYS}, method, feature, {rs(P_COLS)} FROM params")
 def fit_minmax(spark, sf_dir):
-    return rounded(normalize.fit(cleaned(spark, sf_dir), SERIES, METRICS, "minmax"), 8)
+    return rounded(normalize.fit(cleaned(spark, sf_dir), SERIES, METRICS, "minmax"))
 
 
-@query("fit_standard", "G2 G7", f"WITH {CLEANED}, {params_sql('standard')} SELECT {KEYS}, method, feature, {rs(P_COLS, 8)} FROM params")
+@query("fit_standard", "G2 G7", f"WITH {CLEANED}, {params_sql('standard')} SELECT {KEYS}, method, feature, {rs(P_COLS)} FROM params")
 def fit_standard(spark, sf_dir):
-    return rounded(normalize.fit(cleaned(spark, sf_dir), SERIES, METRICS, "standard"), 8)
+    return rounded(normalize.fit(cleaned(spark, sf_dir), SERIES, METRICS, "standard"))
 
 
 @query("scale_minmax", "G3 G4", f"WITH {CLEANED} {scaled_sql('minmax')}")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import DAY, carry, micros, with_slot
+from ..plans.blocks import DAY, micros, neighbours
+from ..session import materialise
 
 # Clip width in deviations and the share of known values a column needs.
 OUTLIER_STD = 4.0
@@ -65,13 +66,10 @@ def interpolate(
     the known value next to it) are at most that far apart.
     """
     base = df.columns
-    rows = with_slot(df.withColumn("_us", micros(ts)), ts, slot_s)
-    known = {c: _known(c) for c in cols}
-    rows = carry(rows, keys, ts, {f"_prev_{c}": e for c, e in known.items()}, slot_s=slot_s)
-    rows = carry(rows, keys, ts, {f"_next_{c}": e for c, e in known.items()}, slot_s=slot_s, backward=True)
+    rows = neighbours(df.withColumn("_us", micros(ts)), keys, ts, {f"_{c}": _known(c) for c in cols}, slot_s=slot_s)
 
     def filled(c: str) -> Column:
-        prev, nxt, t = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col("_us")
+        prev, nxt, t = F.col(f"_{c}_prev"), F.col(f"_{c}_next"), F.col("_us")
         inside = prev["v"] + (nxt["v"] - prev["v"]) * (t - prev["t"]) / (nxt["t"] - prev["t"])
         gap = F.coalesce(nxt["t"], t) - F.coalesce(prev["t"], t)
         value = F.when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"]).otherwise(inside)
@@ -130,11 +128,9 @@ def fill_remaining(
     A column without any known value in its series stays NULL; its median is NULL too.
     """
     base = df.columns
-    rows = with_slot(df, ts, slot_s)
-    rows = carry(rows, keys, ts, {f"_prev_{c}": F.col(c) for c in cols}, slot_s=slot_s)
-    rows = carry(rows, keys, ts, {f"_next_{c}": F.col(c) for c in cols}, slot_s=slot_s, backward=True)
+    rows = neighbours(df, keys, ts, {f"_{c}": F.col(c) for c in cols}, slot_s=slot_s)
     return rows.select(
-        *[F.coalesce(f"_prev_{c}", f"_next_{c}").alias(c) if c in cols else F.col(c) for c in base]
+        *[F.coalesce(f"_{c}_prev", f"_{c}_next").alias(c) if c in cols else F.col(c) for c in base]
     )
 
 
@@ -152,22 +148,28 @@ def clean(
     """Validate, drop sparse columns, interpolate, clip and fill.
 
     Interpolation without a gap limit leaves NULLs only where a series has no value at
-    all, so the fill step has work only with a limit.
+    all, so the fill step has work only with a limit. The interpolated rows are written
+    once to the shared scratch folder.
     """
     df = validate_index(df, ts)
     cols = list(cols or numeric_columns(df, [*keys, ts]))
     df = drop_sparse_columns(df, cols, min_ratio)
     kept = [c for c in cols if c in df.columns]
-    df = interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s)
+    # Clipping reads its input twice, for the statistics and for the rows.
+    df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")
     df = clip_outliers(df, keys, kept, width)
     return df if max_gap_s is None else fill_remaining(df, keys, ts, kept, slot_s=slot_s)
 
 
-def quality_report(df: DataFrame, keys: Sequence[str] = (), *, exclude: Sequence[str] = ()) -> DataFrame:
+def quality_report(
+    df: DataFrame, keys: Sequence[str] = (), *, exclude: Sequence[str] = (), round_values: bool = True
+) -> DataFrame:
     """One row per column: known and missing values, share missing, mean, deviation, range.
 
-    Statistics of non-numeric columns are NULL; rounding is half-even.
+    Statistics of non-numeric columns are NULL. Rounding is half-even, to two places for the
+    percentage and four for the statistics.
     """
+    tidy = F.bround if round_values else lambda c, _: c
     keys = list(keys)
     cols = [c for c in df.columns if c not in {*keys, *exclude}]
     numeric = set(numeric_columns(df))
@@ -181,11 +183,11 @@ def quality_report(df: DataFrame, keys: Sequence[str] = (), *, exclude: Sequence
                 F.lit(c).alias("column"),
                 known.alias("count"),
                 missing.alias("nulls"),
-                F.bround(missing / F.count(F.lit(1)) * 100, 2).alias("null_pct"),
-                F.bround(F.avg(value), 4).alias("mean"),
-                F.bround(F.stddev_samp(value), 4).alias("std"),
-                F.bround(F.min(value), 4).alias("min"),
-                F.bround(F.max(value), 4).alias("max"),
+                tidy(missing / F.count(F.lit(1)) * 100, 2).alias("null_pct"),
+                tidy(F.avg(value), 4).alias("mean"),
+                tidy(F.stddev_samp(value), 4).alias("std"),
+                tidy(F.min(value), 4).alias("min"),
+                tidy(F.max(value), 4).alias("max"),
             ).alias(f"_r_{c}")
         )
     wide = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ..plans.blocks import (
     time_blocks,
     with_positions,
 )
+from ..session import materialise
 
 # Default metrics, window lengths, lags and averaging span.
 PRIMARY_METRICS = ["cpu_usage", "memory_usage", "request_rate", "response_latency_p99", "error_rate"]
@@ -73,11 +73,11 @@ def _ema_carry(placed: DataFrame, keys: list[str], cols: Sequence[str], alpha: f
     )
     shrink = decay**size
     terms = 1 + math.ceil(_UNDERFLOW / (-size * math.log(decay)))
-    w = Window.partitionBy(*keys).orderBy(BLOCK)
+    past = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-terms, -1)
 
     def carried(c: str) -> Column:
-        parts = [F.coalesce(F.lag(f"_end_{c}", m).over(w), F.lit(0.0)) * shrink ** (m - 1) for m in range(1, terms + 1)]
-        return reduce(lambda a, b: a + b, parts).alias(f"_carry_{c}")
+        fold = F.aggregate(F.collect_list(f"_end_{c}").over(past), F.lit(0.0), lambda acc, end: acc * shrink + end)
+        return fold.alias(f"_carry_{c}")
 
     return ends.select(*keys, BLOCK, *[carried(c) for c in cols])
 
@@ -118,6 +118,9 @@ def row_features(
     base = list(df.columns)
     placed = with_positions(df, keys, ts, order=order, slot_s=slot_s)
     back = max([n - 1 for n in rolling] + list(lags) + [1 if difference else 0, 0])
+    if ema_span:
+        # Read twice below: for the block totals and for the rows.
+        placed = materialise(placed, "numbered-rows")
     blocks = row_blocks(placed, size=block_rows, back=back)
     if ema_span:
         alpha = 2.0 / (ema_span + 1.0)

@@ -255,7 +255,8 @@ def fit_sequence(
         return pd.DataFrame({**head, "miss": [float(miss.sum())], "terms": [int(miss.size)]})
 
     # One coefficient row per block, not per data row.
-    per_block = blocks.select(*names).distinct().join(model.select(*keys, "coef"), keys)
+    block_names = blocks.select(*[F.col(c).alias(c) for c in names]).distinct()
+    per_block = block_names.join(model.select(*keys, "coef"), keys)
     schema = T.StructType([*[blocks.schema[c] for c in keys], T.StructField("miss", T.DoubleType()), T.StructField("terms", T.LongType())])
     missed = blocks.groupBy(*names).cogroup(per_block.groupBy(*names)).applyInPandas(errors, schema)
     quality = missed.groupBy(*keys).agg((F.sum("miss") / F.sum("terms")).alias("val_mae"))

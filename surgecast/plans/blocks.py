@@ -97,6 +97,45 @@ def carry(
     )
 
 
+def neighbours(
+    df: DataFrame, keys: Sequence[str], ts: str, values: Mapping[str, Column], *, slot_s: float = DAY
+) -> DataFrame:
+    """Add ``<name>_prev`` and ``<name>_next``, the nearest non-NULL values at or before and
+    at or after each row, with one summary and one join for both directions."""
+    keys = list(keys)
+    tagged = with_slot(df, ts, slot_s)
+    for name, expr in values.items():
+        tagged = tagged.withColumn(f"_in_{name}", expr)
+    rows = Window.partitionBy(*keys, SLOT)
+    past = rows.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    future = rows.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = tagged.select(
+        "*",
+        *[F.last(f"_in_{n}", ignorenulls=True).over(past).alias(f"_p_{n}") for n in values],
+        *[F.last(f"_in_{n}", ignorenulls=True).over(future).alias(f"_n_{n}") for n in values],
+    )
+    known = {n: F.when(F.col(f"_in_{n}").isNotNull(), F.col(ts)) for n in values}
+    ends = tagged.groupBy(*keys, SLOT).agg(
+        *[F.max_by(f"_in_{n}", known[n]).alias(f"_pe_{n}") for n in values],
+        *[F.min_by(f"_in_{n}", known[n]).alias(f"_ne_{n}") for n in values],
+    )
+    slots = Window.partitionBy(*keys)
+    before = slots.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    after = slots.orderBy(F.col(SLOT).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys,
+        SLOT,
+        *[F.last(f"_pe_{n}", ignorenulls=True).over(before).alias(f"_pf_{n}") for n in values],
+        *[F.last(f"_ne_{n}", ignorenulls=True).over(after).alias(f"_nf_{n}") for n in values],
+    )
+    joined = near.join(carried, [*keys, SLOT], "left")
+    return joined.select(
+        *df.columns,
+        *[F.coalesce(f"_p_{n}", f"_pf_{n}").alias(f"{n}_prev") for n in values],
+        *[F.coalesce(f"_n_{n}", f"_nf_{n}").alias(f"{n}_next") for n in values],
+    )
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantile import bucket_counts, quantile_from_counts
 from ..plans.blocks import floor_to, micros, running_sum
+from ..session import materialise
 
 SERIES = ["namespace", "deployment"]
 
@@ -130,5 +131,10 @@ def bin_samples(rows: DataFrame, step_s: int) -> DataFrame:
 
 
 def metrics_from_events(spark: SparkSession, sf_dir: str, step_s: int = 7200) -> DataFrame:
-    """The wide metrics frame: one row per (series, step), NULL where a step has no sample."""
-    return fill_grid(bin_samples(samples(spark, sf_dir), step_s), SERIES, "ts", step_s)
+    """The wide metrics frame: one row per (series, step), NULL where a step has no sample.
+
+    The bins, far smaller than the samples, are written once, so that the raw table is
+    scanned once however often the frame is used.
+    """
+    bins = materialise(bin_samples(samples(spark, sf_dir), step_s), "metric-bins")
+    return fill_grid(bins, SERIES, "ts", step_s)
