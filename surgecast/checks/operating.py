@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts, ensemble, lifecycle
+from ..plans import pipeline
 from ..session import materialise
 from ..sources.tables import SERIES, samples
 from .base import FRAME, KEYS, SAMPLES, floor_ts, frame, query, r, rounded, rs
@@ -320,3 +321,26 @@ def status_rollup(spark, sf_dir):
         frame(spark, sf_dir), predictions(spark, sf_dir), guarded(spark, sf_dir), promoted(spark, sf_dir), SERIES, "ts"
     )
     return rounded(out)
+
+
+# -- whole flows ------------------------------------------------------------------------
+
+
+def trained(spark, sf_dir):
+    return pipeline.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path="models")
+
+
+@query("training_run", "I1 I2 I5 I6 L1 L2 L5")
+def training_run(spark, sf_dir):
+    """Train, register and promote a version of both models for every deployment."""
+    out = trained(spark, sf_dir)
+    return out.registry.join(out.summary, SERIES).drop("metrics")
+
+
+@query("control_tick", "J1 J2 J3 J6 J7 K1 K2 K3 K4")
+def control_tick(spark, sf_dir):
+    """Train, forecast the next ten steps, and decide the replicas of every deployment."""
+    rows = frame(spark, sf_dir)
+    made = pipeline.predict(rows, SERIES, "ts", trained(spark, sf_dir), step_s=7200, lookback=24, horizon=10)
+    replicas = rows.groupBy(*SERIES).agg(F.max_by("ready_replicas", F.when(F.col("ready_replicas").isNotNull(), F.col("ts"))).cast("int").alias("current_replicas"))
+    return pipeline.decide(made, replicas, SERIES)

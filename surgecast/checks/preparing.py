@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, normalize, sequences
+from ..plans import pipeline
 from ..sources.tables import METRICS, SERIES, read_table
 from .base import BY, CLEANED, FRAME, INTERPOLATED, KEYS, PRIMARY, frame, query, r, rounded, rs
 
@@ -411,3 +412,22 @@ def inference_window(spark, sf_dir):
 )
 def chronological_split(spark, sf_dir):
     return sequences.chronological_split(frame(spark, sf_dir).select(*SERIES, "ts"), SERIES, "ts")
+
+
+# -- the whole preparation --------------------------------------------------------------
+
+SCALED = [*FEATURE_NAMES, "is_weekend"]
+
+
+@query(
+    "prepare_training_rows",
+    "F10 G1 G3 H3",
+    f"""WITH RECURSIVE {FEATURES},
+    split AS (SELECT *, row_number() OVER ({BY}) <= floor(count(*) OVER (PARTITION BY {KEYS}) * 0.8) AS is_train FROM features),
+    fitted AS (SELECT {KEYS}, {', '.join(f'min({n}) AS lo_{n}, max({n}) AS hi_{n}' for n in SCALED)} FROM split WHERE is_train GROUP BY {KEYS})
+    SELECT {KEYS}, ts, {', '.join(r(f'({n} - lo_{n}) / CASE WHEN hi_{n} > lo_{n} THEN hi_{n} - lo_{n} ELSE 1 END', n, 5) for n in SCALED)}
+    FROM split JOIN fitted USING ({KEYS})""",
+)
+def prepare_training_rows(spark, sf_dir):
+    """Clean, derive all features and scale them by the training part of each series."""
+    return rounded(pipeline.prepare(frame(spark, sf_dir), SERIES, "ts").rows, 5)

@@ -1,0 +1,154 @@
+"""The three end-to-end flows: prepare training data, train, and predict and decide."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
+from ..operators.decisions import DecisionConfig
+from ..session import materialise
+
+CALENDAR = ["hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Scaled feature rows, the fitted scaler parameters and the scaled columns."""
+
+    rows: DataFrame
+    params: DataFrame
+    columns: list[str]
+
+
+def prepare(
+    frame: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    *,
+    method: str = "minmax",
+    share: float = 0.8,
+    fit_on_all: bool = False,
+    min_ratio: float = cleaning.MIN_VALID_RATIO,
+) -> Prepared:
+    """Clean, derive features and scale.
+
+    The scaler learns from the first ``share`` of each series only, so that validation rows
+    do not leak into it; ``fit_on_all`` lets it see every row.
+    """
+    cleaned = cleaning.clean(frame, keys, ts, min_ratio=min_ratio)
+    # Fitting and scaling both read the feature rows.
+    featured = materialise(features.engineer(cleaned, keys, ts), "features")
+    columns = cleaning.numeric_columns(featured, [*keys, ts])
+    part = featured
+    if not fit_on_all:
+        part = sequences.chronological_split(featured, keys, ts, share=share).filter("is_train")
+    params = materialise(normalize.fit(part, keys, columns, method), "scaler")
+    return Prepared(normalize.transform(featured, params, keys, columns), params, columns)
+
+
+@dataclass(frozen=True)
+class Trained:
+    seasonal: DataFrame
+    sequence: DataFrame
+    scaler: DataFrame
+    columns: list[str]
+    registry: DataFrame
+    summary: DataFrame
+
+
+def train(
+    frame: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    *,
+    target: str = "cpu_usage",
+    lookback: int = 60,
+    horizon: int = 10,
+    min_hours: float = 72,
+    share: float = 0.8,
+    registry: DataFrame | None = None,
+    base_path: str = "models",
+    keep: int = lifecycle.KEEP_VERSIONS,
+) -> Trained:
+    """Train both models for every series, register, promote and prune a version each.
+
+    A series shorter than ``min_hours`` gets the seasonal model only.
+    """
+    keys = list(keys)
+    cleaned = materialise(cleaning.clean(frame, keys, ts), "cleaned")
+    hours = forecasting.long_enough(cleaned, keys, ts, min_hours)
+
+    seasonal = materialise(forecasting.fit_seasonal(cleaned, keys, ts, target), "seasonal")
+
+    columns = [c for c in features.PRIMARY_METRICS if c in cleaned.columns]
+    columns = list(dict.fromkeys([target, *columns])) + CALENDAR
+    eligible = cleaned.join(hours.filter("trains_sequence").select(*keys), keys, "left_semi")
+    rows = materialise(features.add_calendar(eligible, ts).select(*keys, ts, *columns), "sequence-rows")
+    flagged = sequences.chronological_split(rows, keys, ts, share=share).filter("is_train")
+    scaler = materialise(normalize.fit(flagged, keys, columns), "sequence-scaler")
+    scaled = materialise(normalize.transform(rows, scaler, keys, columns), "scaled-rows")
+    sequence = materialise(
+        forecasting.fit_sequence(scaled, keys, ts, columns, target, lookback=lookback, horizon=horizon, share=share), "sequence"
+    )
+
+    fitted = hours.join(seasonal.select(*keys, F.col("mae").alias("_seasonal")), keys, "left")
+    fitted = fitted.join(sequence.select(*keys, F.col("val_mae").alias("_sequence"), F.lit(True).alias("_has")), keys, "left")
+    summary = fitted.select(
+        *keys,
+        F.coalesce("_has", F.lit(False)).alias("sequence_trained"),
+        F.col("_seasonal").isNotNull().alias("seasonal_trained"),
+        F.round("hours", 1).alias("training_hours"),
+        F.col("_sequence").alias("sequence_val_mae"),
+        F.col("_seasonal").alias("seasonal_mae"),
+    )
+    summary = materialise(summary, "training-summary")
+    names = ["sequence_trained", "seasonal_trained", "training_hours", "sequence_val_mae", "seasonal_mae"]
+    newest = cleaned.groupBy(*keys).agg(F.max(ts).alias("created_at"))
+    metrics = F.create_map(*[part for n in names for part in (F.lit(n), F.col(n).cast("string"))])
+    runs = summary.join(newest, keys).select(*keys, "created_at", metrics.alias("metrics"))
+    versions = materialise(lifecycle.create_versions(registry, runs, keys, base_path), "versions")
+    versions = lifecycle.promote(versions, lifecycle.latest_choice(versions, keys), keys)
+    versions = materialise(lifecycle.prune(versions, keys, keep), "registry")
+    return Trained(seasonal, sequence, scaler, columns, versions, summary)
+
+
+def predict(
+    frame: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    models: Trained,
+    *,
+    target: str = "cpu_usage",
+    step_s: int = 60,
+    lookback: int = 60,
+    horizon: int = 10,
+    weights: DataFrame | None = None,
+) -> DataFrame:
+    """One prediction result per series for the steps after its last row."""
+    keys = list(keys)
+    cleaned = materialise(cleaning.clean(frame, keys, ts, slot_s=7 * 86400), "recent")
+    last = cleaned.groupBy(*keys).agg(F.max(ts).alias("cycle"))
+    grid = last.withColumnRenamed("cycle", ts)
+    seasonal = forecasting.forecast_seasonal(models.seasonal, grid, keys, ts, step_s=step_s, horizon=horizon)
+    seasonal = seasonal.select(
+        *keys, "h", F.col("yhat").alias("seasonal_pred"), F.col("yhat_lower").alias("lower"), F.col("yhat_upper").alias("upper")
+    )
+    scaled = normalize.transform(features.add_calendar(cleaned, ts), models.scaler, keys, models.columns)
+    windows = sequences.inference_window(scaled, keys, ts, models.columns, lookback=lookback).withColumnRenamed(ts, "ts")
+    steps = forecasting.forecast_sequence(models.sequence, windows, keys, horizon)
+    arrays = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "yhat"))).alias("_s"))
+    arrays = arrays.select(*keys, F.transform("_s", lambda s: s["yhat"]).alias("v"))
+    back = normalize.inverse_transform_array(arrays, models.scaler, keys, "v", target)
+    sequence = back.select(*keys, F.posexplode("v").alias("_i", "seq_pred")).select(*keys, (F.col("_i") + 1).alias("h"), "seq_pred")
+    both = ensemble.pair_forecasts(sequence, seasonal, [*keys, "h"]).join(last, keys)
+    return ensemble.combine(both, [*keys, "cycle"], weights, keys)
+
+
+def decide(predictions: DataFrame, replicas: DataFrame, keys: Sequence[str], config: DecisionConfig = DecisionConfig()) -> DataFrame:
+    """Decisions for prediction results, given ``replicas(series…, current_replicas)``."""
+    rows = predictions.join(replicas.select(*keys, "current_replicas"), list(keys))
+    return decisions.decide(rows, config)
