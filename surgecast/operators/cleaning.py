@@ -33,9 +33,14 @@ def validate_index(df: DataFrame, ts: str) -> DataFrame:
 
 
 def valid_columns(df: DataFrame, cols: Sequence[str], min_ratio: float = MIN_VALID_RATIO) -> list[str]:
-    """Columns whose share of known values reaches ``min_ratio``: one pass, one row back."""
+    """Columns whose share of known values reaches ``min_ratio``: one pass, one row back.
+
+    An empty frame keeps all its columns.
+    """
+    if not cols:
+        return []
     row = df.agg(*[F.avg(F.col(c).isNotNull().cast("int")).alias(c) for c in cols]).first()
-    return [c for c in cols if (row[c] or 0.0) >= min_ratio]
+    return [c for c in cols if row[c] is None or row[c] >= min_ratio]
 
 
 def drop_sparse_columns(df: DataFrame, cols: Sequence[str], min_ratio: float = MIN_VALID_RATIO) -> DataFrame:
@@ -155,6 +160,8 @@ def clean(
     cols = list(cols or numeric_columns(df, [*keys, ts]))
     df = drop_sparse_columns(df, cols, min_ratio)
     kept = [c for c in cols if c in df.columns]
+    if not kept:
+        return df
     # Clipping reads its input twice, for the statistics and for the rows.
     df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")
     df = clip_outliers(df, keys, kept, width)

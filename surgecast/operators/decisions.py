@@ -118,7 +118,7 @@ def rate_limit(df: DataFrame, guard: GuardConfig = GuardConfig()) -> DataFrame:
 
 def _jumps(t: np.ndarray, cooldown: int) -> np.ndarray:
     """Index of the first candidate outside the cooldown that each candidate would start."""
-    return np.searchsorted(t, t + cooldown, side="left")
+    return np.maximum(np.searchsorted(t, t + cooldown, side="left"), np.arange(1, len(t) + 1))
 
 
 def _slot_exits(cooldown: int, names: list[str]):
