@@ -202,7 +202,7 @@ def guard_decisions(spark, sf_dir):
 def raw_cooldown(spark, sf_dir):
     """Which raw events would run with a two-hour cooldown per event type."""
     rows = read_table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return decisions.executed_times(rows, ["event_type"], "ts", 7200).filter("_executed").drop("_executed")
+    return decisions.executed_times(rows, ["event_type"], "ts", 7200).drop("_executed")
 
 
 @query(

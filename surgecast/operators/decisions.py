@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.blocks import DAY, SLOT, carry, micros, with_slot
+from ..session import materialise
 from .ensemble import replicas_for
 
 
@@ -116,85 +114,65 @@ def rate_limit(df: DataFrame, guard: GuardConfig = GuardConfig()) -> DataFrame:
 # -- cooldown ---------------------------------------------------------------------------
 
 
-def _jumps(t: np.ndarray, cooldown: int) -> np.ndarray:
-    """Index of the first candidate outside the cooldown that each candidate would start."""
-    return np.maximum(np.searchsorted(t, t + cooldown, side="left"), np.arange(1, len(t) + 1))
-
-
-def _slot_exits(cooldown: int, names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        nxt = _jumps(t, cooldown)
-        last = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                last[i] = last[nxt[i]]
-        entries = min(len(t), int(np.searchsorted(t, pdf[SLOT].iloc[0] + cooldown, side="left")) + 1)
-        head = {n: [pdf[n].iloc[0]] for n in names}
-        return pd.DataFrame({**head, "entry": [t[:entries]], "exit": [last[:entries]]})
-
-    return run
-
-
-def _slot_starts(cooldown: int, names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLOT)
-        before, known = 0, False
-        seen, befores = [], []
-        for entry, leave in zip(pdf["entry"], pdf["exit"]):
-            befores.append(before if known else None)
-            i = int(np.searchsorted(entry, before + cooldown, side="left")) if known else 0
-            if i < len(entry):
-                before, known = int(leave[i]), True
-            seen.append(known)
-        out = pdf[names].copy()
-        out["_last_before"] = pd.array(befores, dtype="Int64")
-        return out
-
-    return run
-
-
-def _mark(cooldown: int, names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        t = pdf["_us"].to_numpy()
-        nxt = _jumps(t, cooldown)
-        before = pdf["_last_before"].iloc[0]
-        i = 0 if pd.isna(before) else int(np.searchsorted(t, int(before) + cooldown, side="left"))
-        taken = np.zeros(len(t), dtype=bool)
-        while i < len(t):
-            taken[i] = True
-            i = nxt[i]
-        out = pdf[names].copy()
-        out["_executed"] = taken
-        return out
-
-    return run
+_NEVER = -(2**62)
+
+
+def _pick(condition: Column, yes: Column, no: Column) -> Column:
+    return F.when(condition, yes).otherwise(no)
 
 
 def executed_times(
     candidates: DataFrame, keys: Sequence[str], ts: str, cooldown_s: int, *, slot_s: float = DAY
 ) -> DataFrame:
-    """Which candidate actions run when each one starts a cooldown.
+    """The candidate actions that run when each one that runs starts a cooldown.
 
     The choice depends on earlier choices. Per (series, slot) the last action is worked out
-    for every time the first one could start at; chaining these few rows over the slots
-    gives the state each slot starts from, and each slot is then marked on its own. So a
-    long series is spread over tasks, and the result equals one pass over the series.
+    for every time the first one could start at: the candidates of one cooldown and the
+    next one. Chaining these few entries over the slots of a series gives the state each
+    slot starts from, and each slot is then settled on its own. So a long series is spread
+    over tasks, and the result equals one pass over the series.
     """
     keys = list(keys)
-    cooldown = int(cooldown_s * 1_000_000)
+    cooldown = F.lit(int(cooldown_s * 1_000_000))
     rows = with_slot(candidates.select(*keys, ts).withColumn("_us", micros(ts)), ts, slot_s)
-    by_slot = T.StructType([rows.schema[c] for c in [*keys, SLOT]])
-    exits = T.StructType(
-        [*by_slot.fields, T.StructField("entry", T.ArrayType(T.LongType())), T.StructField("exit", T.ArrayType(T.LongType()))]
+    times = rows.groupBy(*keys, SLOT).agg(F.array_sort(F.collect_list("_us")).alias("_times"))
+    # Read twice: for the slot summaries and for the final pass.
+    times = materialise(times, "candidate-times")
+
+    last_from = lambda first: F.aggregate(
+        "_times", first, lambda last, t: _pick(t - last >= cooldown, t, last)
+    )
+    early = F.size(F.filter("_times", lambda t: t < F.col(SLOT) + cooldown))
+    entries = F.transform(
+        F.slice("_times", F.lit(1), early + 1), lambda e: F.struct(e.alias("entry"), last_from(e).alias("exit"))
+    )
+    summaries = times.select(*keys, F.struct(F.col(SLOT).alias("slot"), entries.alias("entries")).alias("_s"))
+
+    def chain(acc: Column, s: Column) -> Column:
+        usable = F.filter(s["entries"], lambda e: e["entry"] - acc["last"] >= cooldown)
+        state = F.struct(s["slot"].alias("slot"), acc["last"].alias("last"))
+        return F.struct(
+            F.coalesce(F.get(usable, F.lit(0))["exit"], acc["last"]).alias("last"),
+            F.concat(acc["states"], F.array(state)).alias("states"),
+        )
+
+    none = F.expr("cast(array() as array<struct<slot: bigint, last: bigint>>)")
+    start = F.struct(F.lit(_NEVER).alias("last"), none.alias("states"))
+    # One summary per slot and series, so the list is bounded by the slots of the time span.
+    states = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_all"))
+    states = states.select(*keys, F.explode(F.aggregate("_all", start, chain, lambda acc: acc["states"])).alias("_x"))
+    states = states.select(*keys, F.col("_x.slot").alias(SLOT), F.col("_x.last").alias("_last"))
+
+    settle = F.aggregate(
+        "_times",
+        F.struct(F.col("_last").alias("last"), F.expr("cast(array() as array<bigint>)").alias("ran")),
+        lambda acc, t: _pick(
+            t - acc["last"] >= cooldown, F.struct(t.alias("last"), F.concat(acc["ran"], F.array(t)).alias("ran")), acc
+        ),
+        lambda acc: acc["ran"],
     )
-    starts = T.StructType([*by_slot.fields, T.StructField("_last_before", T.LongType())])
-    marked = T.StructType([*[rows.schema[c] for c in [*keys, ts]], T.StructField("_executed", T.BooleanType())])
-    names = [*keys, SLOT]
-    summaries = rows.groupBy(*names).applyInPandas(_slot_exits(cooldown, names), exits)
-    state = summaries.groupBy(*keys).applyInPandas(_slot_starts(cooldown, names), starts)
-    return rows.join(state, names).groupBy(*names).applyInPandas(_mark(cooldown, [*keys, ts]), marked)
+    ran = times.join(states, [*keys, SLOT]).select(*keys, F.explode(settle).alias("_us"))
+    return ran.select(*keys, F.timestamp_micros("_us").alias(ts), F.lit(True).alias("_executed"))
 
 
 def guard_decisions(

@@ -45,11 +45,13 @@ def test_bins_over_many_batches_equal_batch(parts):
 def test_dedup_keeps_last_arrival_and_drops_late_rows(parts):
     t = pd.Timestamp("2026-01-01")
     m = lambda k: t + pd.Timedelta(minutes=k)
-    rows = [("a", m(0), 1, 1.0), ("a", m(1), 2, 2.0), ("a", m(0), 3, 9.0), ("a", m(60), 4, 4.0), ("a", m(0), 5, 77.0), ("a", m(120), 6, 6.0)]
-    stream, _ = parts(pd.DataFrame(rows, columns=["s", "ts", "seq", "v"]), 6)
+    # A batch drops rows by the watermark the batch before it ran with.
+    rows = [(0, 1.0), (1, 2.0), (0, 9.0), (60, 4.0), (61, 5.0), (0, 77.0), (120, 6.0)]
+    pdf = pd.DataFrame([("a", m(k), i, v) for i, (k, v) in enumerate(rows)], columns=["s", "ts", "seq", "v"])
+    stream, _ = parts(pdf, 7)
     out = ingest.dedup_last(stream.withWatermark("ts", "10 minutes"), ["s"], "seq")
     got = {(r["ts"].hour, r["ts"].minute): r["v"] for r in ingest.run_to_table(out, "t-dedup").collect()}
-    assert got == {(0, 0): 9.0, (0, 1): 2.0, (1, 0): 4.0}
+    assert got == {(0, 0): 9.0, (0, 1): 2.0, (1, 0): 4.0, (1, 1): 5.0}
 
 
 def test_guard_state_survives_batches(parts):
