@@ -18,12 +18,20 @@ def bucket_counts(value: Column, bounds: Sequence[float], prefix: str = "_le") -
 
 
 def quantile_from_counts(q: float, bounds: Sequence[float], prefix: str = "_le") -> Column:
-    """The quantile read from the columns :func:`bucket_counts` made."""
-    entries = [
-        F.struct(F.lit(b).cast("double").alias("le"), F.col(f"{prefix}{i}").alias("cum"))
-        for i, b in enumerate([*bounds, None])
-    ]
-    return histogram_quantile(q, F.array(*entries))
+    """The quantile read from the columns :func:`bucket_counts` made.
+
+    The bounds are known, so this is a plain chain of conditions that compiles to code; see
+    :func:`histogram_quantile` for the definition.
+    """
+    total = F.col(f"{prefix}{len(bounds)}")
+    rank = total * F.lit(float(q))
+    value, lower, below = None, F.lit(0.0), F.lit(0.0)
+    for i, bound in enumerate(bounds):
+        cum = F.col(f"{prefix}{i}")
+        inside = lower + (F.lit(float(bound)) - lower) * F.try_divide(rank - below, cum - below)
+        value = (F if value is None else value).when(cum >= rank, inside)
+        lower, below = F.lit(float(bound)), cum
+    return F.when(total > 0, value.otherwise(lower))
 
 
 def histogram_quantile(q: float, buckets: Column) -> Column:

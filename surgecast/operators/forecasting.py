@@ -115,6 +115,8 @@ def fit_seasonal(df: DataFrame, keys: Sequence[str], ts: str, target: str, *, sl
 
     trend_p = [1e-9, 1e-9] + [(NOISE_SCALE / CHANGEPOINT_PRIOR) ** 2] * CHANGEPOINTS
     season_p = [SEASON_PENALTY] * (2 * (DAILY_TERMS + WEEKLY_TERMS))
+    # Shuffle the narrow rows; the design arrays are built after it.
+    rows = rows.repartition(*keys, SLOT)
     both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts")), *_season_terms("ts")).alias("x"))
     first = ridge_fit(both, keys, "x", "y", trend_p + season_p)
     trend = materialise(first.select(*keys, F.slice("coef", 1, len(trend_p)).alias("trend")), "seasonal-trend")

@@ -68,8 +68,7 @@ def carry(
     """
     keys, order = list(keys), list(order or [ts])
     tagged = with_slot(df, ts, slot_s)
-    for name, expr in values.items():
-        tagged = tagged.withColumn(f"_in_{name}", expr)
+    tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     sort = _order(order) if not backward else [c.desc() for c in _order(order)]
     local = Window.partitionBy(*keys, SLOT).orderBy(*sort).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0
@@ -104,8 +103,7 @@ def neighbours(
     at or after each row, with one summary and one join for both directions."""
     keys = list(keys)
     tagged = with_slot(df, ts, slot_s)
-    for name, expr in values.items():
-        tagged = tagged.withColumn(f"_in_{name}", expr)
+    tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     rows = Window.partitionBy(*keys, SLOT)
     past = rows.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     future = rows.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -148,8 +146,7 @@ def running_sum(
     """Add running totals (the row included) per series for each expression in ``values``."""
     keys, order = list(keys), list(order or [ts])
     tagged = with_slot(df, ts, slot_s)
-    for name, expr in values.items():
-        tagged = tagged.withColumn(f"_in_{name}", expr)
+    tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     local = Window.partitionBy(*keys, SLOT).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, 0
     )

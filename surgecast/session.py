@@ -11,7 +11,6 @@ RUNTIME_CONF = {
     # Timestamps in metric tables are UTC.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -33,6 +32,8 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # One partition per local core; merging small ones would leave cores idle.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME_CONF.items():
