@@ -58,6 +58,7 @@ def main() -> None:
             if i:
                 taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken), 3)
+        session.clear_scratch(spark)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(

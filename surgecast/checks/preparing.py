@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, normalize, sequences
 from ..plans import pipeline
+from ..plans.blocks import slot_for
 from ..sources.tables import METRICS, SERIES, read_table
 from .base import BY, CLEANED, FRAME, INTERPOLATED, KEYS, PRIMARY, frame, query, r, rounded, rs
 
@@ -195,7 +196,8 @@ def _last_minutes(n):
 def rolling_time(spark, sf_dir):
     """Rolling statistics over true time on the irregular raw events of each user."""
     rows = read_table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    return rounded(features.rolling_time(rows, ["user_id"], "ts", ["value"], (60, 720)).drop("value"))
+    slot = slot_for(rows, ["user_id"], "ts")
+    return rounded(features.rolling_time(rows, ["user_id"], "ts", ["value"], (60, 720), block_s=slot).drop("value"))
 
 
 @query("rate_of_change", "F3", f"WITH {CLEANED} SELECT {KEYS}, ts, {select_rounded(difference_sql(PRIMARY))} FROM cleaned")
@@ -259,6 +261,7 @@ LINE_ORDER = "PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumb
 def supplier_features(spark, sf_dir):
     """Volume run: features over every order line of each supplier, in shipping order."""
     rows = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    slot = slot_for(rows, ["l_suppkey"], "l_shipdate")
     out = features.row_features(
         rows,
         ["l_suppkey"],
@@ -268,7 +271,7 @@ def supplier_features(spark, sf_dir):
         rolling=(5, 60),
         difference=True,
         lags=(60,),
-        slot_s=90 * 86400,
+        slot_s=slot,
     )
     return rounded(out.drop("l_shipdate", "l_quantity"))
 

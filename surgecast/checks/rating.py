@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rates
+from ..plans.blocks import slot_for
 from ..sources.tables import LATENCY_BOUNDS, SERIES, bucket_counter, samples, value_counter
 from .base import KEYS, SAMPLES, ceil_ts, query, quantile_case, r, rounded
 
@@ -50,7 +51,9 @@ def counter_increase(spark, sf_dir):
 )
 def counter_rate(spark, sf_dir):
     """The five-minute rate at every sample of a counter that restarts daily."""
-    out = rates.counter_rate(value_counter(spark, sf_dir), POD, "ts", "value", order=["ts", "seq"])
+    rows = value_counter(spark, sf_dir)
+    slot = slot_for(samples(spark, sf_dir), POD, "ts")
+    out = rates.counter_rate(rows, POD, "ts", "value", order=["ts", "seq"], slot_s=slot)
     return rounded(out.select("pod", "status_code", "ts", "seq", "rate"))
 
 

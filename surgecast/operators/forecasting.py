@@ -145,7 +145,7 @@ def score_seasonal(rows: DataFrame, model: DataFrame, keys: Sequence[str], ts: s
 
 def forecast_grid(last: DataFrame, keys: Sequence[str], ts: str, step_s: int, horizon: int) -> DataFrame:
     """The next ``horizon`` steps after each series' last timestamp."""
-    at = F.timestamp_micros(F.unix_micros(ts) + F.col("h") * F.lit(step_s * 1_000_000))
+    at = F.timestamp_micros(F.unix_micros(ts) + F.col("h").cast("long") * F.lit(step_s * 1_000_000))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
     return last.select(*keys, ts, steps).select(*keys, "h", at.alias(ts))
 

@@ -42,6 +42,27 @@ def with_slot(df: DataFrame, ts: str, width_s: float) -> DataFrame:
     return df if SLOT in df.columns else df.withColumn(SLOT, floor_to(micros(ts), width_s))
 
 
+# Candidate slot lengths in seconds, from a quarter to a minute.
+SLOT_LENGTHS = (90 * DAY, 30 * DAY, 7 * DAY, DAY, 21_600, 3_600, 900, 60)
+
+
+def slot_for(
+    df: DataFrame, keys: Sequence[str], ts: str, *, max_rows: int = 2_000_000, lengths: Sequence[int] = SLOT_LENGTHS
+) -> int:
+    """The longest slot of which the busiest one holds at most ``max_rows`` rows.
+
+    One pass counts rows per (series, shortest slot) map-side; the longer slots are summed
+    from those counts. If even the shortest slot holds more, it is returned.
+    """
+    shortest = min(lengths)
+    fine = df.groupBy(*keys, floor_to(micros(ts), shortest).alias(SLOT)).agg(F.count(F.lit(1)).alias("_n"))
+    wide = fine.select(*keys, SLOT, "_n", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in lengths])).alias("_len"))
+    start = F.col(SLOT) - F.pmod(F.col(SLOT), F.col("_len") * F.lit(1_000_000))
+    busiest = wide.groupBy(*keys, "_len", start.alias("_at")).agg(F.sum("_n").alias("_n")).groupBy("_len").agg(F.max("_n").alias("_n"))
+    fits = [row["_len"] for row in busiest.collect() if row["_n"] <= max_rows]
+    return max(fits, default=shortest)
+
+
 def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in order]
 

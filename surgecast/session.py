@@ -43,6 +43,16 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_created: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders this process made; call it when no result of them is needed."""
+    while _created:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_created.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names.
 
@@ -55,7 +65,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="surgecast-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _created.append(path)
+    return path
 
 
 def materialise(df, purpose: str):

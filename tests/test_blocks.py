@@ -107,3 +107,11 @@ def test_windows_never_partition_rows_by_series_alone(rows):
     placed = blocks.row_blocks(blocks.with_positions(df, ["s"], "ts", slot_s=HOUR), size=64, back=5)
     sizes = placed.groupBy("s", blocks.BLOCK).count().agg(F.max("count")).first()[0]
     assert sizes <= 64 + 5
+
+
+def test_slot_for_bounds_the_busiest_slot(rows):
+    pdf, df = rows
+    for limit in (5, 40, 10_000):
+        slot = blocks.slot_for(df, ["s"], "ts", max_rows=limit)
+        counts = {n: pdf.groupby(["s", pdf["us"] // (n * 1_000_000)]).size().max() for n in blocks.SLOT_LENGTHS}
+        assert slot == max([n for n, c in counts.items() if c <= limit], default=60)
