@@ -56,7 +56,7 @@ def naive_error(spark, sf_dir):
 @query(
     "long_enough",
     "I6",
-    f"""WITH {FRAME} SELECT {KEYS}, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000, 6) AS hours,
+    f"""WITH {FRAME} SELECT {KEYS}, {r('(epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000', 'hours')},
     (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000 >= 718 AS trains_sequence FROM frame GROUP BY ALL""",
 )
 def long_enough(spark, sf_dir):

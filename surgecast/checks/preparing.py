@@ -24,9 +24,7 @@ GAP = 8 * 3600
 @query(
     "interpolate_max_gap",
     "E2",
-    f"""WITH {INTERPOLATED} SELECT k.namespace, k.deployment, k.ts, round(CASE WHEN k.cpu_usage IS NOT NULL OR
-      coalesce(k.n_cpu_usage.t, epoch_us(k.ts)) - coalesce(k.p_cpu_usage.t, epoch_us(k.ts)) <= {GAP}::BIGINT * 1000000
-      THEN i.cpu_usage END, 6) AS cpu_usage
+    f"""WITH {INTERPOLATED} SELECT k.namespace, k.deployment, k.ts, {r(f'CASE WHEN k.cpu_usage IS NOT NULL OR coalesce(k.n_cpu_usage.t, epoch_us(k.ts)) - coalesce(k.p_cpu_usage.t, epoch_us(k.ts)) <= {GAP}::BIGINT * 1000000 THEN i.cpu_usage END', 'cpu_usage')}
     FROM known k JOIN interpolated i USING ({KEYS}, ts)""",
 )
 def interpolate_max_gap(spark, sf_dir):
@@ -57,9 +55,9 @@ def clip_counts(spark, sf_dir):
 @query(
     "clip_supplier_prices",
     "E3",
-    """WITH s AS (SELECT l_suppkey, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem GROUP BY ALL)
+    f"""WITH s AS (SELECT l_suppkey, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem GROUP BY ALL)
     SELECT l_suppkey, count(*) AS n, sum((l_extendedprice > m + 1.5 * d OR l_extendedprice < m - 1.5 * d)::INT)::BIGINT AS clipped,
-           round(sum(least(greatest(l_extendedprice, m - 1.5 * d), m + 1.5 * d)), 2) AS total
+           {r('sum(least(greatest(l_extendedprice, m - 1.5 * d), m + 1.5 * d))', 'total', 2)}
     FROM lineitem JOIN s USING (l_suppkey) GROUP BY ALL""",
 )
 def clip_supplier_prices(spark, sf_dir):
@@ -326,8 +324,9 @@ def scale_standard(spark, sf_dir):
 @query(
     "scale_whole_table",
     "G1 G3",
-    """SELECT l_orderkey, l_linenumber, round((l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()), 6) AS l_quantity,
-    round((l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ()), 6) + 0.0 AS l_discount FROM lineitem""",
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(r(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())", c) for c in ("l_quantity", "l_discount"))
+    + " FROM lineitem",
 )
 def scale_whole_table(spark, sf_dir):
     """One scaler for all order lines: a single row of parameters becomes literals."""
@@ -345,8 +344,8 @@ def inverse_scale(spark, sf_dir):
 @query(
     "inverse_scale_array",
     "G6",
-    f"""WITH {CLEANED} SELECT {KEYS}, round(min(cpu_usage), 6) AS at_zero, round(max(cpu_usage), 6) AS at_one,
-    round((min(cpu_usage) + max(cpu_usage)) / 2, 6) AS at_half FROM cleaned GROUP BY ALL""",
+    f"""WITH {CLEANED} SELECT {KEYS}, {r('min(cpu_usage)', 'at_zero')}, {r('max(cpu_usage)', 'at_one')},
+    {r('(min(cpu_usage) + max(cpu_usage)) / 2', 'at_half')} FROM cleaned GROUP BY ALL""",
 )
 def inverse_scale_array(spark, sf_dir):
     rows = cleaned(spark, sf_dir)
@@ -398,7 +397,7 @@ def training_windows(spark, sf_dir):
     "H2",
     f"""WITH {CLEANED}, recent AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ts DESC) AS back FROM cleaned),
     places AS (SELECT {KEYS}, ts AS last_ts, unnest(range(1, 501)) AS i FROM recent WHERE back = 1)
-    SELECT p.namespace, p.deployment, p.last_ts AS ts, p.i, round(coalesce(r.cpu_usage::FLOAT::DOUBLE, 0), 4) AS cpu_usage
+    SELECT p.namespace, p.deployment, p.last_ts AS ts, p.i, {r('coalesce(r.cpu_usage::FLOAT::DOUBLE, 0)', 'cpu_usage', 4)}
     FROM places p LEFT JOIN recent r ON r.namespace = p.namespace AND r.deployment = p.deployment AND r.back = 501 - p.i""",
 )
 def inference_window(spark, sf_dir):

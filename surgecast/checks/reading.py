@@ -105,7 +105,7 @@ def range_fetch(spark, sf_dir):
     "long_to_wide",
     "A6",
     f"""WITH {SAMPLES} SELECT {KEYS}, {floor_ts(3600)} AS ts,
-    {', '.join(f"round(sum(value) FILTER (status_code = '{s}'), 6) AS s{s}" for s in ('200', '201', '503'))}
+    {', '.join(r(f"sum(value) FILTER (status_code = '{s}')", f"s{s}") for s in ('200', '201', '503'))}
     FROM samples GROUP BY ALL""",
 )
 def long_to_wide(spark, sf_dir):
@@ -147,7 +147,7 @@ CATALOG_SQL = "catalog(metric, category, unit, critical) AS (VALUES " + ", ".joi
 @query(
     "tag_samples",
     "A9",
-    f"""WITH {LONG}, {CATALOG_SQL} SELECT metric, category, unit, critical, count(*) AS n, round(sum(value), 4) AS total
+    f"""WITH {LONG}, {CATALOG_SQL} SELECT metric, category, unit, critical, count(*) AS n, {r('sum(value)', 'total', 4)}
     FROM long JOIN catalog USING (metric) WHERE critical GROUP BY ALL""",
 )
 def tag_samples(spark, sf_dir):
@@ -174,7 +174,7 @@ def catalog_upsert(spark, sf_dir):
     "select_targets",
     "A10 B1",
     f"""WITH {SAMPLES}, targets AS (SELECT DISTINCT {KEYS} FROM samples WHERE value > 400)
-    SELECT {KEYS}, count(*) AS n, round(sum(value), 4) AS total FROM samples SEMI JOIN targets USING ({KEYS}) GROUP BY ALL""",
+    SELECT {KEYS}, count(*) AS n, {r('sum(value)', 'total', 4)} FROM samples SEMI JOIN targets USING ({KEYS}) GROUP BY ALL""",
 )
 def select_targets(spark, sf_dir):
     """Samples of the deployments that ever exceeded 400."""
@@ -258,7 +258,7 @@ def drop_null_rows(spark, sf_dir):
 @query(
     "numeric_columns",
     "B6",
-    "SELECT sum(o_orderkey)::BIGINT AS o_orderkey, sum(o_custkey)::BIGINT AS o_custkey, round(sum(o_totalprice), 2) AS o_totalprice FROM orders",
+    f"SELECT sum(o_orderkey)::BIGINT AS o_orderkey, sum(o_custkey)::BIGINT AS o_custkey, {r('sum(o_totalprice)', 'o_totalprice', 2)} FROM orders",
 )
 def numeric_columns(spark, sf_dir):
     """Totals of the numeric columns, found from the schema."""
