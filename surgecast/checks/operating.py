@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts, ensemble, lifecycle
-from ..plans import pipeline
+from ..plans import flows
 from ..session import materialise
 from ..sources.tables import SERIES, samples
 from .base import FRAME, KEYS, SAMPLES, floor_ts, frame, query, r, rounded, rs
@@ -327,7 +327,7 @@ def status_rollup(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    return pipeline.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path="models")
+    return flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path="models")
 
 
 @query("training_run", "I1 I2 I5 I6 L1 L2 L5")
@@ -341,6 +341,6 @@ def training_run(spark, sf_dir):
 def control_tick(spark, sf_dir):
     """Train, forecast the next ten steps, and decide the replicas of every deployment."""
     rows = frame(spark, sf_dir)
-    made = pipeline.predict(rows, SERIES, "ts", trained(spark, sf_dir), step_s=7200, lookback=24, horizon=10)
+    made = flows.predict(rows, SERIES, "ts", trained(spark, sf_dir), step_s=7200, lookback=24, horizon=10)
     replicas = rows.groupBy(*SERIES).agg(F.max_by("ready_replicas", F.when(F.col("ready_replicas").isNotNull(), F.col("ts"))).cast("int").alias("current_replicas"))
-    return pipeline.decide(made, replicas, SERIES)
+    return flows.decide(made, replicas, SERIES)

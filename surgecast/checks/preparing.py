@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, normalize, sequences
-from ..plans import pipeline
+from ..plans import flows
 from ..plans.blocks import slot_for
 from ..sources.tables import METRICS, SERIES, read_table
 from .base import BY, CLEANED, FRAME, INTERPOLATED, KEYS, PRIMARY, frame, query, r, rounded, rs
@@ -432,4 +432,4 @@ SCALED = [*FEATURE_NAMES, "is_weekend"]
 )
 def prepare_training_rows(spark, sf_dir):
     """Clean, derive all features and scale them by the training part of each series."""
-    return rounded(pipeline.prepare(frame(spark, sf_dir), SERIES, "ts").rows, 5)
+    return rounded(flows.prepare(frame(spark, sf_dir), SERIES, "ts").rows, 5)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surgecast.operators import forecasting, sequences
-from surgecast.plans import pipeline
+from surgecast.plans import flows
 
 STEP = 3600
 
@@ -85,11 +85,11 @@ def test_short_series_gets_no_sequence_model(history):
 
 def test_train_predict_decide(history):
     _, df = history
-    models = pipeline.train(df, ["s"], "ts", lookback=24, horizon=10)
+    models = flows.train(df, ["s"], "ts", lookback=24, horizon=10)
     assert all(r["is_active"] for r in models.registry.collect())
     assert all(r["sequence_trained"] and r["seasonal_trained"] for r in models.summary.collect())
-    made = pipeline.predict(df, ["s"], "ts", models, step_s=STEP, lookback=24, horizon=10)
+    made = flows.predict(df, ["s"], "ts", models, step_s=STEP, lookback=24, horizon=10)
     replicas = df.groupBy("s").agg(F.max("ready_replicas").cast("int").alias("current_replicas"))
-    rows = pipeline.decide(made, replicas, ["s"]).orderBy("s").collect()
+    rows = flows.decide(made, replicas, ["s"]).orderBy("s").collect()
     assert [len(r["predicted_values"]) for r in rows] == [10, 10]
     assert rows[0]["direction"] == "up" and rows[1]["recommended_replicas"] == 50
