@@ -9,7 +9,7 @@ from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import OWN, POS, block_window, own_rows, row_blocks, with_positions
 from ..session import materialise
 from ..sources.tables import SERIES, read_table
-from .base import BY, CLEANED, FRAME, KEYS, frame, query, r, rounded, rs
+from .base import BY, CLEANED, FRAME, KEYS, frame, query, rounded, rs
 from .preparing import cleaned
 
 # Decision inputs of every step: the peak is the mean of the last twelve rows plus half

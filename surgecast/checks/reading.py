@@ -8,7 +8,7 @@ from ..operators import buffer, cleaning, fetch
 from ..session import scratch_dir
 from ..sources import catalog, files
 from ..sources.tables import METRICS, SERIES, read_table, samples
-from .base import BINNED, BY, FRAME, KEYS, SAMPLES, STEP_S, floor_ts, frame, query, r, rounded, rs
+from .base import BINNED, FRAME, KEYS, SAMPLES, STEP_S, floor_ts, frame, query, r, rounded, rs
 
 AT = "2024-01-15 12:00:00"
 
