@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, substring_dedup, token_counts, toxicity
+from . import decontaminate, packing, pii, simhash, substring_dedup, token_counts, toxicity
 from .common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best window of every document for every benchmark item that it holds."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", F.round("similarity", 6).alias("similarity"))
