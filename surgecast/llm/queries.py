@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, simhash, substring_dedup, token_counts, toxicity
+from . import chat, decontaminate, embeddings_dedup, packing, pii, simhash, substring_dedup, token_counts, toxicity
 from .common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ joined AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, formatted_chars
 FROM joined"""
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return embeddings_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
