@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings_dedup, packing, pii, simhash, substring_dedup, token_counts, toxicity
+from . import chat, decontaminate, embeddings_dedup, packing, pii, quality, simhash, substring_dedup, token_counts, toxicity
 from .common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ FROM joined"""
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate group of every vector."""
     return embeddings_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled ones."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
