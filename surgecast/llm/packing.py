@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from .common import materialise, small_table
 MAX_LEN = 4096
 END_ID = 2
 #: Rows of one length that are ranked in one task.
-RANKED = 20_000
+RANKED = 2_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -30,29 +31,52 @@ def _exact(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+#: The pre-tokens of this vocabulary, as its file states them.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next free one from 256."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Words:
     """Token ids of white-space runs as little-endian bytes, kept for up to ``most`` runs.
 
-    This vocabulary's tokenizer drops white space and never merges across it, so a text's
-    ids are those of its runs in order. The most frequent runs are looked up, others are
-    encoded by the tokenizer itself.
+    This vocabulary's tokenizer drops white space and never merges across pre-tokens, so a
+    text's ids are those of its runs, and a run's ids those of its pre-tokens, in order.
+    Frequent runs and pre-tokens are looked up; others go through the tokenizer's own
+    merges, without its normaliser, which leaves ``_plain`` texts in lower case as they are.
     """
 
     def __init__(self, name: str, most: int = 400_000):
-        self.tokenizer, self.known, self.most = _exact(name), {}, most
+        self.tokenizer, self.most = _exact(name), most
+        self.model, self.letters, self.find = self.tokenizer.model, _byte_letters(), regex.compile(PRE_TOKENS).findall
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, word: str) -> bytes:
+        ids = self.parts.get(word)
+        if ids is None:
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = self.parts[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return ids
 
     def learn(self, runs: set[str]) -> None:
-        new = list(runs - self.known.keys())
+        new = runs - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(runs)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            new = runs
+        part, find = self.part, self.find
+        for w in new:
+            self.known[w] = b"".join(map(part, find(w)))
 
     def ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(2)
