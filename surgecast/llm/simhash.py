@@ -52,15 +52,19 @@ def fingerprint(text: str, words: int = 4, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of every row; nulls count as empty texts."""
+    """doc_id, tag (a hash of the text), fp (64 bits as a long) of every row; nulls count as empty texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t or "", words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fp, pa.int64())], names=["doc_id", "tag", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, fp long")
+
+
+def _tag():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def block_keys(fp: str, radius: int, kept: int = 2):
@@ -200,7 +204,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) of every row.
+    """doc_id, tag, fp, component_id (smallest doc_id reachable over links) and root of every row.
 
     Fingerprints link at ``radius`` or fewer differing bits. Equal fingerprints are one node,
     so copies are never paired. Texts that are null, empty or without words share the
@@ -212,12 +216,20 @@ def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS)
     roots = materialise(components(near_links(nodes.select("fp"), radius)), "roots")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "tag", "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, and those without one."""
+    """One row of ``docs`` for each group: the one with the smallest id, null ids last, then the smallest text hash.
+
+    Of rows that agree in id and text one stays.
+    """
     groups = near_duplicate_groups(docs, words, radius)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag")).alias("first")
+    chosen = materialise(groups.groupBy("root").agg(first), "chosen").select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
+    keyed = docs.withColumn("_tag", _tag())
+    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_tag"] == chosen["_tag"]), "left_semi")
+    if groups.groupBy("doc_id", "tag").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_tag"])
+    return kept.select(*docs.columns)
