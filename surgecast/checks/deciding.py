@@ -16,7 +16,7 @@ from .preparing import cleaned
 # their deviation, the confidence falls with the deviation, and the current replicas are
 # what the step before needed.
 INPUTS = f"""{CLEANED},
-needs AS (SELECT *, greatest(2, least(50, ceil(cpu_usage::FLOAT::DOUBLE / 0.7::DOUBLE)))::INT AS need FROM cleaned),
+needs AS (SELECT *, CASE WHEN cpu_usage IS NOT NULL AND NOT isnan(cpu_usage) THEN greatest(2, least(50, ceil(cpu_usage::FLOAT::DOUBLE / 0.7::DOUBLE)))::INT END AS need FROM cleaned),
 spread AS (
   SELECT {KEYS}, ts, avg(cpu_usage) OVER w AS m, coalesce(stddev_samp(cpu_usage) OVER w, 0) AS s,
          coalesce(lag(need) OVER ({BY}), 2)::INT AS current_replicas
@@ -41,14 +41,20 @@ def decision_inputs(spark, sf_dir):
 
 
 def decide_sql(source: str, util="0.7::DOUBLE", lo="2", hi="50", threshold="0.7", band="1", threshold_text="'0.7'") -> str:
-    need = f"CASE WHEN {util} > 0 THEN greatest({lo}, least({hi}, ceil(predicted_peak / {util})))::INT ELSE greatest({lo}, least({hi}, current_replicas))::INT END"
+    lost = "predicted_peak IS NULL OR isnan(predicted_peak)"
+    blind = "confidence IS NULL OR isnan(confidence)"
+    hold = f"{blind} OR confidence < {threshold} OR {lost} OR current_replicas IS NULL OR abs(need - current_replicas) <= {band}"
+    need = f"CASE WHEN {lost} THEN NULL WHEN {util} > 0 THEN greatest({lo}, least({hi}, ceil(predicted_peak / {util})))::INT ELSE greatest({lo}, least({hi}, current_replicas))::INT END"
     return f"""(SELECT *,
-      CASE WHEN confidence < {threshold} OR abs(need - current_replicas) <= {band} THEN current_replicas ELSE need END AS target_replicas,
-      CASE WHEN confidence < {threshold} OR abs(need - current_replicas) <= {band} THEN 'none' WHEN need > current_replicas THEN 'up' ELSE 'down' END AS direction,
-      CASE WHEN confidence < {threshold} THEN printf('Prediction confidence (%.2f) below threshold (%s)', confidence, {threshold_text})
+      CASE WHEN {hold} THEN current_replicas ELSE need END AS target_replicas,
+      CASE WHEN {hold} THEN 'none' WHEN need > current_replicas THEN 'up' ELSE 'down' END AS direction,
+      CASE WHEN {blind} THEN 'Prediction confidence is unknown'
+           WHEN confidence < {threshold} THEN printf('Prediction confidence (%.2f) below threshold (%s)', confidence, {threshold_text})
+           WHEN {lost} THEN 'Predicted peak is unknown'
+           WHEN current_replicas IS NULL THEN 'Current replicas are unknown'
            WHEN abs(need - current_replicas) <= {band} THEN printf('Target (%d) within dead-band of current (%d)', need, current_replicas)
            ELSE printf('Predicted peak %.2f requires %d replicas (target util %.0f%%), currently %d', predicted_peak, need, {util} * 100, current_replicas) END AS reason,
-      confidence >= {threshold} AS approved
+      NOT ({blind} OR confidence < {threshold} OR {lost} OR current_replicas IS NULL) AS approved
     FROM (SELECT *, {need} AS need FROM {source}))"""
 
 
@@ -81,7 +87,7 @@ def decide(spark, sf_dir):
     f"""WITH {FRAME}, peaks AS (SELECT {KEYS}, ts, max(cpu_usage) OVER ({BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::FLOAT::DOUBLE AS predicted_peak,
       request_rate FROM frame)
     SELECT {KEYS}, ts, {rs(['predicted_peak'], 5)}, {rs(['request_rate'])},
-      greatest(2, least(50, ceil(predicted_peak / 0.7::DOUBLE)))::INT AS replicas FROM peaks""",
+      CASE WHEN predicted_peak IS NULL THEN 2 ELSE greatest(2, least(50, ceil(predicted_peak / 0.7::DOUBLE)))::INT END AS replicas FROM peaks""",
 )
 def replicas_needed(spark, sf_dir):
     """Flagship: replicas each deployment needs for the peak of its last five steps."""
@@ -147,6 +153,26 @@ def orders_what_if(spark, sf_dir):
     return out.groupBy("config", "direction").agg(F.count(F.lit(1)).alias("cases"), F.sum("target_replicas").alias("replicas"))
 
 
+# Every third order lacks a peak, every fifth a confidence and every seventh a replica count; some are NaN.
+_ODD = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE (o_totalprice / 10000)::FLOAT::DOUBLE END AS predicted_peak,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'nan'::DOUBLE ELSE 0.2 + (o_custkey % 9) / 10.0::DOUBLE END AS confidence,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (2 + o_orderkey % 30)::INT END AS current_replicas FROM orders"""
+
+
+@query("unknown_inputs_hold", "K1 K2 K3 K4 J6", f"WITH inputs AS ({_ODD}) SELECT o_orderkey, target_replicas, direction, approved, reason FROM {decide_sql('inputs')}")
+def unknown_inputs_hold(spark, sf_dir):
+    """Orders as scaling cases of which many lack an input: those hold and are not approved."""
+    key, nan = F.col("o_orderkey"), F.lit(float("nan"))
+    cases = read_table(spark, sf_dir, "orders").select(
+        key,
+        F.when(key % 3 == 0, None).when(key % 11 == 0, nan).otherwise((F.col("o_totalprice") / 10000).cast("float").cast("double")).alias("predicted_peak"),
+        F.when(key % 5 == 0, None).when(key % 13 == 0, nan).otherwise(0.2 + (F.col("o_custkey") % 9) / 10.0).alias("confidence"),
+        F.when(key % 7 == 0, None).otherwise((2 + key % 30).cast("int")).alias("current_replicas"),
+    )
+    return decisions.decide(cases).select("o_orderkey", "target_replicas", "direction", "approved", "reason")
+
+
 @query(
     "rate_limit",
     "K6",

@@ -77,7 +77,8 @@ SEQ_FEATURES = ["cpu_usage", "request_rate", "error_rate"]
 
 def fitted_sequence(spark, sf_dir):
     rows = materialise(cleaned(spark, sf_dir).select(*SERIES, "ts", *SEQ_FEATURES), "sequence-rows")
-    params = materialise(normalize.fit(rows, SERIES, SEQ_FEATURES), "scaler")
+    train = sequences.chronological_split(rows, SERIES, "ts").filter("is_train")
+    params = materialise(normalize.fit(train, SERIES, SEQ_FEATURES), "scaler")
     scaled = normalize.transform(rows, params, SERIES, SEQ_FEATURES)
     model = forecasting.fit_sequence(scaled, SERIES, "ts", SEQ_FEATURES, "cpu_usage", lookback=24, horizon=HORIZON)
     return scaled, params, model
@@ -159,15 +160,15 @@ def pairs(spark, sf_dir):
 @query(
     "pair_forecasts",
     "J1",
-    f"""WITH {PAIRS}, a AS (SELECT {C}, h, seq_pred FROM pairs WHERE h % 3 <> 0),
-    b AS (SELECT {C}, h, seasonal_pred FROM pairs WHERE seasonal_pred IS NOT NULL AND h % 4 <> 0)
+    f"""WITH {PAIRS}, a AS (SELECT {C}, h, seq_pred FROM pairs WHERE seq_pred IS NOT NULL),
+    b AS (SELECT {C}, h, seasonal_pred FROM pairs WHERE seasonal_pred IS NOT NULL)
     SELECT {C}, h, {rs(['seq_pred', 'seasonal_pred'])} FROM a FULL JOIN b USING ({C}, h)""",
 )
 def pair_forecasts(spark, sf_dir):
     """Forecasts of two models that cover different steps, aligned."""
     rows = forecast_pairs(spark, sf_dir)
-    a = rows.filter("h % 3 <> 0").select(*CYCLE, "h", "seq_pred")
-    b = rows.filter("seasonal_pred is not null and h % 4 <> 0").select(*CYCLE, "h", "seasonal_pred")
+    a = rows.filter("seq_pred is not null").select(*CYCLE, "h", "seq_pred")
+    b = rows.filter("seasonal_pred is not null").select(*CYCLE, "h", "seasonal_pred")
     return rounded(ensemble.pair_forecasts(a, b, [*CYCLE, "h"]))
 
 

@@ -8,16 +8,15 @@ from ..operators import alerts, ensemble, lifecycle
 from ..plans import flows
 from ..session import materialise
 from ..sources.tables import SERIES, samples
-from .base import FRAME, KEYS, SAMPLES, floor_ts, frame, query, r, rounded, rs
+from .base import FRAME, KEYS, SAMPLES, ceil_ts, floor_ts, frame, query, r, rounded, rs
 from .deciding import AS_OF, GUARDED, INPUTS, decision_inputs, guarded
 from .forecasting import C, CYCLE, PAIRS, RESULTS, forecast_pairs
 
 # -- registry ---------------------------------------------------------------------------
 
-# A training run per series and day; staging stops training after the 20th.
+# A training run per series and day.
 RUNS = f"""{FRAME},
-runs AS (SELECT {KEYS}, max(ts) AS created_at, round(stddev_samp(cpu_usage) / 50, 6) AS mae FROM frame
-  WHERE namespace = 'prod' OR day(ts) <= 20 GROUP BY {KEYS}, date_trunc('day', ts)),
+runs AS (SELECT {KEYS}, max(ts) AS created_at, round(stddev_samp(cpu_usage) / 50, 6) AS mae FROM frame GROUP BY {KEYS}, date_trunc('day', ts)),
 registry AS (SELECT {KEYS}, n, 'v' || n || '_' || strftime(created_at, '%Y%m%d_%H%M%S') AS version, created_at, mae
   FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY created_at) AS n FROM runs)),
 best AS (SELECT {KEYS}, arg_min(version, (mae, n)) AS version FROM registry WHERE mae IS NOT NULL GROUP BY ALL),
@@ -25,8 +24,7 @@ promoted AS (SELECT r.*, coalesce(r.version = b.version, FALSE) AS is_active FRO
 
 
 def registry(spark, sf_dir):
-    rows = frame(spark, sf_dir).filter((F.col("namespace") == "prod") | (F.dayofmonth("ts") <= 20))
-    runs = rows.groupBy(*SERIES, F.date_trunc("day", "ts")).agg(
+    runs = frame(spark, sf_dir).groupBy(*SERIES, F.date_trunc("day", "ts")).agg(
         F.max("ts").alias("created_at"), F.round(F.stddev_samp("cpu_usage") / 50, 6).alias("mae")
     )
     runs = runs.select(*SERIES, "created_at", F.create_map(F.lit("mae"), F.col("mae").cast("string")).alias("metrics"))
@@ -99,6 +97,23 @@ def prune_versions(spark, sf_dir):
     return lifecycle.prune(promoted(spark, sf_dir), SERIES).select(*SERIES, "n", "version", "is_active")
 
 
+@query(
+    "versions_past_limit",
+    "L1 L2 L5",
+    f"""WITH {RUNS} SELECT {KEYS}, n, version, n = top AS is_active
+    FROM (SELECT *, max(n) OVER (PARTITION BY {KEYS}) AS top FROM registry WHERE n <= 8) WHERE n > top - 5""",
+)
+def versions_past_limit(spark, sf_dir):
+    """Eight trainings of every series with five versions kept: numbers go on and the newest is active."""
+    runs = registry(spark, sf_dir).select(*SERIES, "n", "created_at", "metrics")
+    kept = None
+    for i in range(1, 9):
+        kept = lifecycle.create_versions(kept, runs.filter(F.col("n") == i).drop("n"), SERIES, "models")
+        kept = lifecycle.promote(kept, lifecycle.latest_choice(kept, SERIES), SERIES)
+        kept = materialise(lifecycle.prune(kept, SERIES), "kept")
+    return kept.select(*SERIES, "n", "version", "is_active")
+
+
 # -- alerts -----------------------------------------------------------------------------
 
 
@@ -160,10 +175,13 @@ def frequent_events_alert(spark, sf_dir):
     "stale_model_alert",
     "M4",
     f"""WITH {RUNS} SELECT {KEYS}, max(created_at) AS last_trained,
-    (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(created_at))) / 1000000 AS age_seconds FROM registry GROUP BY ALL HAVING age_seconds > 172800""",
+    (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(created_at))) / 1000000 AS age_seconds FROM registry
+    WHERE namespace = 'prod' OR day(created_at) <= 20 GROUP BY ALL HAVING age_seconds > 172800""",
 )
 def stale_model_alert(spark, sf_dir):
-    return alerts.stale_models(registry(spark, sf_dir), SERIES, AS_OF)
+    """Staging is taken to have stopped training after the 20th."""
+    rows = registry(spark, sf_dir).filter((F.col("namespace") == "prod") | (F.dayofmonth("created_at") <= 20))
+    return alerts.stale_models(rows, SERIES, AS_OF)
 
 
 @query(
@@ -225,7 +243,7 @@ _NAMES = {"recommended": "status_code = '200'", "ready": "status_code = '201'",
     "replica_alignment",
     "M7 C10",
     f"""WITH {SAMPLES}, {', '.join(_asof(n, c) for n, c in _NAMES.items())},
-    ends AS (SELECT {KEYS}, {floor_ts(3600, 'min(ts)')} + INTERVAL 1 HOUR AS lo, max(ts) AS hi FROM samples GROUP BY ALL),
+    ends AS (SELECT {KEYS}, {ceil_ts(3600, 'min(ts)')} AS lo, max(ts) AS hi FROM samples GROUP BY ALL),
     points AS (SELECT {KEYS}, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM ends)
     SELECT p.namespace, p.deployment, p.ts, {', '.join(f'{n}.value AS {n}' for n in _NAMES)} FROM points p
     {' '.join(f'ASOF LEFT JOIN {n} ON {n}.namespace = p.namespace AND {n}.deployment = p.deployment AND p.ts >= {n}.ts' for n in _NAMES)}""",

@@ -242,6 +242,19 @@ def engineer_features(spark, sf_dir):
     return rounded(features.engineer(cleaned(spark, sf_dir), SERIES, "ts"))
 
 
+@query(
+    "features_with_missing_metric",
+    "B4 F10",
+    f"""WITH {FRAME}, sizes AS (SELECT {KEYS}, count(*) - 60 AS n FROM frame GROUP BY ALL)
+    SELECT {KEYS}, n, n AS with_cpu, CASE WHEN namespace = 'prod' THEN n ELSE 0 END AS with_errors FROM sizes WHERE n > 0""",
+)
+def features_with_missing_metric(spark, sf_dir):
+    """Staging reports no error rate: its other features survive, and every row with full history."""
+    rows = frame(spark, sf_dir).withColumn("error_rate", F.when(F.col("namespace") == "prod", F.col("error_rate")))
+    out = features.engineer(cleaning.clean(rows, SERIES, "ts"), SERIES, "ts")
+    return out.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count("cpu_usage_ema_30").alias("with_cpu"), F.count("error_rate_ema_30").alias("with_errors"))
+
+
 LINE_ORDER = "PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber"
 
 

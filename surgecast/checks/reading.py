@@ -8,7 +8,7 @@ from ..operators import buffer, cleaning, fetch
 from ..session import scratch_dir
 from ..sources import catalog, files
 from ..sources.tables import METRICS, SERIES, read_table, samples
-from .base import BINNED, FRAME, KEYS, SAMPLES, STEP_S, floor_ts, frame, query, r, rounded, rs
+from .base import BINNED, FRAME, KEYS, SAMPLES, STEP_S, ceil_ts, floor_ts, frame, query, r, rounded, rs
 
 AT = "2024-01-15 12:00:00"
 
@@ -86,7 +86,7 @@ def snapshot(spark, sf_dir):
 
 
 GRID_1H = f"""bounds AS (
-  SELECT {KEYS}, metric, {floor_ts(3600, 'min(ts)')} + INTERVAL 1 HOUR AS lo, max(ts) AS hi FROM long GROUP BY ALL),
+  SELECT {KEYS}, metric, {ceil_ts(3600, 'min(ts)')} AS lo, max(ts) AS hi FROM long GROUP BY ALL),
 points AS (SELECT {KEYS}, metric, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM bounds),
 ends AS (
   SELECT {KEYS}, metric, ts, value FROM long
@@ -95,6 +95,8 @@ stepped AS (
   SELECT p.namespace, p.deployment, p.metric, p.ts, e.value FROM points p
   ASOF LEFT JOIN ends e ON p.namespace = e.namespace AND p.deployment = e.deployment AND p.metric = e.metric AND p.ts >= e.ts)"""
 
+GRID_72H = GRID_1H.replace(f"{ceil_ts(3600, 'min(ts)')} AS lo, max(ts) AS hi", f"TIMESTAMP '{AT}' - INTERVAL 72 HOURS AS lo, TIMESTAMP '{AT}' AS hi")
+
 
 @query("range_fetch", "A5", f"WITH {LONG}, {GRID_1H} SELECT {KEYS}, metric, ts, value FROM stepped")
 def range_fetch(spark, sf_dir):
@@ -120,9 +122,9 @@ def long_to_wide(spark, sf_dir):
     "backfill",
     "A7",
     f"""WITH {LONG.replace('long AS', 'every_sample AS')},
-    long AS (SELECT * FROM every_sample WHERE ts >= TIMESTAMP '{AT}' - INTERVAL 72 HOURS AND ts <= TIMESTAMP '{AT}'), {GRID_1H}
+    long AS (SELECT * FROM every_sample WHERE ts >= TIMESTAMP '{AT}' - INTERVAL 96 HOURS AND ts <= TIMESTAMP '{AT}'), {GRID_72H}
     SELECT {KEYS}, ts, {', '.join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in LONG_METRICS)}
-    FROM stepped GROUP BY ALL""",
+    FROM stepped WHERE value IS NOT NULL GROUP BY ALL""",
 )
 def backfill(spark, sf_dir):
     return fetch.backfill(

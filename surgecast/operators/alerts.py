@@ -58,6 +58,14 @@ def stale_models(registry: DataFrame, keys: Sequence[str], at, limit_s: float =
     age = (micros(F.lit(at).cast("timestamp")) - micros("last_trained")) / 1_000_000
     return last.withColumn("age_seconds", age).filter(F.col("age_seconds") > limit_s)
 
+# Titles and messages of alert rows.
+TITLE_SCALING = "Scaling %s: %d → %d replicas"
+TEXT_SCALING = "A *%s* scaling event was triggered."
+TITLE_DRIFT = "Model Drift Detected"
+TEXT_DRIFT = "Prediction MAE (%.4f) exceeds threshold (%.4f). Consider retraining the model."
+TITLE_CONFIDENCE = "Low Prediction Confidence"
+TEXT_CONFIDENCE = "Prediction confidence has dropped to %.1f%%."
+
 
 def _percent(value: Column) -> Column:
     return F.format_string("%.1f%%", value * 100)
@@ -69,8 +77,8 @@ def scaling_alerts(events: DataFrame, keys: Sequence[str], ts: str) -> DataFrame
     return events.select(
         *keys,
         ts,
-        F.format_string("Scaling %s: %d → %d replicas", F.upper("direction"), current, target).alias("title"),
-        F.format_string("A *%s* scaling event was triggered.", F.col("direction")).alias("message"),
+        F.format_string(TITLE_SCALING, F.upper("direction"), current, target).alias("title"),
+        F.format_string(TEXT_SCALING, F.col("direction")).alias("message"),
         F.when(F.col("direction") == "up", "info").otherwise("warning").alias("severity"),
         F.create_map(
             F.lit("Current Replicas"), current.cast("string"),
@@ -82,12 +90,11 @@ def scaling_alerts(events: DataFrame, keys: Sequence[str], ts: str) -> DataFrame
 
 def drift_alerts(errors: DataFrame, keys: Sequence[str], ts: str, limit: float = HIGH_ERROR) -> DataFrame:
     """Alert rows where the error exceeds the limit."""
-    text = "Prediction MAE (%.4f) exceeds threshold (%.4f). Consider retraining the model."
     return errors.filter(F.col("mae") > limit).select(
         *keys,
         ts,
-        F.lit("Model Drift Detected").alias("title"),
-        F.format_string(text, F.col("mae"), F.lit(limit)).alias("message"),
+        F.lit(TITLE_DRIFT).alias("title"),
+        F.format_string(TEXT_DRIFT, F.col("mae"), F.lit(limit)).alias("message"),
         F.lit("warning").alias("severity"),
         F.create_map(
             F.lit("Current MAE"), F.format_string("%.4f", F.col("mae")),
@@ -98,12 +105,11 @@ def drift_alerts(errors: DataFrame, keys: Sequence[str], ts: str, limit: float =
 
 def confidence_alerts(predictions: DataFrame, keys: Sequence[str], ts: str, limit: float = LOW_CONFIDENCE) -> DataFrame:
     """Alert rows where the confidence is below the limit."""
-    text = "Prediction confidence has dropped to %.1f%%."
     return predictions.filter(F.col("confidence") < limit).select(
         *keys,
         ts,
-        F.lit("Low Prediction Confidence").alias("title"),
-        F.format_string(text, F.col("confidence") * 100).alias("message"),
+        F.lit(TITLE_CONFIDENCE).alias("title"),
+        F.format_string(TEXT_CONFIDENCE, F.col("confidence") * 100).alias("message"),
         F.lit("warning").alias("severity"),
         F.create_map(F.lit("Confidence"), _percent(F.col("confidence"))).alias("metadata"),
     )

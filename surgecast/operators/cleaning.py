@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import DAY, micros, neighbours
+from ..plans.blocks import DAY, join_series, micros, neighbours
 from ..session import materialise
 
 # Clip width in deviations and the share of known values a column needs.
@@ -48,6 +48,23 @@ def drop_sparse_columns(df: DataFrame, cols: Sequence[str], min_ratio: float = M
     return df.select(*[c for c in df.columns if c not in cols or c in keep])
 
 
+def mask_sparse(df: DataFrame, keys: Sequence[str], cols: Sequence[str], min_ratio: float = MIN_VALID_RATIO) -> tuple[DataFrame, list[str]]:
+    """Decide each column in each series: where too little is known it becomes NULL throughout.
+
+    Also returns the columns that some series keeps; the others leave the frame. One
+    aggregate gives a row per series; an empty frame keeps all its columns.
+    """
+    if not cols:
+        return df, []
+    share = df.groupBy(*keys).agg(*[(F.avg(F.col(c).isNotNull().cast("int")) >= min_ratio).alias(f"_ok_{c}") for c in cols])
+    share = materialise(share, "known-share")
+    row = share.agg(*[F.max(f"_ok_{c}").alias(c) for c in cols]).first()
+    kept = [c for c in cols if row[c] is None or row[c]]
+    masked = join_series(df, share, keys)
+    value = {c: F.when(F.col(f"_ok_{c}"), F.col(c)) for c in kept}
+    return masked.select(*[value[c].alias(c) if c in value else F.col(c) for c in df.columns if c not in cols or c in kept]), kept
+
+
 def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna()
 
@@ -110,7 +127,7 @@ def clip_outliers(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: float = OUTLIER_STD
 ) -> DataFrame:
     """Clip each column to its limits; statistics include the outliers, NULLs stay NULL."""
-    limited = df.join(clip_limits(df, keys, cols, width), list(keys))
+    limited = join_series(df, clip_limits(df, keys, cols, width), keys)
     return limited.select(*[_clipped(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
@@ -118,7 +135,7 @@ def clip_counts(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: float = OUTLIER_STD
 ) -> DataFrame:
     """How many values per series and column the clipping would change."""
-    limited = df.join(clip_limits(df, keys, cols, width), list(keys))
+    limited = join_series(df, clip_limits(df, keys, cols, width), keys)
     counts = limited.groupBy(*keys).agg(
         *[F.sum(F.when(F.col(c) != _clipped(c), 1).otherwise(0)).alias(c) for c in cols]
     )
@@ -152,14 +169,15 @@ def clean(
 ) -> DataFrame:
     """Validate, drop sparse columns, interpolate, clip and fill.
 
+    Whether a column is too sparse is decided in each series (see ``mask_sparse``).
+
     Interpolation without a gap limit leaves NULLs only where a series has no value at
     all, so the fill step has work only with a limit. The interpolated rows are written
     once to the shared scratch folder.
     """
     df = validate_index(df, ts)
     cols = list(cols or numeric_columns(df, [*keys, ts]))
-    df = drop_sparse_columns(df, cols, min_ratio)
-    kept = [c for c in cols if c in df.columns]
+    df, kept = mask_sparse(df, keys, cols, min_ratio)
     if not kept:
         return df
     # Clipping reads its input twice, for the statistics and for the rows.

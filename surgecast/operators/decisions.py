@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.blocks import DAY, SLOT, carry, micros, with_slot
 from ..session import materialise
-from .ensemble import replicas_for
+from .ensemble import replicas_for, unknown
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,9 @@ class GuardConfig:
 # Reason formats.
 REASON_CONFIDENCE = "Prediction confidence (%.2f) below threshold (%s)"
 REASON_DEAD_BAND = "Target (%d) within dead-band of current (%d)"
+REASON_NO_CONFIDENCE = "Prediction confidence is unknown"
+REASON_NO_PEAK = "Predicted peak is unknown"
+REASON_NO_REPLICAS = "Current replicas are unknown"
 REASON_SCALE = "Predicted peak %.2f requires %d replicas (target util %.0f%%), currently %d"
 SUFFIX_COOLDOWN = " | BLOCKED: cooldown (%.1fs remaining)"
 SUFFIX_UP = " | Rate-limited: capped at +%d"
@@ -51,24 +54,30 @@ def decide(df: DataFrame, config: DecisionConfig = DecisionConfig()) -> DataFram
     """Add ``target_replicas``, ``direction``, ``reason`` and ``approved`` to rows with
     ``predicted_peak``, ``confidence`` and ``current_replicas``.
 
-    Low confidence holds and is not approved; a need within the dead band holds and is.
+    Low confidence holds and is not approved; a need within the dead band holds and is. An
+    unknown (NULL or NaN) confidence, peak or replica count holds and is not approved.
     """
     peak, conf, current = F.col("predicted_peak"), F.col("confidence"), F.col("current_replicas").cast("int")
     threshold, util = _col(config.confidence_threshold), _col(config.target_utilization)
     need = replicas_for(peak, util, config.min_replicas, config.max_replicas, idle=current)
-    low = conf < threshold
+    blind = unknown(conf)
+    low = ~blind & (conf < threshold)
+    lost = blind | unknown(peak) | current.isNull()
     near = F.abs(F.col("_need") - current) <= _col(config.dead_band)
-    hold = low | near
+    hold = low | lost | near
     return (
         df.withColumn("_need", need)
         .withColumns(
             {
                 "target_replicas": F.when(hold, current).otherwise(F.col("_need")),
                 "direction": F.when(hold, "none").when(F.col("_need") > current, "up").otherwise("down"),
-                "reason": F.when(low, F.format_string(REASON_CONFIDENCE, conf, threshold.cast("string")))
+                "reason": F.when(blind, REASON_NO_CONFIDENCE)
+                .when(low, F.format_string(REASON_CONFIDENCE, conf, threshold.cast("string")))
+                .when(unknown(peak), REASON_NO_PEAK)
+                .when(current.isNull(), REASON_NO_REPLICAS)
                 .when(near, F.format_string(REASON_DEAD_BAND, F.col("_need"), current))
                 .otherwise(F.format_string(REASON_SCALE, peak, F.col("_need"), util * 100, current)),
-                "approved": ~low,
+                "approved": ~(low | lost),
             }
         )
         .drop("_need")

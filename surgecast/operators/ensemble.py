@@ -31,8 +31,9 @@ def pair_forecasts(seq: DataFrame, seasonal: DataFrame, on: Sequence[str]) -> Da
 def blend(df: DataFrame, weights: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
     """Add ``blended``: the weighted sum, or the only forecast there is.
 
-    ``weights(on…, seq_weight, seasonal_weight)`` overrides the starting weights. A row
-    without any forecast is an error.
+    ``weights(on…, seq_weight, seasonal_weight)``, one row for each value of ``on``,
+    overrides the starting weights; see ``latest_weights``. A row without any forecast is
+    an error.
     """
     if weights is not None:
         df = df.join(weights.select(*on, "seq_weight", "seasonal_weight"), list(on), "left")
@@ -44,7 +45,7 @@ def blend(df: DataFrame, weights: DataFrame | None = None, on: Sequence[str] = (
     value = (
         F.when(a.isNotNull() & b.isNotNull(), ws * a + wp * b)
         .when(a.isNotNull() | b.isNotNull(), F.coalesce(a, b))
-        .otherwise(F.raise_error(F.lit("At least one model prediction is required.")).cast("double"))
+        .otherwise(F.raise_error(F.lit("a step without any forecast cannot be blended")).cast("double"))
     )
     return df.withColumns({"seq_weight": ws, "seasonal_weight": wp, "blended": value})
 
@@ -70,12 +71,22 @@ def confidence() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-width / level)))
 
 
+def unknown(value: Column) -> Column:
+    """NULL or NaN."""
+    return value.isNull() | F.isnan(value.cast("double"))
+
+
 def replicas_for(peak: Column, utilization=TARGET_UTILIZATION, lo=MIN_REPLICAS, hi=MAX_REPLICAS, idle: Column | None = None) -> Column:
-    """Replicas that keep the peak at the target utilisation, within bounds."""
+    """Replicas that keep the peak at the target utilisation, within bounds.
+
+    NULL for an unknown peak (NULL or NaN): ``least`` and ``greatest`` skip NULLs, so the
+    bounds alone would make the maximum of it.
+    """
     util = utilization if isinstance(utilization, Column) else F.lit(float(utilization))
     need = F.when(util > 0, F.ceil(F.try_divide(peak, util))).otherwise(idle if idle is not None else F.lit(1))
     bound = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.greatest(bound(lo), F.least(bound(hi), need)).cast("int")
+    known = ~unknown(peak) & need.isNotNull()
+    return F.when(known, F.greatest(bound(lo), F.least(bound(hi), need))).cast("int")
 
 
 def urgency(first: Column, last: Column, n: Column) -> Column:
@@ -158,6 +169,16 @@ def adaptive_weights(
     )
 
 
+def latest_weights(weights: DataFrame, keys: Sequence[str], cycle_ts: str, before=None) -> DataFrame:
+    """The weights of each series after its last cycle (before a time, if given): one row per series.
+
+    What ``combine`` and ``blend`` take with ``on=keys``.
+    """
+    if before is not None:
+        weights = weights.filter(F.col(cycle_ts) < F.lit(before).cast("timestamp"))
+    return weights.groupBy(*keys).agg(*[F.max_by(c, cycle_ts).alias(c) for c in ("seq_weight", "seasonal_weight")])
+
+
 def combiner_stats(errors: DataFrame, weights: DataFrame, keys: Sequence[str], cycle_ts: str, window: int = ERROR_WINDOW) -> DataFrame:
     """Current weights, mean errors and history lengths per series."""
     sizes = errors.groupBy(*keys).agg(

@@ -15,6 +15,7 @@ from ..plans.blocks import (
     OWN,
     POS,
     block_window,
+    join_series,
     micros,
     own_rows,
     row_blocks,
@@ -178,7 +179,11 @@ def engineer(
     slot_s: float = 30 * DAY,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """All features of every primary metric present, then rows with any NULL dropped."""
+    """All features of every primary metric present, then rows with any NULL dropped.
+
+    A column without any value in a series is not asked for there: its features stay NULL
+    and the other features of that series survive.
+    """
     present = [c for c in primary if c in df.columns]
     featured = row_features(
         df,
@@ -192,4 +197,16 @@ def engineer(
         slot_s=slot_s,
         block_rows=block_rows,
     )
-    return add_calendar(featured, ts).dropna()
+    made = [c for c in featured.columns if c not in df.columns]
+    base = [c for c in df.columns if c not in {*keys, ts}]
+    # A feature belongs to the longest column name that it holds.
+    source = {m: max([c for c in base if c in m], key=len) for m in made} | {c: c for c in base}
+    has = df.groupBy(*keys).agg(*[(F.count(c) > 0).alias(f"_has_{c}") for c in base])
+    rows = join_series(add_calendar(featured, ts), has, keys)
+    floating = {f.name for f in featured.schema if f.dataType.typeName() in ("double", "float")}
+    complete = F.lit(True)
+    for name, c in source.items():
+        known = F.col(name).isNotNull() & ~F.isnan(name) if name in floating else F.col(name).isNotNull()
+        complete = complete & (known | ~F.col(f"_has_{c}"))
+    out = rows.filter(complete)
+    return out.select(*[F.when(F.col(f"_has_{source[c]}"), F.col(c)).alias(c) if c in made else F.col(c) for c in out.columns if not c.startswith("_has_")])

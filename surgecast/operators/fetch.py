@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import DAY, carry, floor_to, micros
+from ..plans.blocks import DAY, carry, ceil_to, micros, steps_between
 
 
 def label_equals(df: DataFrame, **labels: str) -> DataFrame:
@@ -70,14 +70,14 @@ def snapshot(
 def grid_points(
     samples: DataFrame, keys: Sequence[str], ts: str, step_s: int, start=None, end=None
 ) -> DataFrame:
-    """One row per series and step, from ``start`` to ``end`` or over the series' own span."""
-    lo = F.lit(start).cast("timestamp") if start is not None else F.timestamp_micros(
-        floor_to(micros(F.min(ts)), step_s) + F.lit(step_s * 1_000_000)
-    )
+    """One row per series and step, from ``start`` to ``end`` or over the series' own span.
+
+    The own span starts at the first step at or after the first sample.
+    """
+    lo = F.lit(start).cast("timestamp") if start is not None else F.timestamp_micros(ceil_to(micros(F.min(ts)), step_s))
     hi = F.lit(end).cast("timestamp") if end is not None else F.max(ts)
     spans = samples.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi")).filter("_lo <= _hi")
-    step = F.make_interval(secs=F.lit(step_s).cast("decimal(18,6)"))
-    return spans.select(*keys, F.explode(F.sequence("_lo", "_hi", step)).alias(ts))
+    return steps_between(spans, keys, ts, step_s)
 
 
 def as_of(
@@ -153,16 +153,21 @@ def backfill(
     hours: float,
     step_s: int,
     order: Sequence[str] = (),
+    lookback_s: int = DAY,
 ) -> DataFrame:
     """The last ``hours`` of every metric on one grid, aligned on the timestamp.
 
+    The grid starts at the first of those hours; values from up to ``lookback_s`` before it
+    are carried in.
+
     One scan and one pivot take the place of an outer join per metric. Metrics without a
     sample have no column values; see ``cleaning.drop_sparse_columns`` to drop them.
     """
     end = F.lit(as_of_time).cast("timestamp")
     start = end - F.make_interval(hours=F.lit(int(hours)))
-    recent = samples.filter((F.col("ts") >= start) & (F.col("ts") <= end))
-    stepped = range_fetch(recent, [*keys, "metric"], "ts", "value", step_s=step_s, order=order)
+    known = start - F.make_interval(secs=F.lit(lookback_s).cast("decimal(18,6)"))
+    recent = samples.filter((F.col("ts") >= known) & (F.col("ts") <= end))
+    stepped = range_fetch(recent, [*keys, "metric"], "ts", "value", step_s=step_s, start=start, end=end, order=order)
     return long_to_wide(stepped.filter("value is not null"), "ts", "metric", "value", metrics, keys)
 
 

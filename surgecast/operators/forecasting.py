@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import BLOCK, DAY, OWN, POS, SLOT, row_blocks, with_positions, with_slot
+from ..plans.blocks import BLOCK, DAY, OWN, POS, SLOT, join_series, row_blocks, with_positions, with_slot
 from ..session import materialise
 
 # Seasonal terms, changepoints and prior scales of the seasonal model.
@@ -39,37 +39,73 @@ def _sums_schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
 
 
+def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Totals of block sums, one block at a time."""
+    xx, xy = np.array(pdf["xx"].iloc[0]), np.array(pdf["xy"].iloc[0])
+    for a, b in zip(pdf["xx"].iloc[1:], pdf["xy"].iloc[1:]):
+        xx += a
+        xy += b
+    return xx, xy, int(pdf["n"].sum())
+
+
 def _solve(names: list[str], penalty: list[float]):
     ridge = np.diag(np.asarray(penalty))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = len(ridge)
-        xx = np.sum(np.stack(pdf["xx"].to_numpy()), axis=0).reshape(p, p)
-        xy = np.sum(np.stack(pdf["xy"].to_numpy()), axis=0).reshape(p, -1)
-        coef = np.linalg.lstsq(xx + ridge, xy, rcond=None)[0]
+        xx, xy, n = _added(pdf)
         head = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**head, "coef": [coef.ravel()], "n": [int(pdf["n"].sum())]})
+        if not (np.isfinite(xx).all() and np.isfinite(xy).all()):
+            return pd.DataFrame({**head, "coef": [None], "n": [n]})
+        left, right = xx.reshape(p, p) + ridge, xy.reshape(p, -1)
+        try:
+            coef = np.linalg.solve(left, right)
+        except np.linalg.LinAlgError:
+            coef = np.linalg.lstsq(left, right, rcond=None)[0]
+        return pd.DataFrame({**head, "coef": [coef.ravel()], "n": [n]})
 
     return run
 
 
-def _fit_sums(sums: DataFrame, keys: list[str], penalty: list[float]) -> DataFrame:
-    """Add up the block sums of each series and solve; one row per block, one row out."""
+#: Block sums that meet in one task on the way to a series' total.
+FAN_IN = 32
+
+
+def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float]) -> DataFrame:
+    """Add up the block sums of each series in two steps and solve; one row out per series.
+
+    A series' blocks are first added in groups of about ``FAN_IN`` neighbours each, so a
+    task of the last step sees one row for each of those. Sums that are not finite give NULL
+    coefficients.
+    """
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        xx, xy, n = _added(pdf)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "xx": [xx], "xy": [xy], "n": [n]})
+
+    size = sums.groupBy(*keys).agg(F.count("*").alias("_n"))
+    grouped = join_series(sums, size, keys, "inner").withColumn("_g", F.pmod(F.xxhash64(block), F.ceil(F.col("_n") / FAN_IN)))
+    partly = grouped.groupBy(*keys, "_g").applyInPandas(some, _sums_schema(sums, keys))
     out = T.StructType([*[sums.schema[c] for c in keys], T.StructField("coef", _DOUBLES), T.StructField("n", T.LongType())])
-    return sums.groupBy(*keys).applyInPandas(_solve(keys, penalty), out)
+    return partly.groupBy(*keys).applyInPandas(_solve(keys, penalty), out)
 
 
 def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Sequence[float]) -> DataFrame:
-    """Least squares per series for rows that carry a slot, a design array and a target."""
+    """Least squares per series for rows that carry a slot, a design array and a target.
+
+    Rows with an unknown value are left out of the sums and of ``n``.
+    """
     names = [*keys, SLOT]
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx, xy = _gram(np.stack(pdf[x].to_numpy()), pdf[y].to_numpy(dtype=float)[:, None])
+        a, b = np.stack(pdf[x].to_numpy()).astype(float), pdf[y].to_numpy(dtype=float)[:, None]
+        good = np.isfinite(a).all(axis=1) & np.isfinite(b[:, 0])
+        xx, xy = _gram(a[good], b[good])
         head = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [len(pdf)]})
+        return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [int(good.sum())]})
 
-    sums = rows.groupBy(*names).applyInPandas(partial, _sums_schema(rows, names))
-    return _fit_sums(sums, list(keys), list(penalty))
+    sums = materialise(rows.groupBy(*names).applyInPandas(partial, _sums_schema(rows, names)), "sums")
+    return _fit_sums(sums, list(keys), SLOT, list(penalty))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -79,16 +115,16 @@ def _dot(a: Column, b: Column) -> Column:
 # -- seasonal model ---------------------------------------------------------------------
 
 
-def _trend_terms(tau: Column) -> list[Column]:
+def _trend_terms(tau: Column, changepoints: int = CHANGEPOINTS) -> list[Column]:
     """Intercept, slope and a hinge per changepoint, on time scaled to [0, 1]."""
-    spots = [CHANGEPOINT_SHARE * (j + 1) / (CHANGEPOINTS + 1) for j in range(CHANGEPOINTS)]
+    spots = [CHANGEPOINT_SHARE * (j + 1) / (changepoints + 1) for j in range(changepoints)]
     return [F.lit(1.0), tau, *[F.greatest(F.lit(0.0), tau - s) for s in spots]]
 
 
-def _season_terms(ts: str) -> list[Column]:
+def _season_terms(ts: str, daily: int = DAILY_TERMS, weekly: int = WEEKLY_TERMS) -> list[Column]:
     seconds = F.unix_micros(ts) / 1_000_000.0
     terms = []
-    for period, order in ((86_400.0, DAILY_TERMS), (604_800.0, WEEKLY_TERMS)):
+    for period, order in ((86_400.0, daily), (604_800.0, weekly)):
         for k in range(1, order + 1):
             angle = seconds * (2.0 * math.pi * k / period)
             terms += [F.sin(angle), F.cos(angle)]
@@ -100,32 +136,50 @@ def _tau(ts: str) -> Column:
     return (F.unix_micros(ts) - F.unix_micros("t0")) / span
 
 
-def fit_seasonal(df: DataFrame, keys: Sequence[str], ts: str, target: str, *, slot_s: float = 30 * DAY) -> DataFrame:
+def fit_seasonal(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    target: str,
+    *,
+    changepoints: int = CHANGEPOINTS,
+    changepoint_prior: float = CHANGEPOINT_PRIOR,
+    daily: int = DAILY_TERMS,
+    weekly: int = WEEKLY_TERMS,
+    slot_s: float = 30 * DAY,
+) -> DataFrame:
     """Fit ``y = trend * (1 + season)`` per series; one row of coefficients per series.
 
-    First the trend, with seasonal terms beside it so that it is not bent by them, then the
-    seasonal terms on the ratio to the trend. ``sigma`` and ``mae`` are in-sample.
+    First the trend, with seasonal terms beside it so that it is not bent by them, then what
+    is left of ``y`` on the seasonal terms times the trend, so that no row is left out where
+    the trend is near zero. ``changepoints``, ``daily`` and ``weekly`` say how many hinges
+    and harmonics there are; zero switches them off. ``sigma`` and ``mae`` are in-sample.
     """
     keys = list(keys)
     spans = df.groupBy(*keys).agg(
         F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.greatest(F.max(F.abs(F.col(target))), F.lit(1e-12)).alias("scale")
     )
-    rows = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null")
+    rows = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y)")
     rows = materialise(with_slot(rows.join(spans, keys), "ts", slot_s).withColumn("y", F.col("y") / F.col("scale")), "seasonal-rows")
 
-    trend_p = [1e-9, 1e-9] + [(NOISE_SCALE / CHANGEPOINT_PRIOR) ** 2] * CHANGEPOINTS
-    season_p = [SEASON_PENALTY] * (2 * (DAILY_TERMS + WEEKLY_TERMS))
+    trend_p = [1e-9, 1e-9] + [(NOISE_SCALE / changepoint_prior) ** 2] * changepoints
+    season_p = [SEASON_PENALTY] * (2 * (daily + weekly))
     # Shuffle the narrow rows; the design arrays are built after it.
     rows = rows.repartition(*keys, SLOT)
-    both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts")), *_season_terms("ts")).alias("x"))
+    both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts"), changepoints), *_season_terms("ts", daily, weekly)).alias("x"))
     first = ridge_fit(both, keys, "x", "y", trend_p + season_p)
     trend = materialise(first.select(*keys, F.slice("coef", 1, len(trend_p)).alias("trend")), "seasonal-trend")
-
-    level = _dot(F.col("trend"), F.array(*_trend_terms(_tau("ts"))))
-    ratio = rows.join(trend, keys).withColumn("_level", level).filter(F.abs("_level") > 1e-6)
-    ratio = ratio.select(*keys, SLOT, (F.col("y") / F.col("_level") - 1.0).alias("y"), F.array(*_season_terms("ts")).alias("x"))
-    season = ridge_fit(ratio, keys, "x", "y", season_p).select(*keys, F.col("coef").alias("season"))
-    model = materialise(spans.join(trend, keys).join(season, keys, "left"), "seasonal-model")
+    model = join_series(spans, trend, keys, "inner").withColumns({"daily": F.lit(daily), "weekly": F.lit(weekly)})
+    if season_p:
+        level = _dot(F.col("trend"), F.array(*_trend_terms(_tau("ts"), changepoints)))
+        rest = join_series(rows, trend, keys, "inner").withColumn("_level", level)
+        swing = F.array(*[t * F.col("_level") for t in _season_terms("ts", daily, weekly)])
+        rest = rest.select(*keys, SLOT, (F.col("y") - F.col("_level")).alias("y"), swing.alias("x"))
+        season = ridge_fit(rest, keys, "x", "y", season_p).select(*keys, F.col("coef").alias("season"))
+        model = join_series(model, season, keys)
+    else:
+        model = model.withColumn("season", F.array().cast(_DOUBLES))
+    model = materialise(model, "seasonal-model")
 
     fitted = score_seasonal(rows.select(*keys, "ts", (F.col("y") * F.col("scale")).alias("y")), model, keys, "ts")
     error = F.col("y") - F.col("yhat")
@@ -136,10 +190,27 @@ def fit_seasonal(df: DataFrame, keys: Sequence[str], ts: str, target: str, *, sl
 
 
 def score_seasonal(rows: DataFrame, model: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Add ``yhat``: a projection over the joined coefficients, no Python involved."""
-    joined = rows.join(model.select(*keys, "t0", "t1", "scale", "trend", "season"), list(keys))
-    level = _dot(F.col("trend"), F.array(*_trend_terms(_tau(ts))))
-    swing = F.coalesce(_dot(F.col("season"), F.array(*_season_terms(ts))), F.lit(0.0))
+    """Add ``yhat``: a projection over the joined coefficients, no Python involved.
+
+    The model says how many terms it has; a series without a model gets NULL.
+    """
+    joined = join_series(rows, model.select(*keys, "t0", "t1", "scale", "trend", "season", "daily", "weekly"), keys)
+    tau = _tau(ts)
+    # Coefficients from the third on belong to hinges, spread evenly over the changepoint share.
+    hinges = F.size("trend") - 2
+    hinge = lambda c, i: F.when(i < 2, c * F.when(i == 0, 1.0).otherwise(tau)).otherwise(
+        c * F.greatest(F.lit(0.0), tau - F.lit(CHANGEPOINT_SHARE) * (i - 1) / (hinges + 1))
+    )
+    level = F.aggregate(F.transform("trend", hinge), F.lit(0.0), lambda s, v: s + v)
+    seconds = F.unix_micros(ts) / 1_000_000.0
+    by_day = F.col("daily") * 2
+
+    def wave(c: Column, i: Column) -> Column:
+        at = F.when(i < by_day, i).otherwise(i - by_day)
+        angle = seconds * (F.lit(2.0 * math.pi) * (F.floor(at / 2) + 1) / F.when(i < by_day, F.lit(86_400.0)).otherwise(604_800.0))
+        return c * F.when(at % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
+
+    swing = F.coalesce(F.aggregate(F.transform("season", wave), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
     return joined.select(*rows.columns, (F.col("scale") * level * (1.0 + swing)).alias("yhat"))
 
 
@@ -155,7 +226,7 @@ def forecast_seasonal(
 ) -> DataFrame:
     """Forecast with a band of ``z`` in-sample deviations."""
     scored = score_seasonal(forecast_grid(last, keys, ts, step_s, horizon), model, keys, ts)
-    scored = scored.join(model.select(*keys, "sigma"), list(keys))
+    scored = join_series(scored, model.select(*keys, "sigma"), keys)
     margin = F.col("sigma") * z
     return scored.select(
         *keys, "h", ts, "yhat", (F.col("yhat") - margin).alias("yhat_lower"), (F.col("yhat") + margin).alias("yhat_upper")
@@ -187,6 +258,8 @@ def _samples(pdf: pd.DataFrame, features: list[str], target: str, lookback: int,
     y = view(pdf[target].to_numpy(dtype=float)[lookback:], horizon)[:n]
     anchors = pdf.iloc[lookback - 1 : lookback - 1 + n]
     own = anchors[OWN].to_numpy()
+    # Windows with an unknown value teach nothing.
+    own = own & np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
     ones = np.ones((n, 1))
     return np.hstack([ones, x])[own], y[own], anchors[own]
 
@@ -222,7 +295,8 @@ def fit_sequence(
 
     All horizons share X'X, so one pass trains them together. Samples of the last
     ``1 - share`` part of a series are left out; ``val_mae`` is the mean absolute error on
-    them (NULL when there are none).
+    them (NULL when there are none). Windows that hold an unknown value are left out and not
+    counted in ``n``.
     """
     keys, features = list(keys), list(features)
     blocks = _sequence_blocks(df, keys, ts, features, target, lookback, horizon, share, slot_s, block_rows)
@@ -240,9 +314,11 @@ def fit_sequence(
         head = {c: [pdf[c].iloc[0]] for c in names}
         return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [int(train.sum())]})
 
-    sums = blocks.groupBy(*names).applyInPandas(partial, _sums_schema(blocks, names))
+    # Read for the sums and for the errors.
+    blocks = materialise(blocks, "sequence-blocks")
+    sums = materialise(blocks.groupBy(*names).applyInPandas(partial, _sums_schema(blocks, names)), "sums")
     width = lookback * len(features)
-    model = materialise(_fit_sums(sums, keys, [1e-9] + [penalty] * width), "sequence-model")
+    model = materialise(_fit_sums(sums, keys, BLOCK, [1e-9] + [penalty] * width), "sequence-model")
 
     def errors(rows: pd.DataFrame, coefs: pd.DataFrame) -> pd.DataFrame:
         made = _samples(rows, features, target, lookback, horizon) if len(rows) and len(coefs) else None
@@ -258,7 +334,7 @@ def fit_sequence(
 
     # One coefficient row per block, not per data row.
     block_names = blocks.select(*[F.col(c).alias(c) for c in names]).distinct()
-    per_block = block_names.join(model.select(*keys, "coef"), keys)
+    per_block = join_series(block_names, model.select(*keys, "coef").filter("coef is not null"), keys, "inner")
     schema = T.StructType([*[blocks.schema[c] for c in keys], T.StructField("miss", T.DoubleType()), T.StructField("terms", T.LongType())])
     missed = blocks.groupBy(*names).cogroup(per_block.groupBy(*names)).applyInPandas(errors, schema)
     quality = missed.groupBy(*keys).agg((F.sum("miss") / F.sum("terms")).alias("val_mae"))
@@ -267,7 +343,7 @@ def fit_sequence(
 
 def forecast_sequence(model: DataFrame, windows: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
     """Forecast from inference windows ``(series…, ts, x)``: ``(series…, ts, h, yhat)``."""
-    joined = windows.join(model.select(*keys, "coef"), list(keys))
+    joined = join_series(windows, model.select(*keys, "coef").filter("coef is not null"), keys, "inner")
     flat = F.concat(F.array(F.lit(1.0)), F.transform(F.flatten("x"), lambda v: v.cast("double")))
     steps = joined.select(*keys, "ts", "coef", flat.alias("_x"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     # Coefficients are stored row by row: one row per input, one column per horizon step.

@@ -17,11 +17,11 @@ MAE_LIMIT, MAX_AGE_HOURS, KEEP_VERSIONS = 0.2, 48, 5
 
 def create_versions(registry: DataFrame | None, runs: DataFrame, keys: Sequence[str], base_path: str) -> DataFrame:
     """Append a version per training run ``(series…, created_at, metrics)``, numbered on
-    from the versions a series already has."""
+    from the highest number a series has; ``prune`` keeps that one."""
     w = Window.partitionBy(*keys).orderBy("created_at")
     rows = runs.withColumn("n", F.row_number().over(w).cast("long"))
     if registry is not None:
-        have = registry.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
+        have = registry.groupBy(*keys).agg(F.max("n").alias("_have"))
         rows = rows.join(have, list(keys), "left").withColumn("n", F.col("n") + F.coalesce("_have", F.lit(0)))
     version = F.concat(F.lit("v"), F.col("n"), F.lit("_"), F.date_format("created_at", "yyyyMMdd_HHmmss"))
     new = rows.select(
@@ -52,7 +52,7 @@ def promote(registry: DataFrame, choice: DataFrame, keys: Sequence[str]) -> Data
 
 
 def latest_choice(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return registry.groupBy(*keys).agg(F.max_by("version", "n").alias("version"))
+    return registry.groupBy(*keys).agg(F.max_by("version", F.struct("n", "created_at")).alias("version"))
 
 
 def active_versions(registry: DataFrame) -> DataFrame:
@@ -91,9 +91,13 @@ def retrain_check(
 
 def prune(registry: DataFrame, keys: Sequence[str], keep: int = KEEP_VERSIONS) -> DataFrame:
     """Series with at most ``keep`` versions stay; others keep the active one and the newest
-    ``keep - 1`` of the rest."""
+    ``keep - 1`` of the rest.
+
+    The highest number always stays, so numbers are never given twice; with ``keep`` = 1
+    that may be a second row beside the active one.
+    """
     w = Window.partitionBy(*keys)
-    newest_first = Window.partitionBy(*keys, "is_active").orderBy(F.col("n").desc())
-    rows = registry.withColumns({"_all": F.count(F.lit(1)).over(w), "_rank": F.row_number().over(newest_first)})
-    stays = (F.col("_all") <= keep) | F.col("is_active") | (F.col("_rank") <= keep - 1)
-    return rows.filter(stays).drop("_all", "_rank")
+    newest_first = Window.partitionBy(*keys, "is_active").orderBy(F.col("n").desc(), F.col("created_at").desc())
+    rows = registry.withColumns({"_all": F.count(F.lit(1)).over(w), "_top": F.max("n").over(w), "_rank": F.row_number().over(newest_first)})
+    stays = (F.col("_all") <= keep) | F.col("is_active") | (F.col("_rank") <= keep - 1) | (F.col("n") == F.col("_top"))
+    return rows.filter(stays).drop("_all", "_top", "_rank")

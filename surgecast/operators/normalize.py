@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.blocks import join_series
+
 METHODS = ("minmax", "standard")
 
 
@@ -17,7 +19,7 @@ def fit(df: DataFrame, keys: Sequence[str], features: Sequence[str], method: str
     constant feature divides by 1.
     """
     if method not in METHODS:
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     keys = list(keys)
     aggs = []
     for c in features:
@@ -48,7 +50,7 @@ def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str], features: Seq
         raise RuntimeError("the scaler has not been fitted")
     wide = _wide(params, keys, features)
     if keys:
-        return df.join(wide, list(keys))
+        return join_series(df, wide, keys)
     # One scaler for the whole table: a single row, read once and used as literals.
     row = wide.first()
     out = df
@@ -68,7 +70,10 @@ def _unscaled(value: Column, p: Column) -> Column:
 
 
 def transform(df: DataFrame, params: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Scale the features with fitted parameters; values outside the fitted range are not clipped."""
+    """Scale the features with fitted parameters; values outside the fitted range are not clipped.
+
+    Rows of a series without parameters stay, with NULL for the scaled features.
+    """
     rows = _attach(df, params, keys, features)
     return rows.select(*[_scaled(F.col(c), F.col(f"_p_{c}")).alias(c) if c in features else F.col(c) for c in df.columns])
 

@@ -11,12 +11,14 @@ from four steps that partition by ``(series, block)``:
   are copied to the neighbouring block (the halo), so a frame of bounded length is complete;
 * a *time block* is the same with a span of time instead of a row count.
 
-Series keys and timestamps must not be NULL.
+A NULL series key raises an error, since the joins on keys would lose its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,24 @@ def floor_to(us: Column, width_s: float) -> Column:
     return us - F.pmod(us, F.lit(int(width_s * 1_000_000)))
 
 
+def ceil_to(us: Column, width_s: float) -> Column:
+    """First multiple of ``width_s`` at or after ``us`` (both in microseconds)."""
+    return us + F.pmod(-us, F.lit(int(width_s * 1_000_000)))
+
+
+#: Steps of a series that one task unfolds at a time.
+GRID_PART = 1000
+
+
+def steps_between(spans: DataFrame, keys: Sequence[str], ts: str, step_s: float) -> DataFrame:
+    """One row per step of ``spans(series…, _lo, _hi)``: parts of a span first, then their steps."""
+    step = F.make_interval(secs=F.lit(step_s).cast("decimal(18,6)"))
+    part = F.make_interval(secs=F.lit(step_s * GRID_PART).cast("decimal(18,6)"))
+    last = F.make_interval(secs=F.lit(step_s * (GRID_PART - 1)).cast("decimal(18,6)"))
+    parts = spans.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", part)).alias("_lo"))
+    return parts.select(*keys, F.explode(F.sequence("_lo", F.least("_hi", F.col("_lo") + last), step)).alias(ts))
+
+
 def with_slot(df: DataFrame, ts: str, width_s: float) -> DataFrame:
     """Tag rows with their slot. Rows tagged by the caller keep their tag, so that several
     steps in a row share one partitioning."""
@@ -63,6 +83,19 @@ def slot_for(
     return max(fits, default=shortest)
 
 
+def join_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on series keys of which a NULL equals a NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def checked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``, failing on the first row with a NULL key."""
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys], F.lit(False))
+    return df.filter(F.when(unknown, F.raise_error(F.lit("series keys must not be NULL")).cast("boolean")).otherwise(True))
+
+
 def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in order]
 
@@ -88,7 +121,7 @@ def carry(
     instead of back.
     """
     keys, order = list(keys), list(order or [ts])
-    tagged = with_slot(df, ts, slot_s)
+    tagged = with_slot(checked(df, keys), ts, slot_s)
     tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     sort = _order(order) if not backward else [c.desc() for c in _order(order)]
     local = Window.partitionBy(*keys, SLOT).orderBy(*sort).rowsBetween(
@@ -123,7 +156,7 @@ def neighbours(
     """Add ``<name>_prev`` and ``<name>_next``, the nearest non-NULL values at or before and
     at or after each row, with one summary and one join for both directions."""
     keys = list(keys)
-    tagged = with_slot(df, ts, slot_s)
+    tagged = with_slot(checked(df, keys), ts, slot_s)
     tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     rows = Window.partitionBy(*keys, SLOT)
     past = rows.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
@@ -166,7 +199,7 @@ def running_sum(
 ) -> DataFrame:
     """Add running totals (the row included) per series for each expression in ``values``."""
     keys, order = list(keys), list(order or [ts])
-    tagged = with_slot(df, ts, slot_s)
+    tagged = with_slot(checked(df, keys), ts, slot_s)
     tagged = tagged.withColumns({f"_in_{n}": expr for n, expr in values.items()})
     local = Window.partitionBy(*keys, SLOT).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, 0
@@ -199,7 +232,7 @@ def with_positions(
 ) -> DataFrame:
     """Number the rows of every series 1, 2, … in order; optionally add the series length."""
     keys, order = list(keys), list(order or [ts])
-    tagged = with_slot(df, ts, slot_s)
+    tagged = with_slot(checked(df, keys), ts, slot_s)
     local = Window.partitionBy(*keys, SLOT).orderBy(*_order(order))
     numbered = tagged.withColumn("_rn", F.row_number().over(local))
     counts = tagged.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
 from ..operators.decisions import DecisionConfig
+from ..plans.blocks import join_series
 from ..session import materialise
 
+#: Rows before the window that a prediction reads for interpolation and clipping limits.
+HISTORY_ROWS = 240
 CALENDAR = ["hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 
 
@@ -130,7 +133,11 @@ def predict(
 ) -> DataFrame:
     """One prediction result per series for the steps after its last row."""
     keys = list(keys)
-    cleaned = materialise(cleaning.clean(frame, keys, ts, slot_s=7 * 86400), "recent")
+    # The rows that the window and the gaps around it can reach; the models know the rest.
+    ends = frame.groupBy(*keys).agg(F.max(ts).alias("_end"))
+    reach = F.col("_end") - F.make_interval(secs=F.lit(step_s * (lookback + HISTORY_ROWS)).cast("decimal(18,6)"))
+    recent = join_series(frame, ends, keys).filter(F.col(ts) >= reach).drop("_end")
+    cleaned = materialise(cleaning.clean(recent, keys, ts, slot_s=7 * 86400), "recent")
     last = cleaned.groupBy(*keys).agg(F.max(ts).alias("cycle"))
     grid = last.withColumnRenamed("cycle", ts)
     seasonal = forecasting.forecast_seasonal(models.seasonal, grid, keys, ts, step_s=step_s, horizon=horizon)
@@ -149,6 +156,9 @@ def predict(
 
 
 def decide(predictions: DataFrame, replicas: DataFrame, keys: Sequence[str], config: DecisionConfig = DecisionConfig()) -> DataFrame:
-    """Decisions for prediction results, given ``replicas(series…, current_replicas)``."""
-    rows = predictions.join(replicas.select(*keys, "current_replicas"), list(keys))
+    """Decisions for prediction results, given ``replicas(series…, current_replicas)``.
+
+    A series without a replica count is held and not approved.
+    """
+    rows = join_series(predictions, replicas.select(*keys, "current_replicas"), keys)
     return decisions.decide(rows, config)

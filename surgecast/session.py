@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -56,15 +55,10 @@ def clear_scratch(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names.
 
-    A machine-local folder is used only in local mode with the setting unset, where the
-    driver and the executors are one process.
+    Where the setting is missing, as in tests, the warehouse folder holds it, which all
+    executors share too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="surgecast-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     _created.append(path)
     return path

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -17,8 +18,12 @@ def metrics_schema(labels: Sequence[str], metrics: Sequence[str], ts: str = "tim
 
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Scan a headed CSV of metrics with a stated schema, so no pass is spent on inference."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """Scan a headed CSV of metrics with a stated schema, so no pass is spent on inference.
+
+    The text NaN is a missing value, which is NULL here.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.select(*[F.nanvl(f.name, F.lit(None)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in schema])
 
 
 def write_metrics_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantile import bucket_counts, quantile_from_counts
-from ..plans.blocks import floor_to, micros, running_sum
+from ..plans.blocks import floor_to, join_series, micros, running_sum, steps_between
 from ..session import materialise
 
 SERIES = ["namespace", "deployment"]
@@ -96,9 +96,7 @@ def bucket_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill_grid(df: DataFrame, keys: list[str], ts: str, step_s: int) -> DataFrame:
     """Add a row of NULLs for every missing step between a series' first and last row."""
     spans = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    step = F.make_interval(secs=F.lit(step_s).cast("decimal(18,6)"))
-    grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi", step)).alias(ts))
-    return grid.join(df, [*keys, ts], "left")
+    return join_series(steps_between(spans, keys, ts, step_s), df, [*keys, ts])
 
 
 def bin_samples(rows: DataFrame, step_s: int) -> DataFrame:

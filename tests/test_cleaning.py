@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import minute_frame, skewed_series
+from conftest import service_minutes, skewed_series
 from pyspark.sql import functions as F
 
 from surgecast.operators import cleaning
@@ -36,7 +36,7 @@ def test_interpolation_equals_pandas(spark):
 
 
 def test_clean_removes_nulls_and_clips(spark):
-    pdf = minute_frame(200)
+    pdf = service_minutes(200)
     pdf.loc[3, "cpu_usage"] = None
     pdf.loc[7, "memory_usage"] = None
     pdf.loc[50, "request_rate"] = 1e6
@@ -48,17 +48,17 @@ def test_clean_removes_nulls_and_clips(spark):
     assert len(got) == 200 and not got.isna().any().any()
     v = pdf["request_rate"]
     assert got["request_rate"].max() == pytest.approx(v.mean() + 4 * v.std())
-    assert (got["ready_replicas"] == 3).all()
+    assert (got["ready_replicas"] == 7).all()
 
 
 def test_empty_frame(spark):
-    df = nulls(spark, minute_frame(5)).filter("cpu_usage > 99")
+    df = nulls(spark, service_minutes(5)).filter("cpu_usage > 99")
     out = cleaning.clean(df, ["s"], "ts", COLS)
     assert out.count() == 0
 
 
 def test_all_null_series_stays_null(spark):
-    pdf = minute_frame(10)
+    pdf = service_minutes(10)
     other = pdf.assign(s="b", cpu_usage=None)
     df = nulls(spark, pd.concat([pdf, other.astype({"cpu_usage": float})]))
     out = cleaning.fill_remaining(df, ["s"], "ts", ["cpu_usage"])
@@ -67,7 +67,7 @@ def test_all_null_series_stays_null(spark):
 
 
 def test_quality_report(spark):
-    pdf = minute_frame(8)[["s", "ts", "cpu_usage"]]
+    pdf = service_minutes(8)[["s", "ts", "cpu_usage"]]
     pdf.loc[0, "cpu_usage"] = None
     pdf["note"] = "x"
     rep = {r["column"]: r for r in cleaning.quality_report(nulls(spark, pdf), ["s"], exclude=["ts"]).collect()}
@@ -79,7 +79,7 @@ def test_quality_report(spark):
 
 
 def test_clip_counts(spark):
-    pdf = minute_frame(200)
+    pdf = service_minutes(200)
     pdf.loc[0, "cpu_usage"] = 1e6
     got = {r["column"]: r["clipped"] for r in cleaning.clip_counts(nulls(spark, pdf), ["s"], COLS).collect()}
     assert got == {"cpu_usage": 1, "memory_usage": 0}

@@ -43,7 +43,7 @@ def test_single_step_margin(spark):
 
 def test_no_model_is_an_error(spark):
     rows = pairs(spark, [1.0], None).withColumn("seq_pred", F.lit(None).cast("double"))
-    with pytest.raises(Exception, match="At least one model"):
+    with pytest.raises(Exception, match="without any forecast"):
         ensemble.blend(rows).collect()
 
 

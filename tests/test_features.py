@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import minute_frame, skewed_series
+from conftest import service_minutes, skewed_series
 
 from surgecast.operators import features
 
@@ -42,7 +42,7 @@ def test_row_features_equal_pandas(spark, block_rows):
 
 
 def test_ema_long_series_many_blocks(spark):
-    pdf = minute_frame(5000)
+    pdf = service_minutes(5000)
     out = features.row_features(
         spark.createDataFrame(pdf), ["s"], "ts", ["cpu_usage"], ema_span=30, slot_s=3600, block_rows=70
     ).orderBy("ts").toPandas()
@@ -52,11 +52,11 @@ def test_ema_long_series_many_blocks(spark):
 
 def test_ema_block_that_overflows_is_refused(spark):
     with pytest.raises(ValueError):
-        features.row_features(spark.createDataFrame(minute_frame(3)), ["s"], "ts", ["cpu_usage"], ema_span=2, block_rows=4096)
+        features.row_features(spark.createDataFrame(service_minutes(3)), ["s"], "ts", ["cpu_usage"], ema_span=2, block_rows=4096)
 
 
 def test_engineer(spark):
-    pdf = minute_frame(200)
+    pdf = service_minutes(200)
     out = features.engineer(spark.createDataFrame(pdf), ["s"], "ts")
     assert len(out.columns) == len(pdf.columns) + 55
     got = out.orderBy("ts").toPandas()

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import minute_frame
+from conftest import service_minutes
 
 from surgecast.operators import normalize, sequences
 
@@ -10,8 +10,8 @@ COLS = ["cpu_usage", "memory_usage", "ready_replicas"]
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    a = minute_frame(120)
-    b = minute_frame(75, seed=3).assign(s="b")
+    a = service_minutes(120)
+    b = service_minutes(75, seed=3).assign(s="b")
     pdf = pd.concat([a, b])
     return pdf, spark.createDataFrame(pdf)
 
@@ -65,9 +65,9 @@ def test_training_windows(frame, block_rows):
 
 
 def test_series_too_short_gives_no_windows(spark):
-    df = spark.createDataFrame(minute_frame(34))
+    df = spark.createDataFrame(service_minutes(34))
     assert sequences.training_windows(df, ["s"], "ts", COLS, "cpu_usage", lookback=30, horizon=5).count() == 0
-    df = spark.createDataFrame(minute_frame(35))
+    df = spark.createDataFrame(service_minutes(35))
     assert sequences.training_windows(df, ["s"], "ts", COLS, "missing", lookback=30, horizon=5).count() == 1
 
 
