@@ -96,6 +96,49 @@ def sequence_forecast(spark, sf_dir):
     return back.select(*SERIES, "ts", F.posexplode("v").alias("i", "yhat")).select(*SERIES, (F.col("i") + 1).alias("h"), "yhat")
 
 
+_LINE = f"""{CLEANED},
+timed AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY {KEYS})) / 1e6 AS sec, lag(cpu_usage) OVER ({BY}) AS before,
+  row_number() OVER ({BY}) AS i, count(*) OVER (PARTITION BY {KEYS}) AS n FROM cleaned),"""
+
+
+@query(
+    "straight_line_forecast",
+    "I2 I3 I4",
+    f"""WITH {_LINE}
+    fit AS (SELECT {KEYS}, max(ts) AS last, max(sec) AS top, regr_slope(cpu_usage, sec) AS slope, regr_intercept(cpu_usage, sec) AS level,
+      sqrt(regr_syy(cpu_usage, sec) * (1 - regr_r2(cpu_usage, sec)) / count(*)) AS sigma FROM timed GROUP BY ALL),
+    ahead AS (SELECT *, unnest(generate_series(1, {HORIZON})) AS h FROM fit),
+    made AS (SELECT {KEYS}, h::INT AS h, level + slope * (top + h * {STEP_S}) AS yhat, sigma FROM ahead)
+    SELECT {KEYS}, h, {r('yhat', places=4)}, {r(f'yhat - {forecasting.INTERVAL_WIDTH_Z}::DOUBLE * sigma', 'yhat_lower', 4)},
+      {r(f'yhat + {forecasting.INTERVAL_WIDTH_Z}::DOUBLE * sigma', 'yhat_upper', 4)} FROM made""",
+)
+def straight_line_forecast(spark, sf_dir):
+    """The seasonal model with its changepoints and seasons off is a regression line with a band."""
+    history = materialise(cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage"), "history")
+    model = materialise(forecasting.fit_seasonal(history, SERIES, "ts", "cpu_usage", changepoints=0, daily=0, weekly=0), "fitted")
+    last = history.groupBy(*SERIES).agg(F.max("ts").alias("ts"))
+    out = forecasting.forecast_seasonal(model, last, SERIES, "ts", step_s=STEP_S, horizon=HORIZON)
+    return rounded(out.select(*SERIES, "h", "yhat", "yhat_lower", "yhat_upper"), 4)
+
+
+@query(
+    "one_step_regression",
+    "I1",
+    f"""WITH {_LINE}
+    train AS (SELECT {KEYS}, regr_slope(cpu_usage, before) AS slope, regr_intercept(cpu_usage, before) AS level, count(*) AS n
+      FROM timed WHERE before IS NOT NULL AND i - 1 <= floor((n - 1) * 0.8) GROUP BY ALL),
+    held AS (SELECT {KEYS}, avg(abs(cpu_usage - (level + slope * before))) AS val_mae FROM timed JOIN train USING ({KEYS})
+      WHERE i - 1 > floor((timed.n - 1) * 0.8) GROUP BY ALL)
+    SELECT {KEYS}, n, {r('level', places=4)}, {r('slope', places=4)}, {r('val_mae', places=4)} FROM train LEFT JOIN held USING ({KEYS})""",
+)
+def one_step_regression(spark, sf_dir):
+    """The sequence model with one feature, one row back and one step ahead is a regression on the row before."""
+    rows = cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage")
+    out = forecasting.fit_sequence(rows, SERIES, "ts", ["cpu_usage"], "cpu_usage", lookback=1, horizon=1, penalty=0.0)
+    out = out.select(*SERIES, "n", F.get("coef", F.lit(0)).alias("level"), F.get("coef", F.lit(1)).alias("slope"), "val_mae")
+    return rounded(out, 4)
+
+
 @query("sequence_error", "I1 I5 H3")
 def sequence_error(spark, sf_dir):
     """Validation error of the sequence model on the last fifth of each series' samples."""

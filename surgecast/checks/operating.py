@@ -252,7 +252,8 @@ def replica_alignment(spark, sf_dir):
     """Three gauges put on one hourly grid, each as of the grid time."""
     rows = samples(spark, sf_dir).withColumn("value", (F.substring_index("pod", "-", -1).cast("int") % 10 + 1).cast("double"))
     codes = {"recommended": "200", "ready": "201", "desired": "503"}
-    return alerts.align_on_grid({n: rows.filter(F.col("status_code") == c) for n, c in codes.items()}, SERIES, "ts", 3600, slot_s=86400)
+    gauges = {n: F.when(F.col("status_code") == c, F.col("value")) for n, c in codes.items()}
+    return alerts.align_on_grid(rows, gauges, SERIES, "ts", 3600, order=["seq"], slot_s=86400)
 
 
 PREDICTIONS = f"""{RESULTS},

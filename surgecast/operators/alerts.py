@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import DAY, block_window, carry, floor_to, micros, own_rows, time_blocks, with_slot
-from .fetch import as_of, grid_points
+from ..plans.blocks import DAY, block_window, carry, ceil_to, floor_to, join_series, micros, own_rows, steps_between, time_blocks, with_slot
+from ..session import materialise
 
 # Alert thresholds and the time each must hold.
 LOW_CONFIDENCE, LOW_CONFIDENCE_FOR_S = 0.5, 600
@@ -131,18 +131,27 @@ def scaling_totals(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def align_on_grid(
-    sources: dict[str, DataFrame], keys: Sequence[str], ts: str, step_s: int, *, slot_s: float = 7 * DAY
+    samples: DataFrame, gauges: dict[str, Column], keys: Sequence[str], ts: str, step_s: int, *, order: Sequence[str] = (), slot_s: float = 7 * DAY
 ) -> DataFrame:
-    """Put several long series ``(series…, ts, value)`` on one grid, each as of the grid time.
+    """Put several gauges of one sample table on one grid, each as of the grid time.
 
-    The sources form one time line, so all are aligned in one pass.
+    ``gauges`` gives each one's value in a sample, NULL where the sample is another's. One
+    pass reduces the samples to their last values per series and step; the order in time is
+    then worked out on that smaller table, which is written once.
     """
-    names = list(sources)
-    line = None
-    for name, df in sources.items():
-        part = df.select(*keys, ts, *[(F.col("value") if n == name else F.lit(None).cast("double")).alias(n) for n in names])
-        line = part if line is None else line.unionByName(part)
-    return as_of(grid_points(line, keys, ts, step_s), line, keys, ts, names, slot_s=slot_s)
+    names = list(gauges)
+    rows = samples.select(*keys, ts, *order, *[v.alias(n) for n, v in gauges.items()])
+    newest = F.struct(ts, *order)
+    # A step takes what is known up to and including its own time.
+    step = F.timestamp_micros(ceil_to(micros(ts), step_s))
+    last = [F.max_by(n, F.when(F.col(n).isNotNull(), newest)).alias(n) for n in names]
+    steps = rows.groupBy(*keys, step.alias("_step")).agg(*last, F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    steps = materialise(steps, "gauge-steps")
+    # The grid ends with the last step that is not after the last sample.
+    spans = steps.groupBy(*keys).agg(F.min("_step").alias("_lo"), F.max("_hi").alias("_hi")).filter("_lo <= _hi")
+    line = join_series(steps_between(spans, keys, ts, step_s), steps.select(*keys, F.col("_step").alias(ts), *names), [*keys, ts])
+    known = carry(line, keys, ts, {f"_asof_{n}": F.col(n) for n in names}, slot_s=slot_s)
+    return known.select(*keys, ts, *[F.col(f"_asof_{n}").alias(n) for n in names])
 
 
 def trend(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], window_s: int) -> DataFrame:
