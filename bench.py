@@ -39,6 +39,8 @@ HEADLINE = [
     "guard_decisions",
     "frequent_events_alert",
     "streaming_bins",
+    "training_run",
+    "control_tick",
 ]
 
 

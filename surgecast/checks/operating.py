@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, ensemble, lifecycle
 from ..plans import flows
-from ..session import materialise
+from ..session import materialise, scratch_dir
 from ..sources.tables import SERIES, samples
 from .base import FRAME, KEYS, SAMPLES, ceil_ts, floor_ts, frame, query, r, rounded, rs
-from .deciding import AS_OF, GUARDED, INPUTS, decision_inputs, guarded
+from .deciding import AS_OF, GUARD, GUARDED, INPUTS, decision_inputs, guarded
 from .forecasting import C, CYCLE, PAIRS, RESULTS, forecast_pairs
 
 # -- registry ---------------------------------------------------------------------------
@@ -345,8 +345,8 @@ def status_rollup(spark, sf_dir):
 # -- whole flows ------------------------------------------------------------------------
 
 
-def trained(spark, sf_dir):
-    return flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path="models")
+def trained(spark, sf_dir, base_path="models", store=False):
+    return flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path=base_path, store=store)
 
 
 @query("training_run", "I1 I2 I5 I6 L1 L2 L5")
@@ -356,10 +356,21 @@ def training_run(spark, sf_dir):
     return out.registry.join(out.summary, SERIES).drop("metrics")
 
 
-@query("control_tick", "J1 J2 J3 J6 J7 K1 K2 K3 K4")
+@query("control_tick", "J1 J2 J3 J4 J6 J7 K1 K2 K3 K4 K5 K6 K10 A11")
 def control_tick(spark, sf_dir):
-    """Train, forecast the next ten steps, and decide the replicas of every deployment."""
+    """Train and store, then one cycle with the stored models: forecast ten steps, decide, guard, act.
+
+    Weights are those after the last cycle with actuals, and the cooldown runs from the last
+    executed decision of the history.
+    """
     rows = frame(spark, sf_dir)
-    made = flows.predict(rows, SERIES, "ts", trained(spark, sf_dir), step_s=7200, lookback=24, horizon=10)
+    path = scratch_dir(spark, "models")
+    fitted = trained(spark, sf_dir, path, True)
+    models = flows.load(fitted.registry, SERIES, path, fitted.columns)
+    errors = ensemble.cycle_errors(forecast_pairs(spark, sf_dir), CYCLE)
+    weights = ensemble.latest_weights(ensemble.adaptive_weights(errors, SERIES, "cycle"), SERIES, "cycle")
+    last = guarded(spark, sf_dir).filter("executed").groupBy(*SERIES).agg(F.max("ts").alias("last_executed"))
     replicas = rows.groupBy(*SERIES).agg(F.max_by("ready_replicas", F.when(F.col("ready_replicas").isNotNull(), F.col("ts"))).cast("int").alias("current_replicas"))
-    return flows.decide(made, replicas, SERIES)
+    return flows.tick(
+        rows, SERIES, "ts", models, replicas, last_executed=last, weights=weights, guard=GUARD, step_s=7200, lookback=24, horizon=10
+    )

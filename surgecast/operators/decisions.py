@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import DAY, SLOT, carry, micros, with_slot
+from ..plans.blocks import DAY, SLOT, carry, join_series, micros, with_slot
 from ..session import materialise
 from .ensemble import replicas_for, unknown
 
@@ -198,8 +198,13 @@ def guard_decisions(
     taken = executed_times(df.filter(acts & moves), keys, ts, guard.cooldown_s, slot_s=slot_s)
     rows = df.join(taken, [*keys, ts], "left").withColumn("executed", F.coalesce("_executed", F.lit(False))).drop("_executed")
     rows = carry(rows, keys, ts, {"_last": F.when(F.col("executed"), micros(ts))}, slot_s=slot_s, strict=True)
+    return rows.select(*[c.alias(n) for n, c in _guarded_columns(df.columns, ts, guard).items()], "executed")
+
+
+def _guarded_columns(columns: Sequence[str], ts: str, guard: GuardConfig) -> dict[str, Column]:
+    """Decision columns after cooldown and rate limit, given the last execution before each row in ``_last``."""
+    acts, blocked = F.col("direction") != "none", _blocked(ts, guard)
     left = F.lit(guard.cooldown_s) - (micros(ts) - F.col("_last")) / 1_000_000
-    blocked = acts & F.coalesce(left > 0, F.lit(False))
     limited = limited_target(guard)
     reason = (
         F.when(~acts, F.col("reason"))
@@ -211,7 +216,27 @@ def guard_decisions(
     target = F.when(acts & ~blocked, limited).otherwise(F.col("target_replicas"))
     approved = F.when(acts, ~blocked).otherwise(F.col("approved"))
     new = {"target_replicas": target, "reason": reason, "approved": approved}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns], "executed")
+    return {c: new.get(c, F.col(c)) for c in columns}
+
+
+def _blocked(ts: str, guard: GuardConfig) -> Column:
+    left = F.lit(guard.cooldown_s) - (micros(ts) - F.col("_last")) / 1_000_000
+    return (F.col("direction") != "none") & F.coalesce(left > 0, F.lit(False))
+
+
+def guard_now(df: DataFrame, last: DataFrame | None, keys: Sequence[str], ts: str, guard: GuardConfig = GuardConfig()) -> DataFrame:
+    """Guard one decision per series, given ``last(series…, last_executed)``; a series without one is free to act.
+
+    What a control tick does: the history of a series is one time, and ``executed`` rows are
+    its next one.
+    """
+    if last is None:
+        rows = df.withColumn("_last", F.lit(None).cast("long"))
+    else:
+        rows = join_series(df, last.select(*keys, micros("last_executed").alias("_last")), keys)
+    moves = limited_target(guard) != F.col("current_replicas").cast("int")
+    executed = (F.col("direction") != "none") & ~_blocked(ts, guard) & moves
+    return rows.select(*[c.alias(n) for n, c in _guarded_columns(df.columns, ts, guard).items()], F.coalesce(executed, F.lit(False)).alias("executed"))
 
 
 def actions(guarded: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

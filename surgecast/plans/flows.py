@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
-from ..operators.decisions import DecisionConfig
+from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import join_series
 from ..session import materialise
 
@@ -76,10 +76,12 @@ def train(
     registry: DataFrame | None = None,
     base_path: str = "models",
     keep: int = lifecycle.KEEP_VERSIONS,
+    store: bool = False,
 ) -> Trained:
     """Train both models for every series, register, promote and prune a version each.
 
-    A series shorter than ``min_hours`` gets the seasonal model only.
+    A series shorter than ``min_hours`` gets the seasonal model only. With ``store`` the
+    coefficients and scalers are kept under ``base_path`` (see ``load``).
     """
     keys = list(keys)
     cleaned = materialise(cleaning.clean(frame, keys, ts), "cleaned")
@@ -114,11 +116,60 @@ def train(
     metrics = F.create_map(*[part for n in names for part in (F.lit(n), F.col(n).cast("string"))])
     runs = summary.join(newest, keys).select(*keys, "created_at", metrics.alias("metrics"))
     versions = materialise(lifecycle.create_versions(registry, runs, keys, base_path), "versions")
-    versions = lifecycle.promote(versions, lifecycle.latest_choice(versions, keys), keys)
+    newest_version = lifecycle.latest_choice(versions, keys)
+    if store:
+        _store({"seasonal": seasonal, "sequence": sequence, "scaler": scaler}, newest_version, keys, base_path)
+    versions = lifecycle.promote(versions, newest_version, keys)
     versions = materialise(lifecycle.prune(versions, keys, keep), "registry")
     return Trained(seasonal, sequence, scaler, columns, versions, summary)
 
 
+def _store(parts: dict[str, DataFrame], versions: DataFrame, keys: Sequence[str], base_path: str) -> None:
+    """Append each part's rows with their series' version, one folder per part and version."""
+    for name, rows in parts.items():
+        join_series(rows, versions, keys, "inner").write.mode("append").partitionBy("version").parquet(f"{base_path}/{name}")
+
+
+def load(registry: DataFrame, keys: Sequence[str], base_path: str, columns: Sequence[str]) -> Trained:
+    """The stored models of every series' active version.
+
+    Versions are a partition of the stored tables; other versions of a series are dropped by
+    an equi-join on (series, version).
+    """
+    spark = registry.sparkSession
+    active = lifecycle.active_versions(registry).select(*keys, "version")
+
+    def part(name: str) -> DataFrame:
+        stored = spark.read.option("inferSchema", False).parquet(f"{base_path}/{name}").withColumn("version", F.col("version").cast("string"))
+        return join_series(stored, active, [*keys, "version"], "inner").drop("version")
+
+    return Trained(part("seasonal"), part("sequence"), part("scaler"), list(columns), registry, registry.select(*keys).distinct())
+
+
+def tick(
+    frame: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    models: Trained,
+    replicas: DataFrame,
+    *,
+    last_executed: DataFrame | None = None,
+    weights: DataFrame | None = None,
+    config: DecisionConfig = DecisionConfig(),
+    guard: GuardConfig = GuardConfig(),
+    **predicting,
+) -> DataFrame:
+    """One control cycle: predict, decide, guard. One row per series with ``executed``.
+
+    ``weights`` are those of each series' last cycle (``ensemble.latest_weights``) and
+    ``last_executed(series…, last_executed)`` its last action. ``decisions.actions`` lists
+    what to carry out; executed rows are the events that the next cycle needs.
+    """
+    made = predict(frame, keys, ts, models, weights=weights, **predicting)
+    decided = decide(made, replicas, keys, config)
+    return decisions.guard_now(decided, last_executed, keys, "cycle", guard)
+
+
 def predict(
     frame: DataFrame,
     keys: Sequence[str],

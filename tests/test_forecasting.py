@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from surgecast.operators import forecasting, sequences
+from surgecast.operators import decisions, forecasting, sequences
 from surgecast.plans import flows
 
 STEP = 3600
@@ -93,3 +93,33 @@ def test_train_predict_decide(history):
     rows = flows.decide(made, replicas, ["s"]).orderBy("s").collect()
     assert [len(r["predicted_values"]) for r in rows] == [10, 10]
     assert rows[0]["direction"] == "up" and rows[1]["recommended_replicas"] == 50
+
+
+def test_stored_models_predict_the_same(history, tmp_path):
+    _, df = history
+    path = str(tmp_path / "models")
+    first = flows.train(df, ["s"], "ts", lookback=24, horizon=10, base_path=path, store=True)
+    again = flows.train(df, ["s"], "ts", lookback=24, horizon=10, base_path=path, store=True, registry=first.registry)
+    loaded = flows.load(again.registry, ["s"], path, again.columns)
+    assert loaded.seasonal.count() == 2
+    a = flows.predict(df, ["s"], "ts", again, step_s=STEP, lookback=24, horizon=10).orderBy("s").collect()
+    b = flows.predict(df, ["s"], "ts", loaded, step_s=STEP, lookback=24, horizon=10).orderBy("s").collect()
+    assert [r["predicted_values"] for r in a] == [r["predicted_values"] for r in b]
+
+
+def test_tick_guards_and_acts(history, spark):
+    pdf, df = history
+    models = flows.train(df, ["s"], "ts", lookback=24, horizon=10)
+    replicas = spark.createDataFrame([("a", 3), ("b", None)], "s string, current_replicas int")
+    now = pdf["ts"].max()
+    out = {}
+    for name, ago in (("free", 3600), ("blocked", 10)):
+        last = spark.createDataFrame([("a", (now - pd.Timedelta(seconds=ago)).to_pydatetime())], "s string, last_executed timestamp")
+        made = flows.tick(df, ["s"], "ts", models, replicas, last_executed=last, step_s=STEP, lookback=24, horizon=10)
+        out[name] = {r["s"]: r for r in made.collect()}
+        out[name + " actions"] = decisions.actions(made, ["s"], "cycle").count()
+    a, b = out["free"]["a"], out["blocked"]["a"]
+    assert a["executed"] and a["target_replicas"] == 8 and "capped at +5" in a["reason"]
+    assert not b["executed"] and not b["approved"] and "BLOCKED" in b["reason"]
+    assert (out["free actions"], out["blocked actions"]) == (1, 0)
+    assert out["free"]["b"]["direction"] == "none" and not out["free"]["b"]["approved"]
