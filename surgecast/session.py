@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -15,8 +16,21 @@ RUNTIME_CONF = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find this package when it is not installed.
+
+    On a cluster it comes with ``--py-files`` or the image, as any package does.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on to an existing session."""
+    importable(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
