@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, scratch_dir  # noqa: F401  re-exported for the operators
+from ..session import importable, materialise, scratch_dir  # noqa: F401  re-exported for the operators
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` finds the same runs.
 WORD_GAP = "[ \\t-\\r]+"
@@ -21,6 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     A batch of whole texts handed to Python is bounded by bytes, not only by rows, and
     shuffle files go when the job that wrote them ends.
     """
+    importable(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
