@@ -58,10 +58,10 @@ def paths(nodes: DataFrame) -> DataFrame:
         if not more.limit(1).count():
             return known
         known = known.unionAll(more)
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = materialise(
-            a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left").select("a.tree", "a.node", F.col("b.up").alias("up")), "up"
-        )
+        # Nodes without an ancestor that far up leave the table, so its rounds add up to about twice its rows.
+        a, b = jump.filter("up is not null").alias("a"), jump.filter("up is not null").alias("b")
+        on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
+        jump = materialise(a.join(b, on).select("a.tree", "a.node", F.col("b.up").alias("up")), "up")
         width *= 2
 
 
