@@ -125,3 +125,35 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labelled ones."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op9_embedding_dedup"] = """
+WITH RECURSIVE cast_rows AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT * FROM cast_rows WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS low FROM good
+  UNION SELECT l.b, r.low FROM reach r JOIN link l ON l.a = r.node),
+lows AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(vec_id = coalesce(low, vec_id), TRUE) AS kept
+FROM cast_rows LEFT JOIN degree ON a = vec_id LEFT JOIN lows ON node = vec_id"""
+
+SQL["op10_substring_dedup"] = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM docs WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM later, (SELECT unnest(range(0, 20)) AS o)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+kept AS (
+  SELECT w.doc_id, count(*) AS n_words, count(g.p) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY w.p) FILTER (g.p IS NULL), '') AS text
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""
