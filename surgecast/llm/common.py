@@ -13,6 +13,8 @@ from ..session import importable, materialise, scratch_dir  # noqa: F401  re-exp
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` finds the same runs.
 WORD_GAP = "[ \\t-\\r]+"
+#: Texts that one batch hands to Python; words cut from them take about ten times that.
+BATCH_BYTES = 3 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 

@@ -51,7 +51,7 @@ class _Words:
     merges, without its normaliser, which leaves ``_plain`` texts in lower case as they are.
     """
 
-    def __init__(self, name: str, most: int = 400_000):
+    def __init__(self, name: str, most: int = 150_000):
         self.tokenizer, self.most = _exact(name), most
         self.model, self.letters, self.find = self.tokenizer.model, _byte_letters(), regex.compile(PRE_TOKENS).findall
         self.known: dict[str, bytes] = {}

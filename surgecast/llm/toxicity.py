@@ -25,7 +25,7 @@ STRONG, CEILING = 4.0, 12.0
 #: A class needs this many labelled documents, or the score is the base rate.
 LEAST = 3
 #: Words whose scores a worker keeps.
-KNOWN = 300_000
+KNOWN = 150_000
 
 CLASSES = ("toxic", "plain", "rest")
 
