@@ -12,8 +12,8 @@ SIMILARITY = 0.8
 #: Fingerprints have 2 x 64 bits; 32 blocks of four bits find everything within 31 bits.
 RADIUS = 31
 BLOCKS = RADIUS + 1
-#: Benchmark shingles, or keys of suspect documents, that are sent to all executors at once.
-BROADCAST_ROWS = 1_000_000
+#: Benchmark shingles, or keys of suspect documents, that are sent to all executors at once; a row has two or three numbers.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -114,7 +114,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     last = F.least(F.col("pos"), F.col("len") - F.col("n"))
     starts = hits.filter(first <= last).select("k1", "k2", "n", F.explode(F.sequence(first, last)).alias("start")).distinct()
     per_doc = materialise(starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("wanted")), "wanted")
-    texts = keyed.join(_bounded(per_doc), ["k1", "k2"]).select("k1", "k2", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "wanted").dropDuplicates(["k1", "k2"])
+    # First the suspect documents by their keys alone, then what is wanted from each.
+    suspects = keyed.join(_bounded(per_doc.select("k1", "k2")), ["k1", "k2"], "left_semi").select("k1", "k2", "words")
+    texts = suspects.join(per_doc, ["k1", "k2"]).select("k1", "k2", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "wanted").dropDuplicates(["k1", "k2"])
     cut = F.transform("wanted", lambda x: F.struct(x["start"].alias("start"), F.slice("hashes", x["start"] + 1, x["n"]).alias("hashes")))
     windows = texts.select("k1", "k2", F.explode(cut).alias("w")).select("k1", "k2", "w.start", "w.hashes")
     prints = materialise(_fingerprints(windows, ["k1", "k2", "start"]), "prints")
