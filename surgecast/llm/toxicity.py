@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ from .common import materialise
 #: Characters of one n-gram, word edges included.
 ORDER = 5
 DISCOUNT = 0.75
-#: Slots of the n-gram tables; with the two tables of floats below they bound the model.
-SLOTS = 1 << 21
 #: What the calibration sees of a text: its log-likelihood ratio for each character; that of
 #: the words which alone are e**STRONG times likelier in toxic texts, on a log scale; and
 #: that of the likeliest word.
@@ -24,8 +23,10 @@ RAW = ("mean", "strong", "most")
 STRONG, CEILING = 4.0, 12.0
 #: A class needs this many labelled documents, or the score is the base rate.
 LEAST = 3
-#: Words whose scores a worker keeps.
+#: Words that a worker counts before it gives them out.
 KNOWN = 150_000
+#: The commonest words of at most LENGTH characters, whose scores all workers hold; those of the others are joined.
+COMMON, LENGTH = 100_000, 40
 
 CLASSES = ("toxic", "plain", "rest")
 
@@ -100,12 +101,12 @@ def _types(order: int):
     return run
 
 
-def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, n) of n-grams seen in a class, and (ctx, ratio, n) of their contexts for n-grams seen in neither.
+def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(gram, ratio) of every n-gram whose context some class has seen; the ratio of the others is zero.
 
     Each class discounts its own counts and backs off to one distribution for both: the
     continuation counts of the next shorter n-grams over all documents, which back off to
-    those of single characters. Where a class has not seen an n-gram, the shared factor
+    those of single characters. Where no class has seen an n-gram, the shared factor
     cancels and the ratio is that of the back-off weights.
     """
     d = F.lit(discount)
@@ -120,65 +121,99 @@ def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame,
     ctx = types.groupBy("ctx").agg(*[F.sum(c).alias(f"{c}_n") for c in CLASSES[:2]], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in CLASSES[:2]])
     ctx = materialise(ctx.filter("toxic_n + plain_n > 0"), "contexts")
 
-    def weight(c: str):
-        return F.when(F.col(f"{c}_n") > 0, d * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0)
-
     def p(c: str):
+        weight = F.when(F.col(f"{c}_n") > 0, d * F.col(f"{c}_kinds") / F.col(f"{c}_n")).otherwise(1.0)
         own = F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0)
-        return own + weight(c) * F.col("back")
-
-    seen = types.filter("toxic + plain > 0").join(ctx, "ctx").join(shared, "mid")
-    grams = seen.select("gram", F.log(p("toxic") / p("plain")).alias("ratio"), (F.col("toxic") + F.col("plain")).alias("n"))
-    contexts = ctx.select(F.col("ctx").alias("gram"), F.log(weight("toxic") / weight("plain")).alias("ratio"), (F.col("toxic_n") + F.col("plain_n")).alias("n"))
-    return grams, contexts
-
-
-def _slots(ratios: DataFrame) -> np.ndarray:
-    """Ratios by hash slot as a table of fixed size; n-grams that share a slot are averaged by count."""
-    by = ratios.groupBy(F.col("gram").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio"))
-    out = np.full(SLOTS, np.nan, np.float32)
-    got = by.toArrow()
-    out[got.column("slot").to_numpy()] = got.column("ratio").to_numpy()
-    return out
-
-
-class _Scorer:
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray, order: int):
-        self.grams, self.contexts, self.order = grams, contexts, order
-        self.known: dict[str, float] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            which, _, (_, _, ctx, top) = _grams(part, self.order)
-            r = self.grams[(top & np.uint64(SLOTS - 1)).astype(np.int64)]
-            back = self.contexts[(ctx & np.uint64(SLOTS - 1)).astype(np.int64)]
-            r = np.where(np.isnan(r), np.where(np.isnan(back), 0, back), r)
-            self.known.update(zip(part, np.bincount(which, r, len(part)).tolist()))
-
-
-def _scores(tables, order: int, kind: str):
+        return own + weight * F.col("back")
+
+    return types.join(ctx, "ctx").join(shared, "mid").select("gram", F.log(p("toxic") / p("plain")).alias("ratio"))
+
+
+def _word_grams(order: int):
+    """Each n-gram of distinct words and how often the word holds it; ``w`` is a hash of the word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(*tables.value, order)
         for batch in batches:
-            split = [_words(t or "") for t in batch.column("text").to_pylist()]
-            scorer.learn({w for ws in split for w in ws})
-            get = scorer.known.__getitem__
-            out = np.zeros((len(split), 3))
-            for i, ws in enumerate(split):
-                if ws:
-                    v = np.fromiter(map(get, ws), np.float64, len(ws))
-                    strong = v[v > STRONG]
-                    out[i] = v.sum() / (sum(map(len, ws)) + len(ws)), np.log1p(strong.sum()), min(v.max(), CEILING)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x) for x in out.T.copy()]], names=["doc_id", *RAW])
+            if not batch.num_rows:
+                continue
+            which, _, (_, _, _, top) = _grams(batch.column("word").to_pylist(), order)
+            by = np.lexsort((top, which))
+            which, top = which[by], top[by]
+            first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (top[1:] != top[:-1])]))
+            times = np.diff(np.append(first, len(top)))
+            w = batch.column("w").to_numpy()[which[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(top[first].view(np.int64)), pa.array(times)], names=["w", "gram", "times"])
 
     return run
 
 
+def word_scores(words: DataFrame, types: DataFrame, order: int) -> DataFrame:
+    """(w, word, total, value): the log-likelihood ratio of every distinct word, ``w`` its 64-bit hash."""
+    total = (F.col("toxic") + F.col("plain") + F.col("rest")).alias("total")
+    keyed = words.select(F.xxhash64("word").alias("w"), "word", total)
+    cut = keyed.select("w", "word").mapInArrow(_word_grams(order), "w long, gram long, times long")
+    sums = cut.join(log_ratios(types), "gram").groupBy("w").agg(F.sum(F.col("ratio") * F.col("times")).alias("value"))
+    return keyed.join(sums, "w", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+class _Common(dict):
+    """Values of the common words, NaN for all others."""
+
+    def __missing__(self, word: str) -> float:
+        return np.nan
+
+
+def _partial(common, kind: str):
+    """What the common words say of each row, and the hashes and counts of its other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        get = _Common(zip(known.column("word").to_pylist(), known.column("value").to_pylist())).__getitem__
+        for batch in batches:
+            n, sums, strong, most, rare = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                ws = _words(text or "")
+                v = np.fromiter(map(get, ws), np.float64, len(ws))
+                other = np.isnan(v)
+                rare.append([{"w": w, "n": c} for w, c in Counter(_hash(ws[i]) for i in np.flatnonzero(other).tolist()).items()])
+                v = v[~other]
+                n.append(sum(map(len, ws)) + len(ws))
+                sums.append(v.sum())
+                strong.append(v[v > STRONG].sum())
+                most.append(v.max() if len(v) else None)
+            cols = [pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(strong, pa.float64()), pa.array(most, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *cols], names=["row", "doc_id", "chars", "all", "high", "top", "rare"])
+
+    return run
+
+
+def _hash(word: str) -> int:
+    """What Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _evidence(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """The columns of ``RAW`` for every row of ``rows`` (doc_id, text).
+
+    Values of the commonest words are sent to all workers, a table of bounded size. Each
+    other word of a row meets its value in a join, so the word table may grow with the input.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = spark.sparkContext.broadcast(scores.filter(F.length("word") <= LENGTH).orderBy(F.desc("total"), "w").limit(COMMON).select("word", "value").toArrow())
+    types = f"row long, doc_id {kind}, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
+    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(held, kind), types), "partial")
+    held.unpersist()
+    others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(scores.select("w", "value"), "w")
+    value, high = F.col("value") * F.col("n"), F.when(F.col("value") > STRONG, F.col("value") * F.col("n"))
+    added = others.groupBy("row").agg(F.sum(value).alias("_all"), F.sum(high).alias("_high"), F.max("value").alias("_top"))
+    zero = F.lit(0.0)
+    mean = F.when(F.col("chars") > 0, (F.col("all") + F.coalesce("_all", zero)) / F.col("chars")).otherwise(0.0)
+    most = F.least(F.coalesce(F.greatest("top", "_top"), zero), F.lit(CEILING))
+    return part.drop("rare").join(added, "row", "left").select("doc_id", mean.alias("mean"), F.log1p(F.col("high") + F.coalesce("_high", zero)).alias("strong"), most.alias("most"))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """(weights, intercept) of a slightly penalised logistic regression of ``y`` on the columns of ``x``."""
     centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
@@ -241,9 +276,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, samp
     grams = words.mapInArrow(_types(order), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")
     same = [F.first(c).alias(c) for c in ("ctx", "mid", "low_ctx", "code")]
     types = materialise(grams.groupBy("gram").agg(*same, *sums), "types")
-    tables = spark.sparkContext.broadcast(tuple(_slots(r) for r in log_ratios(types)))
-    raw = materialise(rows.mapInArrow(_scores(tables, order, kind), f"doc_id {kind}, " + ", ".join(f"{c} double" for c in RAW)), "raw")
-    tables.unpersist()
+    scores = materialise(word_scores(words, types, order), "scores")
+    raw = materialise(_evidence(rows, scores), "raw")
 
     fit = spark.createDataFrame(pa.table({"doc_id": ids[folds == 1], "toxic": toxic[folds == 1]}))
     fitted = raw.join(fit.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id").select(*RAW, "toxic").toArrow()
