@@ -163,7 +163,7 @@ class _Common(dict):
         return np.nan
 
 
-def _partial(common, kind: str):
+def _partial(common):
     """What the common words say of each row, and the hashes and counts of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _partial(common, kind: str):
                 strong.append(v[v > STRONG].sum())
                 most.append(v.max() if len(v) else None)
             cols = [pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(strong, pa.float64()), pa.array(most, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *cols], names=["row", "doc_id", "chars", "all", "high", "top", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("tag"), *cols], names=["row", "doc_id", "tag", "chars", "all", "high", "top", "rare"])
 
     return run
 
@@ -194,7 +194,7 @@ def _hash(word: str) -> int:
 
 
 def _evidence(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """The columns of ``RAW`` for every row of ``rows`` (doc_id, text).
+    """doc_id, tag and the columns of ``RAW`` for every row of ``rows`` (doc_id, tag, text).
 
     Values of the commonest words are sent to all workers, a table of bounded size. Each
     other word of a row meets its value in a join, so the word table may grow with the input.
@@ -202,8 +202,8 @@ def _evidence(rows: DataFrame, scores: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = spark.sparkContext.broadcast(scores.filter(F.length("word") <= LENGTH).orderBy(F.desc("total"), "w").limit(COMMON).select("word", "value").toArrow())
-    types = f"row long, doc_id {kind}, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
-    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(held, kind), types), "partial")
+    types = f"row long, doc_id {kind}, tag long, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
+    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(held), types), "partial")
     held.unpersist()
     others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(scores.select("w", "value"), "w")
     value, high = F.col("value") * F.col("n"), F.when(F.col("value") > STRONG, F.col("value") * F.col("n"))
@@ -211,7 +211,7 @@ def _evidence(rows: DataFrame, scores: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     mean = F.when(F.col("chars") > 0, (F.col("all") + F.coalesce("_all", zero)) / F.col("chars")).otherwise(0.0)
     most = F.least(F.coalesce(F.greatest("top", "_top"), zero), F.lit(CEILING))
-    return part.drop("rare").join(added, "row", "left").select("doc_id", mean.alias("mean"), F.log1p(F.col("high") + F.coalesce("_high", zero)).alias("strong"), most.alias("most"))
+    return part.drop("rare").join(added, "row", "left").select("doc_id", "tag", mean.alias("mean"), F.log1p(F.col("high") + F.coalesce("_high", zero)).alias("strong"), most.alias("most"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -232,7 +232,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndar
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int = 500_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, score, predicted for every row of ``docs``; see ``_scored``."""
+    return _scored(docs, labels, order, sample).drop("tag")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, told apart by id and text hash."""
+    bad = _scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (_tag() == bad["_tag"]), "left_anti")
+
+
+def _tag():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int = 500_000) -> DataFrame:
+    """doc_id, tag (a hash of the text), held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, toxic) is read only where crc32 of the id modulo 5 is not 0, and at
     most ``sample`` rows of it, those with the smallest hash; remainder 1 calibrates and the
@@ -244,7 +259,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, samp
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", _tag().alias("tag"), "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold)
     known = known.filter("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
@@ -255,7 +270,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, samp
     held_out = (fold == 0).alias("held_out")
     counts = [int(((toxic == c) & on).sum()) for c in (0, 1) for on in (folds == 1, folds > 1)]
     if min(counts) < LEAST:
-        flat = rows.select("doc_id", held_out, F.lit(base).alias("score"))
+        flat = rows.select("doc_id", "tag", held_out, F.lit(base).alias("score"))
         return flat.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
     count_ids, count_class = ids[folds > 1], np.where(toxic[folds > 1] == 1, 0, 1)
 
@@ -288,5 +303,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, samp
     z = F.lit(intercept)
     for c, slope in zip(RAW, slopes.tolist()):
         z = z + F.lit(slope) * F.col(c)
-    scored = raw.select("doc_id", held_out, (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).alias("score"))
+    scored = raw.select("doc_id", "tag", held_out, (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -100,3 +101,17 @@ def test_scores_equal_dictionaries(session, monkeypatch, common):
     want = plain_scores(docs, labels)
     assert [i for i, _ in found] == [i for i, _ in want]
     assert {a[0]: (a[1], b[1]) for a, b in zip(found, want) if abs(a[1] - b[1]) > 1e-6} == {}
+
+
+def test_a_toxic_row_takes_no_other_row_along(session, tmp_path):
+    """A clean row that shares a null or repeated id with a toxic one stays."""
+    docs, labels = case()
+    toxic, fine = "grubwort snarkel grubwort snarkel", docs[1][1]
+    odd = [(None, toxic), (None, fine), (950, toxic), (950, fine), (951, None), (951, toxic)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = session.createDataFrame([(i, t, "en", "s", 1) for i, t in [*docs, *odd]], schema)
+    session.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity_filter(session, rows, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] in (None, 950, 951))
+    assert kept.columns == rows.columns
+    assert got == Counter([(None, "no id here"), (None, fine), (950, fine), (951, None)])
