@@ -23,10 +23,10 @@ RAW = ("mean", "strong", "most")
 STRONG, CEILING = 4.0, 12.0
 #: A class needs this many labelled documents, or the score is the base rate.
 LEAST = 3
-#: Words that a worker counts before it gives them out.
+#: Words whose counts or scores a worker keeps.
 KNOWN = 150_000
-#: The commonest words of at most LENGTH characters, whose scores all workers hold; those of the others are joined.
-COMMON, LENGTH = 100_000, 40
+#: N-grams whose ratios all workers hold, the commonest; those of the others are joined.
+COMMON = 1 << 20
 
 CLASSES = ("toxic", "plain", "rest")
 
@@ -102,7 +102,7 @@ def _types(order: int):
 
 
 def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """(gram, ratio) of every n-gram whose context some class has seen; the ratio of the others is zero.
+    """(gram, total, ratio) of every n-gram; the ratio is zero where no class has seen the context.
 
     Each class discounts its own counts and backs off to one distribution for both: the
     continuation counts of the next shorter n-grams over all documents, which back off to
@@ -126,56 +126,85 @@ def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         own = F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0)
         return own + weight * F.col("back")
 
-    return types.join(ctx, "ctx").join(shared, "mid").select("gram", F.log(p("toxic") / p("plain")).alias("ratio"))
+    ratio = F.coalesce(F.log(p("toxic") / p("plain")), F.lit(0.0)).alias("ratio")
+    return types.join(shared, "mid").join(ctx, "ctx", "left").select("gram", (F.col("toxic") + F.col("plain") + F.col("rest")).alias("total"), ratio)
 
 
-def _word_grams(order: int):
-    """Each n-gram of distinct words and how often the word holds it; ``w`` is a hash of the word."""
+def _commonest(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in order and their ratios, at most ``COMMON`` of them: those above a count, in steps of a quarter octave."""
+    size = F.floor(4 * F.log2("total"))
+    room, least = COMMON, None
+    for r in sorted(ratios.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # one row per step
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    got = ratios.filter(size >= least if least is not None else F.lit(False)).select("gram", "ratio").toArrow()
+    keys, values = got.column("gram").to_numpy(), got.column("ratio").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], values[by]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    """Ratios of n-grams, NaN where the table does not hold them."""
+    keys, values = table
+    if not len(keys):
+        return np.full(len(grams), np.nan)
+    grams = grams.view(np.int64)
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    return np.where(keys[at] == grams, values[at], np.nan)
+
+
+def _uncommon(common, order: int):
+    """N-grams that the table of the workers lacks, with the hash ``w`` of their word; ``part`` adds up to what the table says of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             which, _, (_, _, _, top) = _grams(batch.column("word").to_pylist(), order)
-            by = np.lexsort((top, which))
-            which, top = which[by], top[by]
-            first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (top[1:] != top[:-1])]))
-            times = np.diff(np.append(first, len(top)))
-            w = batch.column("w").to_numpy()[which[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(top[first].view(np.int64)), pa.array(times)], names=["w", "gram", "times"])
+            r = _look_up(common.value, top)
+            lacking = np.isnan(r)
+            part = np.bincount(which[~lacking], r[~lacking], batch.num_rows)
+            which, top = which[lacking], top[lacking]
+            first = np.concatenate([[True], which[1:] != which[:-1]])[: len(which)]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("w").to_numpy()[which]), pa.array(top.view(np.int64)), pa.array(np.where(first, part[which], 0.0))], names=["w", "gram", "part"])
 
     return run
 
 
-def word_scores(words: DataFrame, types: DataFrame, order: int) -> DataFrame:
-    """(w, word, total, value): the log-likelihood ratio of every distinct word, ``w`` its 64-bit hash."""
-    total = (F.col("toxic") + F.col("plain") + F.col("rest")).alias("total")
-    keyed = words.select(F.xxhash64("word").alias("w"), "word", total)
-    cut = keyed.select("w", "word").mapInArrow(_word_grams(order), "w long, gram long, times long")
-    sums = cut.join(log_ratios(types), "gram").groupBy("w").agg(F.sum(F.col("ratio") * F.col("times")).alias("value"))
-    return keyed.join(sums, "w", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-
+class _Scorer:
+    """Log-likelihood ratios of words, NaN where an n-gram is not in the table."""
 
-class _Common(dict):
-    """Values of the common words, NaN for all others."""
+    def __init__(self, table: tuple[np.ndarray, np.ndarray], order: int):
+        self.table, self.order = table, order
+        self.known: dict[str, float] = {}
 
-    def __missing__(self, word: str) -> float:
-        return np.nan
+    def learn(self, words: set[str]) -> None:
+        new = list(words - self.known.keys())
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = list(words)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            which, _, (_, _, _, top) = _grams(part, self.order)
+            self.known.update(zip(part, np.bincount(which, _look_up(self.table, top), len(part)).tolist()))
 
 
-def _partial(common):
-    """What the common words say of each row, and the hashes and counts of its other words."""
+def _partial(common, order: int):
+    """What each row's words tell by the table of the workers, and the hashes and counts of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        get = _Common(zip(known.column("word").to_pylist(), known.column("value").to_pylist())).__getitem__
+        scorer = _Scorer(common.value, order)
         for batch in batches:
+            split = [_words(t or "") for t in batch.column("text").to_pylist()]
+            scorer.learn({w for ws in split for w in ws})
+            get = scorer.known.__getitem__
             n, sums, strong, most, rare = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ws = _words(text or "")
+            for ws in split:
                 v = np.fromiter(map(get, ws), np.float64, len(ws))
                 other = np.isnan(v)
-                rare.append([{"w": w, "n": c} for w, c in Counter(_hash(ws[i]) for i in np.flatnonzero(other).tolist()).items()])
+                rare.append([{"w": _hash(w), "n": c} for w, c in Counter(ws[i] for i in np.flatnonzero(other).tolist()).items()])
                 v = v[~other]
                 n.append(sum(map(len, ws)) + len(ws))
                 sums.append(v.sum())
@@ -193,19 +222,21 @@ def _hash(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _evidence(rows: DataFrame, scores: DataFrame) -> DataFrame:
+def _evidence(rows: DataFrame, words: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
     """doc_id, tag and the columns of ``RAW`` for every row of ``rows`` (doc_id, tag, text).
 
-    Values of the commonest words are sent to all workers, a table of bounded size. Each
-    other word of a row meets its value in a join, so the word table may grow with the input.
+    The commonest n-grams are sent to all workers, a table of bounded size. Words that hold
+    any other are valued by a join with all ratios and meet their rows in another, so the
+    model may grow with the input.
     """
-    spark = rows.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
-    held = spark.sparkContext.broadcast(scores.filter(F.length("word") <= LENGTH).orderBy(F.desc("total"), "w").limit(COMMON).select("word", "value").toArrow())
+    common = rows.sparkSession.sparkContext.broadcast(_commonest(ratios))
     types = f"row long, doc_id {kind}, tag long, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
-    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(held), types), "partial")
-    held.unpersist()
-    others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(scores.select("w", "value"), "w")
+    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(common, order), types), "partial")
+    lacking = words.select(F.xxhash64("word").alias("w"), "word").mapInArrow(_uncommon(common, order), "w long, gram long, part double")
+    values = materialise(lacking.join(ratios, "gram").groupBy("w").agg(F.sum(F.col("part") + F.col("ratio")).alias("value")), "values")
+    common.unpersist()
+    others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(values, "w")
     value, high = F.col("value") * F.col("n"), F.when(F.col("value") > STRONG, F.col("value") * F.col("n"))
     added = others.groupBy("row").agg(F.sum(value).alias("_all"), F.sum(high).alias("_high"), F.max("value").alias("_top"))
     zero = F.lit(0.0)
@@ -291,8 +322,8 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int
     grams = words.mapInArrow(_types(order), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")
     same = [F.first(c).alias(c) for c in ("ctx", "mid", "low_ctx", "code")]
     types = materialise(grams.groupBy("gram").agg(*same, *sums), "types")
-    scores = materialise(word_scores(words, types, order), "scores")
-    raw = materialise(_evidence(rows, scores), "raw")
+    ratios = materialise(log_ratios(types), "ratios")
+    raw = materialise(_evidence(rows, words, ratios, order), "raw")
 
     fit = spark.createDataFrame(pa.table({"doc_id": ids[folds == 1], "toxic": toxic[folds == 1]}))
     fitted = raw.join(fit.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id").select(*RAW, "toxic").toArrow()
