@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings_dedup, packing, pii, quality, simhash, substring_dedup, token_counts, toxicity
-from .common import materialise, table
+from . import chat, decontaminate, embeddings_dedup, packing, pii, prefix_trie, quality, sharding, simhash, substring_dedup, token_counts, toxicity, whitening
+from .common import materialise, scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,6 +127,30 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight components of all vectors, scaled to unit variance."""
+    return whitening.whitened(whitening.scaled(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct opening of the conversations, after they were given common ones."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.shared_openings(turns))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, read back from the shards written."""
+    shards = sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_dir(spark, "shards"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return shards.select(
+        "doc_id", sharding.size().alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 SQL["op9_embedding_dedup"] = """
 WITH RECURSIVE cast_rows AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 good AS (
@@ -157,3 +181,33 @@ kept AS (
   FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+#: The unsigned crc32 of an id in decimals, bit by bit: a byte is mixed in, and -1 shifts once.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384::BIGINT * (s & 1)) END), 4294967295::BIGINT)"""
+
+SQL["op12_prefix_trie"] = f"""
+WITH given AS (
+  SELECT conv_id, [struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))] AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, flatten(list(turn ORDER BY pos)) AS turns FROM given GROUP BY conv_id),
+hashed AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM convs),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN convs b ON b.conv_id = c.base),
+members AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM members GROUP BY ALL),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE length(n.prefix[-1].t) END AS saved
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+children AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sized AS (SELECT l.*, coalesce(c.n, 0) AS n_children FROM linked l LEFT JOIN children c ON c.prefix = l.prefix AND c.depth = l.depth),
+upward AS (SELECT prefix[1:d] AS prefix, d AS depth, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM sized)),
+totals AS (SELECT prefix, depth, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM upward GROUP BY ALL)
+SELECT s.conv_id, s.depth, s.parent_conv_id, s.n_convs, s.n_children, t.n_leaves, t.saved_tokens, s.ends_sha256
+FROM sized s JOIN totals t ON t.prefix = s.prefix AND t.depth = s.depth"""
