@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ MAX_LEN = 4096
 END_ID = 2
 #: Rows of one length that are ranked in one task.
 RANKED = 2_000
+#: Pieces handed back in one batch.
+PIECES = 2_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -31,10 +35,6 @@ def _exact(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-#: The pre-tokens of this vocabulary, as its file states them.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next free one from 256."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -42,75 +42,131 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The pre-tokens of this vocabulary, as its file states them, all but the runs
+#: of letters that they leave between them; with white space that this syntax does not count.
+BETWEEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\x0b\xa0\p{L}\p{N}]+"
+#: Letters beyond Latin ones, control separators, the letter whose lower case has two code points, and special strings.
+ODD = "[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]|" + "|".join(regex.escape(s) for s in SPECIAL)
+#: Marks the end of a text, and from ``APART`` on texts that are encoded apart; no other text holds such characters.
+END, APART = "\ue000", 0xF0000
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The slices flat[start : start + size], one after another."""
+    stops = np.cumsum(sizes)
+    at = np.repeat(starts - stops + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class _Words:
-    """Token ids of white-space runs as little-endian bytes, kept for up to ``most`` runs.
+    """Token ids of pre-tokens, kept for up to ``most`` of them.
 
     This vocabulary's tokenizer drops white space and never merges across pre-tokens, so a
-    text's ids are those of its runs, and a run's ids those of its pre-tokens, in order.
-    Frequent runs and pre-tokens are looked up; others go through the tokenizer's own
-    merges, without its normaliser, which leaves ``_plain`` texts in lower case as they are.
+    text's ids are those of its pre-tokens, in order. A pre-token is encoded once, by the
+    tokenizer's own merges, without its normaliser, which leaves ``_plain`` texts in lower
+    case as they are; its ids lie at its slot in ``flat``. Slot 0 is empty, slot 1 the end
+    of a text. When there is no more room, the pre-tokens of the last batch stay.
     """
 
-    def __init__(self, name: str, most: int = 150_000):
+    def __init__(self, name: str, end_id: int, most: int = 400_000):
         self.tokenizer, self.most = _exact(name), most
-        self.model, self.letters, self.find = self.tokenizer.model, _byte_letters(), regex.compile(PRE_TOKENS).findall
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, word: str) -> bytes:
-        ids = self.parts.get(word)
-        if ids is None:
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.parts[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return ids
-
-    def learn(self, runs: set[str]) -> None:
-        new = runs - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = runs
-        part, find = self.part, self.find
-        for w in new:
-            self.known[w] = b"".join(map(part, find(w)))
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.tokenise, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.ends = np.array([end_id], np.uint32)
+        self._keep([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.slots = {w: i for i, w in enumerate(["", END, *words])}
+        self._grow(np.concatenate([[0, 1], sizes]), np.concatenate([self.ends, flat]))
+
+    def _grow(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.sizes, self.flat, self.starts = sizes, flat, np.cumsum(sizes) - sizes
+
+    def encode(self, word: str) -> list[int]:
+        if not (word.isascii() and word.isalpha()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenise(word)]
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Slots of distinct ``words``, which are known from then on."""
+        found = list(map(self.slots.get, words))
+        if None not in found:
+            return np.array(found, np.int64)
+        slots = np.array([-1 if s is None else s for s in found], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(self.slots) + len(new) > self.most:
+            old = np.flatnonzero(slots > 1)
+            sizes = self.sizes[slots[old]]
+            self._keep([words[i] for i in old.tolist()], sizes, _spread(self.starts[slots[old]], sizes, self.flat))
+            slots[old] = np.arange(2, len(old) + 2)
+        fresh = [words[i] for i in new.tolist()]
+        ids = list(map(self.encode, fresh))
+        first = len(self.slots)
+        self.slots.update(zip(fresh, range(first, first + len(fresh))))
+        slots[new] = np.arange(first, first + len(fresh))
+        self._grow(np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))]), np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)]))
+        return slots
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the tokens of all texts, each followed by its end, and how many each has."""
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, pa.scalar(""), texts)), BETWEEN, r" \0 ")
+        apart = [self.ids(t) for t in texts.filter(odd).to_pylist()]
+        if apart:
+            marks = iter(range(APART, APART + len(apart)))
+            plain = pc.if_else(odd, pa.array([chr(next(marks)) if o else "" for o in odd.to_pylist()]), plain)
+        words = pc.utf8_split_whitespace(pc.binary_join_element_wise(plain, END, " ")).flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        # Texts encoded apart follow the known ids, for this batch only.
+        at = {chr(APART + k): k for k in range(len(apart))}
+        slots = self.learn(["" if w in at else w for w in distinct] if apart else distinct)
+        sizes, flat, starts = self.sizes, self.flat, self.starts
+        if apart:
+            sizes = np.concatenate([sizes, list(map(len, apart))])
+            flat = np.concatenate([flat, *apart])
+            starts = np.cumsum(sizes) - sizes
+            for i, w in enumerate(distinct):
+                if w in at:
+                    slots[i] = len(self.sizes) + at[w]
+        slots = slots[words.indices.to_numpy()]
+        each = sizes[slots]
+        ends = np.cumsum(each)[slots == 1]
+        return _spread(starts[slots], each, flat), np.diff(ends, prepend=0)
 
 
 @lru_cache(2)
-def _words(name: str) -> _Words:
-    return _Words(name)
+def _words(name: str, end_id: int = END_ID) -> _Words:
+    return _Words(name, end_id)
 
 
 def _plain(text: str) -> bool:
-    """Latin letters and general punctuation without control separators or special strings: runs may be encoded apart."""
-    if not text.isascii() and max(text) >= "ɐ":
-        return False
-    return not any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ")) and not any(s in text for s in SPECIAL)
+    """Latin letters and general punctuation without control separators or special strings: pre-tokens may be encoded apart."""
+    return not pc.match_substring_regex(pa.scalar(text), ODD).as_py()
 
 
 def _tokenise(name: str, max_len: int, end_id: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(name)
+        words = _words(name, end_id)
         for batch in batches:
-            ids_of, texts, doc_ids = [], batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            split = [t.lower().split() if _plain(t) else None for t in texts]
-            words.learn({w for ws in split if ws for w in ws})
-            for t, ws in zip(texts, split):
-                ids_of.append((b"".join(map(words.known.__getitem__, ws)) if ws is not None else words.ids(t)) + end)
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens")}
-            for doc, ids in zip(doc_ids, ids_of):
-                total = len(ids) // 4
-                for at in range(0, total, max_len):
-                    piece = ids[4 * at : 4 * (at + max_len)]
-                    for k, v in zip(out, (doc, at, len(piece) // 4, piece, total)):
-                        out[k].append(v)
-            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            if not batch.num_rows:
+                continue
+            ids, sizes = words.documents(batch.column("text"))
+            pieces = -(-sizes // max_len)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * max_len
+            length = np.minimum(max_len, sizes[doc] - start)
+            stop = np.cumsum(length)
+            data = ids.astype("<u4", copy=False)
+            for a in range(0, len(doc), PIECES):
+                b = min(a + PIECES, len(doc))
+                low = int(stop[a] - length[a])
+                offsets = 4 * np.concatenate([[0], stop[a:b] - low])
+                part = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[low : int(stop[b - 1])])])
+                cols = [batch.column("doc_id").take(pa.array(doc[a:b])), pa.array(start[a:b]), pa.array(length[a:b]), part, pa.array(sizes[doc[a:b]])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     return run
 

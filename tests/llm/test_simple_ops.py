@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -227,15 +228,18 @@ def test_packing_edges(empty, session):
 
 
 def test_words_encode_like_the_tokenizer():
+    """Texts of all kinds in one batch, with room for all pre-tokens and for few."""
     rng = random.Random(1)
-    words = packing._words("word_bpe_49k.json")
     letters = [chr(i) for i in range(0x250)]
-    for n in range(6000):
-        t = "".join(rng.choice(letters if n % 2 else "ab c'sdlmrvt !?9É\t\n") for _ in range(rng.randint(0, 14)))
-        if packing._plain(t):
-            runs = t.lower().split()
-            words.learn(set(runs))
-            assert b"".join(map(words.known.__getitem__, runs)) == words.ids(t), repr(t)
+    texts = ["".join(rng.choice(letters if n % 2 else "ab c'sdlmrvt !?9É\t\n\x0b\xa0") for _ in range(rng.randint(0, 14))) for n in range(6000)]
+    texts += ["", " ", "a<|endoftext|>b", "<|EndOfText|> x", "漢字 and latin", "İstanbul", "e\u0301", "\ue000 x", "x\x1cy", "ǅ ǲ", "''s 'S 'll'll", chr(0xF0000) + " a", "x" * 9_000, "1234 ½²"]
+    for most in (400_000, 50):
+        words = packing._Words("word_bpe_49k.json", 2, most)
+        for at in range(0, len(texts), 700):
+            part = texts[at : at + 700]
+            ids, sizes = words.documents(pa.array(part))
+            cuts = np.split(ids, np.cumsum(sizes)[:-1])
+            assert [c.tolist() for c in cuts] == [[*words.ids(t).tolist(), 2] for t in part]
 
 
 # op4 -----------------------------------------------------------------------------------
