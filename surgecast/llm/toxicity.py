@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,46 +16,51 @@ from .common import materialise
 #: Characters of one n-gram, word edges included.
 ORDER = 5
 DISCOUNT = 0.75
-#: What the calibration sees of a text: its log-likelihood ratio for each character; that of
-#: the words which alone are e**STRONG times likelier in toxic texts, on a log scale; and
-#: that of the likeliest word.
+#: What the calibration sees of a text: its log-likelihood ratio for each character, and, as a
+#: few toxic words vanish in the mean of a long text, that of the words which alone are
+#: e**STRONG times likelier in toxic texts, on a log scale, and that of the likeliest word.
 RAW = ("mean", "strong", "most")
 STRONG, CEILING = 4.0, 12.0
 #: A class needs this many labelled documents, or the score is the base rate.
 LEAST = 3
-#: Words whose counts or scores a worker keeps.
-KNOWN = 150_000
+#: Words whose counts a worker keeps, and words whose values all workers hold, the commonest; the others' are joined.
+KNOWN = 600_000
+COMMON_WORDS = 1 << 20
 #: N-grams whose ratios all workers hold, the commonest; those of the others are joined.
 COMMON = 1 << 20
 
 CLASSES = ("toxic", "plain", "rest")
 
 
-def _words(text: str) -> list[str]:
-    return text.lower().split()
+def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-case words of all texts, encoded by the distinct ones, and the row of each."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    words, row = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    # White space at an end leaves an empty word.
+    real = pc.not_equal(words, "")
+    return words.filter(real).dictionary_encode(), row[real.to_numpy(zero_copy_only=False)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word by class, added up within a task and given out when many are held."""
-    held: dict[str, list[int]] = {}
+    held: list[pa.Table] = []
 
-    def out() -> pa.RecordBatch:
-        cols = list(zip(*held.values())) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["word", *CLASSES])
+    def added() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([(c, "sum") for c in CLASSES])
+        return sums.select(["word", *[f"{c}_sum" for c in CLASSES]]).rename_columns(["word", *CLASSES])
 
     for batch in batches:
-        per: dict[int, dict[str, int]] = {c: defaultdict(int) for c in range(3)}
-        for text, c in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist()):
-            counts = per[c]
-            for w in _words(text):
-                counts[w] += 1
-        for c, counts in per.items():
-            for w, n in counts.items():
-                held.setdefault(w, [0, 0, 0])[c] += n
-        if len(held) > KNOWN:
-            yield out()
-            held.clear()
-    yield out()
+        words, row = _split(batch.column("text"))
+        k = len(words.dictionary)
+        at = words.indices.to_numpy().astype(np.int64) * 3 + batch.column("class").to_numpy()[row]
+        counts = np.bincount(at, minlength=3 * k).reshape(k, 3)
+        held.append(pa.table([words.dictionary, *[pa.array(np.ascontiguousarray(c)) for c in counts.T]], names=["word", *CLASSES]))
+        if sum(t.num_rows for t in held) > KNOWN:
+            held = [added()]
+            if held[0].num_rows > KNOWN // 2:
+                yield from held.pop().to_batches(max_chunksize=50_000)
+    if held:
+        yield from added().to_batches(max_chunksize=50_000)
 
 
 _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -130,33 +135,37 @@ def log_ratios(types: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return types.join(shared, "mid").join(ctx, "ctx", "left").select("gram", (F.col("toxic") + F.col("plain") + F.col("rest")).alias("total"), ratio)
 
 
-def _commonest(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams in order and their ratios, at most ``COMMON`` of them: those above a count, in steps of a quarter octave."""
+def _commonest(rows: DataFrame, key: str, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their values, at most ``most`` of them: those whose ``total`` is above a count, in steps of a quarter octave."""
     size = F.floor(4 * F.log2("total"))
-    room, least = COMMON, None
-    for r in sorted(ratios.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # one row per step
+    room, least = most, None
+    for r in sorted(rows.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # one row per step
         room -= r["count"]
         if room < 0:
             break
         least = r["size"]
-    got = ratios.filter(size >= least if least is not None else F.lit(False)).select("gram", "ratio").toArrow()
-    keys, values = got.column("gram").to_numpy(), got.column("ratio").to_numpy()
+    got = rows.filter(size >= least if least is not None else F.lit(False)).select(key, value).toArrow()
+    keys, values = got.column(key).to_numpy(), got.column(value).to_numpy()
     by = np.argsort(keys)
     return keys[by], values[by]
 
 
-def _look_up(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """Ratios of n-grams, NaN where the table does not hold them."""
+def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Values of hashed n-grams or words, NaN where the table does not hold them."""
     keys, values = table
     if not len(keys):
-        return np.full(len(grams), np.nan)
-    grams = grams.view(np.int64)
-    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    return np.where(keys[at] == grams, values[at], np.nan)
+        return np.full(len(hashes), np.nan)
+    hashes = hashes.view(np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, values[at], np.nan)
 
 
-def _uncommon(common, order: int):
-    """N-grams that the table of the workers lacks, with the hash ``w`` of their word; ``part`` adds up to what the table says of it."""
+def _valued(common, order: int):
+    """The log-likelihood ratio of each distinct word, as far as the table of the workers tells.
+
+    A word whose n-grams are all there has one row, without ``gram``; another has a row for
+    each n-gram that is lacking, and ``part``, the ratios of the others, in the first of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,78 +174,76 @@ def _uncommon(common, order: int):
             which, _, (_, _, _, top) = _grams(batch.column("word").to_pylist(), order)
             r = _look_up(common.value, top)
             lacking = np.isnan(r)
-            part = np.bincount(which[~lacking], r[~lacking], batch.num_rows)
-            which, top = which[lacking], top[lacking]
-            first = np.concatenate([[True], which[1:] != which[:-1]])[: len(which)]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("w").to_numpy()[which]), pa.array(top.view(np.int64)), pa.array(np.where(first, part[which], 0.0))], names=["w", "gram", "part"])
+            part = np.bincount(which[~lacking], r[~lacking], batch.num_rows).astype(float)  # of no weights: whole numbers
+            open_, grams = which[lacking], top[lacking].view(np.int64)
+            first = np.concatenate([[True], open_[1:] != open_[:-1]])[: len(open_)]
+            whole = np.setdiff1d(np.arange(batch.num_rows), open_)
+            at = np.concatenate([whole, open_])
+            gram = pa.array(np.concatenate([np.zeros(len(whole), np.int64), grams]), mask=np.arange(len(at)) < len(whole))
+            parts = np.concatenate([part[whole], np.where(first, part[open_], 0.0)])
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("w").take(rows), batch.column("total").take(rows), gram, pa.array(parts)], names=["w", "total", "gram", "part"])
 
     return run
 
 
-class _Scorer:
-    """Log-likelihood ratios of words, NaN where an n-gram is not in the table."""
-
-    def __init__(self, table: tuple[np.ndarray, np.ndarray], order: int):
-        self.table, self.order = table, order
-        self.known: dict[str, float] = {}
+def _word_values(words: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
+    """w (the hash of a word), total, value: the sum of the ratios of each distinct word's n-grams.
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            which, _, (_, _, _, top) = _grams(part, self.order)
-            self.known.update(zip(part, np.bincount(which, _look_up(self.table, top), len(part)).tolist()))
+    The commonest n-grams are sent to all workers, a table of bounded size; the others are
+    joined, so the model may grow with the input.
+    """
+    common = words.sparkSession.sparkContext.broadcast(_commonest(ratios, "gram", "ratio", COMMON))
+    total = F.col("toxic") + F.col("plain") + F.col("rest")
+    told = materialise(words.select(F.xxhash64("word").alias("w"), "word", total.alias("total")).mapInArrow(_valued(common, order), "w long, total long, gram long, part double"), "told")
+    common.unpersist()
+    lacking = told.filter("gram is not null").join(ratios.select("gram", "ratio"), "gram")
+    summed = lacking.groupBy("w").agg(F.max("total").alias("total"), F.sum(F.col("part") + F.col("ratio")).alias("value"))
+    return materialise(told.filter("gram is null").select("w", "total", F.col("part").alias("value")).unionAll(summed), "values")
 
 
-def _partial(common, order: int):
-    """What each row's words tell by the table of the workers, and the hashes and counts of its other words."""
+def _partial(common):
+    """What each row's words tell by the values that the workers hold, and the hashes and counts of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(common.value, order)
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            split = [_words(t or "") for t in batch.column("text").to_pylist()]
-            scorer.learn({w for ws in split for w in ws})
-            get = scorer.known.__getitem__
-            n, sums, strong, most, rare = [], [], [], [], []
-            for ws in split:
-                v = np.fromiter(map(get, ws), np.float64, len(ws))
-                other = np.isnan(v)
-                rare.append([{"w": _hash(w), "n": c} for w, c in Counter(ws[i] for i in np.flatnonzero(other).tolist()).items()])
-                v = v[~other]
-                n.append(sum(map(len, ws)) + len(ws))
-                sums.append(v.sum())
-                strong.append(v[v > STRONG].sum())
-                most.append(v.max() if len(v) else None)
-            cols = [pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(strong, pa.float64()), pa.array(most, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))]
+            n = batch.num_rows
+            words, row = _split(batch.column("text"))
+            # What Spark's xxhash64 gives.
+            hashes = np.array([digest(w.encode(), 42) for w in words.dictionary.to_pylist()], np.uint64).view(np.int64)
+            at = words.indices.to_numpy().astype(np.int64)
+            chars = pc.utf8_length(words.dictionary).to_numpy() + 1
+            value = _look_up(common.value, hashes)[at]
+            other = np.isnan(value)
+            v, of = value[~other], row[~other]
+            top = np.full(n, -np.inf)
+            np.maximum.at(top, of, v)
+            rare, count = np.unique(row[other] * max(1, len(hashes)) + at[other], return_counts=True)
+            rare_row, rare_word = np.divmod(rare, max(1, len(hashes)))
+            stops = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))])
+            pairs = pa.StructArray.from_arrays([pa.array(hashes[rare_word]), pa.array(count.astype(np.int64))], names=["w", "n"])
+            cols = [
+                pa.array(np.bincount(row, chars[at], n).astype(np.int64)), pa.array(np.bincount(of, v, n).astype(float)), pa.array(np.bincount(of, np.where(v > STRONG, v, 0.0), n).astype(float)),
+                pa.array(top, mask=np.isneginf(top)), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pairs),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("tag"), *cols], names=["row", "doc_id", "tag", "chars", "all", "high", "top", "rare"])
 
     return run
 
 
-def _hash(word: str) -> int:
-    """What Spark's xxhash64 gives."""
-    h = xxhash.xxh64_intdigest(word.encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _evidence(rows: DataFrame, words: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
+def _evidence(rows: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, tag and the columns of ``RAW`` for every row of ``rows`` (doc_id, tag, text).
 
-    The commonest n-grams are sent to all workers, a table of bounded size. Words that hold
-    any other are valued by a join with all ratios and meet their rows in another, so the
-    model may grow with the input.
+    Each distinct word is valued once; the values of the commonest are sent to all workers,
+    a table of bounded size, and the other words of a row meet theirs in a join.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    common = rows.sparkSession.sparkContext.broadcast(_commonest(ratios))
+    common = rows.sparkSession.sparkContext.broadcast(_commonest(values, "w", "value", COMMON_WORDS))
     types = f"row long, doc_id {kind}, tag long, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
-    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(common, order), types), "partial")
-    lacking = words.select(F.xxhash64("word").alias("w"), "word").mapInArrow(_uncommon(common, order), "w long, gram long, part double")
-    values = materialise(lacking.join(ratios, "gram").groupBy("w").agg(F.sum(F.col("part") + F.col("ratio")).alias("value")), "values")
+    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(common), types), "partial")
     common.unpersist()
-    others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(values, "w")
+    others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(values.select("w", "value"), "w")
     value, high = F.col("value") * F.col("n"), F.when(F.col("value") > STRONG, F.col("value") * F.col("n"))
     added = others.groupBy("row").agg(F.sum(value).alias("_all"), F.sum(high).alias("_high"), F.max("value").alias("_top"))
     zero = F.lit(0.0)
@@ -288,45 +295,33 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int
     documents of a class all scores are the base rate. Columns other than the named are
     ignored, and repeated rows keep one row each.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", _tag().alias("tag"), "text")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold)
-    known = known.filter("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    ids, toxic, folds = (known.column(c).to_numpy() for c in ("doc_id", "toxic", "fold"))
-    base = float(toxic.mean()) if len(toxic) else 0.0
-    by_id = np.argsort(ids)
-    ids, toxic, folds = ids[by_id], toxic[by_id], folds[by_id]
-    held_out = (fold == 0).alias("held_out")
-    counts = [int(((toxic == c) & on).sum()) for c in (0, 1) for on in (folds == 1, folds > 1)]
-    if min(counts) < LEAST:
+    known = labels.select(F.expr(f"try_cast(doc_id as {kind})").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold).filter("fold <> 0")
+    known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
+    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
+    seen = {(r["toxic"], r["fitting"]): r["count"] for r in known.groupBy("toxic", (F.col("fold") == 1).alias("fitting")).count().collect()}
+    positive, total = (sum(n for (c, _), n in seen.items() if c in which) for which in ([1], [0, 1]))
+    base = positive / total if total else 0.0
+    if min(seen.get((c, on), 0) for c in (0, 1) for on in (True, False)) < LEAST:
         flat = rows.select("doc_id", "tag", held_out, F.lit(base).alias("score"))
         return flat.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
-    count_ids, count_class = ids[folds > 1], np.where(toxic[folds > 1] == 1, 0, 1)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column("doc_id")
-            have = doc.is_valid().to_numpy(zero_copy_only=False)
-            d = doc.fill_null(0).to_numpy()
-            at = np.minimum(np.searchsorted(count_ids, d), len(count_ids) - 1)
-            c = np.where(have & (count_ids[at] == d), count_class[at], 2)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(c)], names=["text", "class"])
-
-    def counted(batches):
-        return _count(classed(batches))
 
+    # At most ``sample`` labels.
+    counting = F.broadcast(known.filter("fold > 1").select("doc_id", "toxic"))
+    classed = rows.join(counting, "doc_id", "left").filter("text is not null")
+    classed = classed.select("text", F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, 1).otherwise(2).alias("class"))
     sums = [F.sum(c).alias(c) for c in CLASSES]
-    words = materialise(rows.filter("text is not null").mapInArrow(counted, "word string, toxic long, plain long, rest long").groupBy("word").agg(*sums), "words")
+    words = materialise(classed.mapInArrow(_count, "word string, toxic long, plain long, rest long").groupBy("word").agg(*sums), "words")
     grams = words.mapInArrow(_types(order), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")
     same = [F.first(c).alias(c) for c in ("ctx", "mid", "low_ctx", "code")]
     types = materialise(grams.groupBy("gram").agg(*same, *sums), "types")
     ratios = materialise(log_ratios(types), "ratios")
-    raw = materialise(_evidence(rows, words, ratios, order), "raw")
+    raw = materialise(_evidence(rows, _word_values(words, ratios, order)), "raw")
 
-    fit = spark.createDataFrame(pa.table({"doc_id": ids[folds == 1], "toxic": toxic[folds == 1]}))
-    fitted = raw.join(fit.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id").select(*RAW, "toxic").toArrow()
+    fitted = raw.join(F.broadcast(known.filter("fold = 1").select("doc_id", "toxic")), "doc_id").select(*RAW, "toxic").toArrow()
     if fitted.num_rows:
         slopes, intercept = fit_logistic(np.column_stack([fitted.column(c).to_numpy() for c in RAW]), fitted.column("toxic").to_numpy())
     else:

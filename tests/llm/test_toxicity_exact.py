@@ -91,10 +91,11 @@ def plain_scores(docs, labels):
     return sorted((str(i), 1 / (1 + math.exp(-(float(np.dot(slopes, raw(t))) + intercept)))) for i, t in docs)
 
 
-@pytest.mark.parametrize("common", [0, 40, 100_000])
-def test_scores_equal_dictionaries(session, monkeypatch, common):
+@pytest.mark.parametrize(("common", "common_words"), [(0, 0), (40, 100_000), (100_000, 300), (100_000, 100_000)])
+def test_scores_equal_dictionaries(session, monkeypatch, common, common_words):
     """No n-gram takes the ratio of another, whether its word's value was sent out or joined."""
-    monkeypatch.setattr(toxicity, "COMMON", common, raising=False)
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", common_words)
     docs, labels = case()
     got = toxicity.score_documents(session.createDataFrame(docs, SCHEMA).repartition(3), session.createDataFrame(labels, "doc_id long, toxic int"))
     found = sorted((str(r["doc_id"]), r["score"]) for r in got.collect())
@@ -103,6 +104,16 @@ def test_scores_equal_dictionaries(session, monkeypatch, common):
     assert {a[0]: (a[1], b[1]) for a, b in zip(found, want) if abs(a[1] - b[1]) > 1e-6} == {}
 
 
+def test_ids_of_text(session):
+    """Ids may be strings; a null id is not held out."""
+    docs, labels = case()
+    named = [(None if i is None else f"d{i}", t) for i, t in docs]
+    got = toxicity.score_documents(session.createDataFrame(named, "doc_id string, text string"), session.createDataFrame([(f"d{i}", t) for i, t in labels], "doc_id string, toxic int")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in named)
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    assert all(r["held_out"] == (zlib.crc32(r["doc_id"].encode()) % 5 == 0) for r in got if r["doc_id"])
+
+
 def test_a_toxic_row_takes_no_other_row_along(session, tmp_path):
     """A clean row that shares a null or repeated id with a toxic one stays."""
     docs, labels = case()
