@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, features, forecasting, normalize, sequences
+from ..operators import ensemble, features, forecasting, lifecycle, normalize, sequences
+from ..plans import model_store
 from ..session import materialise, scratch_dir
 from ..sources import files
 from ..sources.tables import SERIES
-from .base import BY, CLEANED, FRAME, KEYS, STEP_S, frame, query, r, rounded, rs
+from .base import BY, CLEANED, FRAME, KEYS, SQL, STEP_S, frame, query, r, rounded, rs
 from .preparing import cleaned
 
 HORIZON = 10
@@ -121,6 +122,26 @@ def straight_line_forecast(spark, sf_dir):
     return rounded(out.select(*SERIES, "h", "yhat", "yhat_lower", "yhat_upper"), 4)
 
 
+@query("model_store_retry", "A11 I4 L1", SQL["straight_line_forecast"])
+def model_store_retry(spark, sf_dir):
+    """A line for each series, stored twice and broken off once more, forecasts as if it had been stored once."""
+    history = materialise(cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage"), "history")
+    model = materialise(forecasting.fit_seasonal(history, SERIES, "ts", "cpu_usage", changepoints=0, daily=0, weekly=0), "fitted")
+    last = history.groupBy(*SERIES).agg(F.max("ts").alias("ts"))
+    runs = last.select(*SERIES, F.col("ts").alias("created_at"), F.create_map(F.lit("kind"), F.lit("line")).alias("metrics"))
+    path = scratch_dir(spark, "models")
+    registry = lifecycle.create_versions(None, runs, SERIES, path)
+    registry = materialise(lifecycle.promote(registry, lifecycle.latest_choice(registry, SERIES), SERIES), "registry")
+    for _ in range(2):
+        model_store.publish({"seasonal": model}, registry, SERIES, path)
+    # A run that never reached its commit.
+    model.withColumn("sigma", F.lit(0.0)).join(registry.select(*SERIES, "version"), SERIES).write.parquet(f"{path}/seasonal/run=rbroken")
+    wanted = model_store.manifest(spark, SERIES, path).join(lifecycle.active_versions(registry).select(*SERIES, "version"), [*SERIES, "version"])
+    found = model_store.stored(spark, "seasonal", wanted, SERIES, path)
+    out = forecasting.forecast_seasonal(found, last, SERIES, "ts", step_s=STEP_S, horizon=HORIZON)
+    return rounded(out.select(*SERIES, "h", "yhat", "yhat_lower", "yhat_upper"), 4)
+
+
 @query(
     "one_step_regression",
     "I1",

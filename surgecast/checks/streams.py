@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions
+from ..plans import flows
 from ..plans.blocks import OWN, POS, block_window, floor_to, micros, own_rows, row_blocks, with_positions
 from ..session import scratch_dir
-from ..sources.tables import SERIES, label_events
-from ..streaming import control, ingest
-from .base import BY, FRAME, KEYS, SAMPLES, floor_ts, frame, query, r, rounded
+from ..sources.tables import SERIES, bin_metrics, bin_sums, label_events
+from ..streaming import control, firing, ingest, weighting
+from .base import BY, FRAME, KEYS, SAMPLES, STEP_S, floor_ts, frame, query, r, rounded, rs
 from .deciding import D_COLS, GUARD, GUARDED, decide_sql, decided
+from .forecasting import C, W_COLS, WEIGHTS, WINDOW, forecast_pairs
 
 CLOSED = "(SELECT max(ts) FROM samples) - INTERVAL 10 MINUTES"
 
@@ -117,3 +119,71 @@ def streaming_alert_runs(spark, sf_dir):
     rows = as_stream(frame(spark, sf_dir).select(*SERIES, "ts", "cpu_usage"), "metric-stream").withWatermark("ts", ingest.LATENESS)
     runs = ingest.condition_runs(rows, SERIES, F.col("cpu_usage") > 8, step_s=7200, for_s=6 * 3600)
     return ingest.run_to_table(runs, "stream-runs")
+
+
+@query(
+    "streaming_alert_firing",
+    "N6 M1",
+    f"""WITH {FRAME}, passed AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM frame),
+    flagged AS (SELECT {KEYS}, ts, coalesce(cpu_usage > 8, FALSE) AS is_on FROM frame, passed WHERE ts <= w),
+    starts AS (SELECT *, is_on AND NOT coalesce(lag(is_on) OVER ({BY}), FALSE) AS starts,
+      min(CASE WHEN NOT is_on THEN ts END) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ends FROM flagged)
+    SELECT {KEYS}, ts AS active_since, ts + INTERVAL 6 HOURS AS fired_at FROM starts, passed
+    WHERE starts AND ts + INTERVAL 6 HOURS <= w AND (ends IS NULL OR ends > ts + INTERVAL 6 HOURS)""",
+)
+def streaming_alert_firing(spark, sf_dir):
+    """Load above eight for six hours: an alert comes out at that moment, also of a run that has not ended."""
+    rows = as_stream(frame(spark, sf_dir).select(*SERIES, "ts", "cpu_usage"), "metric-stream").withWatermark("ts", ingest.LATENESS)
+    return ingest.run_to_table(firing.firing_alerts(rows, SERIES, F.col("cpu_usage") > 8, 6 * 3600), "stream-firing")
+
+
+@query(
+    "streaming_weights",
+    "N5 J4",
+    f"""WITH {WEIGHTS} SELECT {C}, {rs(W_COLS)} FROM weights
+    WHERE cycle + INTERVAL 1 DAY <= (SELECT max(cycle) FROM pairs) - INTERVAL 10 MINUTES""",
+)
+def streaming_weights(spark, sf_dir):
+    """Weights kept as state while forecasts and actual values stream in; must equal the batch result."""
+    pairs = forecast_pairs(spark, sf_dir)
+    made = as_stream(pairs.select(*SERIES, "cycle", "ts", "seq_pred", "seasonal_pred"), "forecast-stream")
+    seen = as_stream(pairs.select(*SERIES, "ts", F.col("actual").alias("value")), "actual-stream")
+    out = weighting.weights_stream(made, seen, SERIES, horizon_s=86_400, window=WINDOW)
+    return rounded(ingest.run_to_table(out, "stream-weights"))
+
+
+@query(
+    "streaming_history",
+    "N1 D4",
+    f"""WITH {SAMPLES}, bins AS (SELECT {KEYS}, {floor_ts(3600)} AS ts, count(*) AS n, sum(value) AS total FROM samples
+      GROUP BY {KEYS}, {floor_ts(3600)} HAVING {floor_ts(3600, 'any_value(ts)')} + INTERVAL 1 HOUR <= {CLOSED})
+    SELECT {KEYS}, ts, n, {r('total')} FROM bins WHERE ts >= (SELECT max(ts) FROM bins) - INTERVAL 168 HOURS""",
+)
+def streaming_history(spark, sf_dir):
+    """What is left of closed bins after a replay with a retention of 168 hours."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
+    bins = ingest.tumbling_bins(ingest.stream_samples(spark, sf_dir), SERIES, aggs, "1 hour")
+    kept = control.History(scratch_dir(spark, "history"), bins.schema)
+    mark = scratch_dir(spark, "history-progress")
+    bins.writeStream.foreachBatch(kept.add).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return rounded(kept.rows(spark))
+
+
+def metric_bins(spark, sf_dir):
+    """Closed bins of all metrics from the stream of samples."""
+    stream = ingest.stream_samples(spark, sf_dir)
+    return bin_metrics(ingest.tumbling_bins(stream, SERIES, bin_sums(), f"{STEP_S} seconds"), STEP_S)
+
+
+@query("streaming_model_tick", "N4 N1 A11")
+def streaming_model_tick(spark, sf_dir):
+    """Closed bins go through a control cycle with stored models in each micro-batch."""
+    path = scratch_dir(spark, "models")
+    fitted = flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path=path, store=True)
+    bins = metric_bins(spark, sf_dir)
+    loop = control.ControlLoop(
+        spark, SERIES, lambda s: flows.load(fitted.registry, SERIES, path, fitted.columns), bins.schema,
+        step_s=STEP_S, keep_s=60 * 86_400, guard=GUARD, lookback=24, horizon=10,
+    )
+    loop.run(bins, trigger={"availableNow": True}).awaitTermination()
+    return loop.decisions(spark)

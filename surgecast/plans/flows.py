@@ -12,6 +12,7 @@ from ..operators import cleaning, decisions, ensemble, features, forecasting, li
 from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import join_series
 from ..session import materialise
+from . import model_store
 
 #: Rows before the window that a prediction reads for interpolation and clipping limits.
 HISTORY_ROWS = 240
@@ -118,30 +119,23 @@ def train(
     versions = materialise(lifecycle.create_versions(registry, runs, keys, base_path), "versions")
     newest_version = lifecycle.latest_choice(versions, keys)
     if store:
-        _store({"seasonal": seasonal, "sequence": sequence, "scaler": scaler}, newest_version, keys, base_path)
+        model_store.publish({"seasonal": seasonal, "sequence": sequence, "scaler": scaler}, newest_version, keys, base_path)
     versions = lifecycle.promote(versions, newest_version, keys)
     versions = materialise(lifecycle.prune(versions, keys, keep), "registry")
     return Trained(seasonal, sequence, scaler, columns, versions, summary)
 
 
-def _store(parts: dict[str, DataFrame], versions: DataFrame, keys: Sequence[str], base_path: str) -> None:
-    """Append each part's rows with their series' version, one folder per part and version."""
-    for name, rows in parts.items():
-        join_series(rows, versions, keys, "inner").write.mode("append").partitionBy("version").parquet(f"{base_path}/{name}")
-
-
 def load(registry: DataFrame, keys: Sequence[str], base_path: str, columns: Sequence[str]) -> Trained:
-    """The stored models of every series' active version.
+    """The stored models of every series' active version, as the last commit left them (see ``model_store``).
 
-    Versions are a partition of the stored tables; other versions of a series are dropped by
-    an equi-join on (series, version).
+    The set of runs is fixed here; what is published later is seen by the next call.
     """
     spark = registry.sparkSession
     active = lifecycle.active_versions(registry).select(*keys, "version")
+    wanted = materialise(join_series(model_store.manifest(spark, keys, base_path), active, [*keys, "version"], "inner"), "wanted")
 
     def part(name: str) -> DataFrame:
-        stored = spark.read.option("inferSchema", False).parquet(f"{base_path}/{name}").withColumn("version", F.col("version").cast("string"))
-        return join_series(stored, active, [*keys, "version"], "inner").drop("version")
+        return model_store.stored(spark, name, wanted, keys, base_path)
 
     return Trained(part("seasonal"), part("sequence"), part("scaler"), list(columns), registry, registry.select(*keys).distinct())
 

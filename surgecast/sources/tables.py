@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantile import bucket_counts, quantile_from_counts
@@ -99,20 +99,25 @@ def fill_grid(df: DataFrame, keys: list[str], ts: str, step_s: int) -> DataFrame
     return join_series(steps_between(spans, keys, ts, step_s), df, [*keys, ts])
 
 
+def bin_sums() -> list[Column]:
+    """Aggregates of the raw samples in one bin, from which ``bin_metrics`` makes the metrics."""
+    return [
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("value").alias("_sum"),
+        F.sum(F.when(F.col("status_code").startswith("5"), 1).otherwise(0)).alias("_err"),
+        F.max(F.substring_index("pod", "-", -1).cast("int") % 10).alias("_top"),
+        *bucket_counts(F.col("value"), LATENCY_BOUNDS),
+    ]
+
+
 def bin_samples(rows: DataFrame, step_s: int) -> DataFrame:
     """Reduce raw samples to one row of metrics per (series, step); partial sums run map-side."""
     start = F.timestamp_micros(floor_to(micros("ts"), step_s))
-    binned = (
-        rows.withColumn("ts", start)
-        .groupBy(*SERIES, "ts")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum("value").alias("_sum"),
-            F.sum(F.when(F.col("status_code").startswith("5"), 1).otherwise(0)).alias("_err"),
-            F.max(F.substring_index("pod", "-", -1).cast("int") % 10).alias("_top"),
-            *bucket_counts(F.col("value"), LATENCY_BOUNDS),
-        )
-    )
+    return bin_metrics(rows.withColumn("ts", start).groupBy(*SERIES, "ts").agg(*bin_sums()), step_s)
+
+
+def bin_metrics(binned: DataFrame, step_s: int) -> DataFrame:
+    """The metrics of bins (series…, ts, sums)."""
     count, total = F.col("_n").cast("double"), F.col("_sum")
     return binned.select(
         *SERIES,

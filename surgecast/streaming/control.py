@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.decisions import GuardConfig
-from ..session import scratch_dir
+from ..operators.decisions import DecisionConfig, GuardConfig
+from ..plans import flows
+from ..plans.model_store import children, remove
+from ..session import materialise, scratch_dir
+from ..sources.tables import fill_grid
+
+#: How long metric history is kept, in seconds.
+RETENTION_S = 168 * 3600
 
 
 class TickLoop:
@@ -68,6 +74,145 @@ class TickLoop:
         return spark.read.parquet(f"{self.folder}/decisions").drop("batch")
 
 
+class History:
+    """Closed bins on shared storage, kept for ``keep_s`` seconds before the newest.
+
+    A batch's rows lie in folders by event day and batch, so a batch that is run again
+    replaces its own rows. Days past the limit are deleted whole, and a day with ``fan``
+    batches is packed into one folder that names the last batch it holds: folders of batches
+    up to that one count no more, whether they are deleted yet or not.
+    """
+
+    def __init__(self, folder: str, schema: T.StructType, keep_s: float = RETENTION_S, fan: int = 64):
+        self.folder, self.schema, self.keep_s, self.fan = folder, schema, keep_s, fan
+
+    def _packed(self, spark) -> dict[str, int]:
+        """The last batch packed, by day; a folder without its success mark broke off."""
+        found: dict[str, int] = {}
+        for day in children(spark, f"{self.folder}/packed"):
+            for upto in children(spark, f"{self.folder}/packed/{day}"):
+                if "_SUCCESS" in children(spark, f"{self.folder}/packed/{day}/{upto}"):
+                    found[day] = max(found.get(day, -1), int(upto.split("=")[1]))
+        return found
+
+    def _folders(self, spark) -> dict[str, list[str]]:
+        """The folders that count, by day: of days kept and batches since the last packing, so bounded by both."""
+        packed = self._packed(spark)
+        found = {day: [f"packed/{day}/upto={upto}"] for day, upto in packed.items()}
+        for day in children(spark, f"{self.folder}/bins"):
+            if day.startswith("day="):
+                for batch in children(spark, f"{self.folder}/bins/{day}"):
+                    if int(batch.split("=")[1]) > packed.get(day, -1):
+                        found.setdefault(day, []).append(f"bins/{day}/{batch}")
+        return found
+
+    def _read(self, spark, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*[f"{self.folder}/{f}" for f in sorted(folders)])
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Store one batch of bins (…, ts, …), then let go of what is too old and pack full days."""
+        spark = batch.sparkSession
+        rows = batch.select(*self.schema.names, F.to_date("ts").alias("day"), F.lit(batch_id).alias("batch"))
+        # A few days at most: one file for each, not one for each task and day.
+        rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.folder}/bins")
+        self.expire(spark)
+        for day, folders in self._folders(spark).items():
+            raw = [f for f in folders if f.startswith("bins/")]
+            if len(raw) >= self.fan:
+                upto = max(int(f.rsplit("=", 1)[1]) for f in raw)
+                self._read(spark, folders).coalesce(1 + len(raw) // self.fan).write.mode("overwrite").parquet(f"{self.folder}/packed/{day}/upto={upto}")
+                for f in folders:
+                    remove(spark, f"{self.folder}/{f}")
+
+    def expire(self, spark) -> None:
+        """Delete whole days before the limit."""
+        days = sorted(self._folders(spark))
+        if days:
+            newest = self._read(spark, self._folders(spark)[days[-1]]).agg(F.max("ts").alias("t")).first()["t"]
+            if newest is not None:
+                limit = f"day={(newest - pd.Timedelta(seconds=self.keep_s)).date().isoformat()}"
+                for tree in ("bins", "packed"):
+                    for day in children(spark, f"{self.folder}/{tree}"):
+                        if day.startswith("day=") and day < limit:
+                            remove(spark, f"{self.folder}/{tree}/{day}")
+
+    def rows(self, spark) -> DataFrame:
+        """All bins within the limit of the newest."""
+        kept = self._read(spark, [f for fs in self._folders(spark).values() for f in fs])
+        newest = kept.agg(F.max("ts").alias("t")).first()["t"]
+        if newest is None:
+            return kept
+        return kept.filter(F.col("ts") >= F.lit(newest) - F.make_interval(secs=F.lit(self.keep_s).cast("decimal(18,6)")))
+
+
+class ControlLoop:
+    """A control cycle with stored models for each micro-batch of closed bins.
+
+    A cycle adds the bins to the history, takes one snapshot of the models' active versions
+    (``models(spark)``, see ``flows.load``; a version published meanwhile counts from the
+    next batch on), and forecasts with both, blends, decides and guards (``flows.tick``) for
+    the series that have new bins. The last executed action of each series is kept by batch,
+    so a batch that is run again sees what it saw the first time.
+    """
+
+    def __init__(
+        self,
+        spark,
+        keys: Sequence[str],
+        models: Callable[..., flows.Trained],
+        schema: T.StructType,
+        *,
+        step_s: int,
+        gauge: str = "ready_replicas",
+        weights: Callable[..., DataFrame] | None = None,
+        keep_s: float = RETENTION_S,
+        folder: str | None = None,
+        config: DecisionConfig = DecisionConfig(),
+        guard: GuardConfig = GuardConfig(),
+        **predicting,
+    ):
+        self.folder = folder or scratch_dir(spark, "control")
+        self.history = History(f"{self.folder}/history", schema, keep_s)
+        self.keys, self.models, self.step_s, self.gauge, self.weights = list(keys), models, step_s, gauge, weights
+        self.config, self.guard, self.predicting = config, guard, predicting
+
+    def _last(self, spark, batch_id: int) -> DataFrame | None:
+        """The last executed action of each series before a batch."""
+        before = [int(n.split("=")[1]) for n in children(spark, f"{self.folder}/executed") if n.startswith("batch=")]
+        before = [n for n in before if n < batch_id]
+        return spark.read.parquet(f"{self.folder}/executed/batch={max(before)}") if before else None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        self.history.add(batch, batch_id)
+        fresh = batch.select(*self.keys).distinct()
+        if fresh.isEmpty():
+            return
+        bins = self.history.rows(spark).join(fresh, self.keys, "left_semi")
+        frame = materialise(fill_grid(bins, self.keys, "ts", self.step_s), "cycle")
+        last = self._last(spark, batch_id)
+        known = F.col(self.gauge).isNotNull()
+        replicas = frame.groupBy(*self.keys).agg(F.max_by(self.gauge, F.when(known, F.col("ts"))).cast("int").alias("current_replicas"))
+        weights = self.weights(spark) if self.weights else None
+        made = flows.tick(
+            frame, self.keys, "ts", self.models(spark), replicas, last_executed=last, weights=weights,
+            config=self.config, guard=self.guard, step_s=self.step_s, **self.predicting,
+        )
+        path = f"{self.folder}/decisions/batch={batch_id}"
+        made.write.mode("overwrite").parquet(path)
+        now = spark.read.schema(made.schema).parquet(path).filter("executed").select(*self.keys, F.col("cycle").alias("last_executed"))
+        both = now if last is None else last.unionByName(now)
+        both.groupBy(*self.keys).agg(F.max("last_executed").alias("last_executed")).write.mode("overwrite").parquet(f"{self.folder}/executed/batch={batch_id}")
+        for name in children(spark, f"{self.folder}/executed"):
+            if name.startswith("batch=") and int(name.split("=")[1]) < batch_id - 2:
+                remove(spark, f"{self.folder}/executed/{name}")
+
+    run = TickLoop.run
+    decisions = TickLoop.decisions
+
+
 class Cooldown(StatefulProcessor):
     """Approve actions of a series unless its last executed one is too recent (event time).
 
