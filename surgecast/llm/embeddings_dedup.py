@@ -20,6 +20,8 @@ SAMPLE = 20_000
 CHUNK = 512
 #: Wanted size of a bucket, and share of the pairs at the threshold that some table must hold.
 BUCKET, RECALL = 16, 0.97
+#: Pairs that recall is measured on, sample rows that one rotation is learnt from, and most rotations.
+PROBES, LEARNT, MOST = 1_000, 5_000, 32
 
 
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 40) -> np.ndarray:
@@ -38,17 +40,34 @@ def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 40) ->
     return axes @ r
 
 
-def plan_tables(largest: int, dim: int, cosine: float = COSINE) -> tuple[int, int]:
-    """(bits of a table's key, rotations) for groups of up to ``largest`` vectors.
+def key_bits(largest: int, dim: int) -> int:
+    """Signs of a table's key that keep its buckets small in groups of up to ``largest`` vectors."""
+    wanted = math.ceil(math.log2(largest / BUCKET)) if largest > BUCKET else 8
+    return min(dim, max(8, min(18, wanted)))
 
-    A bit of two vectors at the threshold agrees with probability 1 - angle / pi. Keys are
-    as long as keeps buckets small, and rotations are added until the tables hold the wanted
-    share of such pairs; nearer pairs are held more surely.
+
+def plan_tables(x: np.ndarray, centre: np.ndarray, bits: int, cosine: float, rng: np.random.Generator) -> tuple[int, list[np.ndarray], float]:
+    """(bits, rotations, measured recall) whose tables hold pairs at the threshold.
+
+    Taking the centre away from the vectors widens the angle of a pair, so recall is
+    measured where the keys are made: sample vectors against partners at just the
+    threshold, in random directions. Rotations are added until the wanted share of the
+    pairs meets in some table, and keys are cut shorter if very many would not do.
     """
-    bits = min(dim, max(8, min(18, math.ceil(math.log2(max(largest, 1) / BUCKET)) if largest > BUCKET else 8)))
-    hit = (1 - math.acos(cosine) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - hit))
-    return bits, math.ceil(tables / max(1, dim // bits))
+    probe = x[rng.permutation(len(x))[:PROBES]]
+    away = rng.normal(size=probe.shape)
+    away -= (away * probe).sum(axis=1, keepdims=True) * probe
+    away /= np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), 1e-12)
+    partner = cosine * probe + math.sqrt(1 - cosine * cosine) * away
+    while True:
+        rotations: list[np.ndarray] = []
+        met = np.zeros(len(probe), bool)
+        while met.mean() < RECALL and len(rotations) < MOST:
+            rotations.append(learn_rotation(x[:LEARNT] - centre, rng))
+            met |= (_keys(probe, centre, rotations[-1:], bits) == _keys(partner, centre, rotations[-1:], bits)).any(axis=1)
+        if met.mean() >= RECALL or bits == 1:
+            return bits, rotations, float(met.mean())
+        bits = max(1, bits - 2)
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -147,9 +166,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
         some = of_dim.select("embedding").orderBy(F.xxhash64("embedding", "rep")).limit(sample).toArrow().column("embedding").combine_chunks()
         x = _unit(some, dim)
         centre = x.mean(axis=0)
-        bits, n_rotations = plan_tables(largest, dim, cosine)
-        rng = np.random.default_rng(seed)
-        rotations = [learn_rotation(x - centre, rng) for _ in range(n_rotations)]
+        bits, rotations, _ = plan_tables(x, centre, key_bits(largest, dim), cosine, np.random.default_rng(seed))
         element = nodes.schema["embedding"].dataType.elementType.simpleString()
         label = nodes.schema["label"].dataType.simpleString()
         coded = of_dim.select("rep", "label", "copies", "embedding").mapInArrow(_encode(dim, centre, rotations, bits), f"rep {kind}, label {label}, copies long, embedding array<{element}>, keys array<long>")

@@ -406,6 +406,25 @@ def test_token_counts(odd, empty, chunk, overlap):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_ids_of_any_type(session):
+    texts = ["pine elm " * 60, None, "x"]
+    for kind, ids in (("int", [1, None, 3]), ("string", ["a", None, "c"]), ("decimal(20,0)", None)):
+        frame = session.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+        value = F.col("n").cast(kind) if ids is None else F.array(*[F.lit(i) for i in ids])[F.col("n")].cast(kind)
+        got = token_counts.token_counts(frame.select(value.alias("doc_id"), "text"), chunk=100, overlap=10)
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert sorted(r["n_tokens"] for r in got.collect()) == sorted(token_counts.count_tokens(t or "", "byte_bpe_50k.json") for t in texts)
+
+
+def test_a_failed_alignment_widens_the_overlap(session, monkeypatch):
+    """A boundary that the offsets do not show is no boundary; the text is cut anew and counted right."""
+    text = "pinewood" * 40 + " elm" + "pinewood" * 40
+    assert token_counts.count_between(text, 3, len(text), "byte_bpe_50k.json") is None
+    frame = session.createDataFrame([(1, text + text)], "doc_id long, text string")
+    got = token_counts.token_counts(frame, chunk=90, overlap=4).first()
+    assert got["n_tokens"] == token_counts.count_tokens(text + text, "byte_bpe_50k.json")
+
+
 def test_fast_counts_equal_the_tokenizer():
     rng = random.Random(2)
     name = "byte_bpe_50k.json"

@@ -48,6 +48,42 @@ def test_hot_group_and_recall_at_the_threshold(session, monkeypatch, chunk):
     assert (got.n_links.to_numpy() <= links).all() and got.n_links.sum() >= 0.9 * links.sum()
 
 
+def leaning(rng, n, dim, mean):
+    """Unit vectors whose mean has about the given length."""
+    x = rng.normal(size=(n, dim)) / np.sqrt(dim)
+    x[:, 0] += mean / np.sqrt(1 - mean * mean)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def moved(rng, x, cosine):
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+@pytest.mark.parametrize("largest", [4_000, 100_000])
+def test_recall_with_a_common_direction(mean, largest):
+    """Other pairs than those the plan was measured on meet in its tables, however long the common mean."""
+    rng = np.random.default_rng(7)
+    x = leaning(rng, 6_000, 64, mean)
+    centre = x[:4_000].mean(axis=0)
+    bits, rotations, measured = ed.plan_tables(x[:4_000], centre, ed.key_bits(largest, 64), 0.93, np.random.default_rng(1))
+    a = x[4_000:]
+    met = (ed._keys(a, centre, rotations, bits) == ed._keys(moved(rng, a, 0.94), centre, rotations, bits)).any(axis=1).mean()
+    assert measured >= 0.97 and met >= 0.95
+
+
+def test_links_with_a_common_direction(session):
+    rng = np.random.default_rng(11)
+    base = leaning(rng, 1_500, 32, 0.8)
+    x = np.concatenate([base, moved(rng, base[:500], 0.94)]).astype(np.float32)
+    frame = session.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = ed.near_vectors(frame).toPandas().sort_values("vec_id")
+    links, _ = brute(np.arange(len(x)), x.astype(float), np.zeros(len(x), int), 0.93)
+    assert links.sum() >= 1_000 and (got.n_links.to_numpy() <= links).all() and got.n_links.sum() >= 0.95 * links.sum()
+
+
 def test_odd_vectors(session):
     nan, inf = float("nan"), float("inf")
     rows = [
