@@ -122,6 +122,31 @@ def straight_line_forecast(spark, sf_dir):
     return rounded(out.select(*SERIES, "h", "yhat", "yhat_lower", "yhat_upper"), 4)
 
 
+_LAMBDA = f"{forecasting.NOISE_SCALE**2 / forecasting.CHANGEPOINT_PRIOR!r}::DOUBLE"
+
+
+@query(
+    "sparse_changepoint",
+    "I2",
+    f"""WITH {CLEANED},
+    sized AS (SELECT {KEYS}, min(epoch_us(ts)) AS t0, greatest(max(epoch_us(ts)) - min(epoch_us(ts)), 1) AS span, greatest(max(abs(cpu_usage)), 1e-12) AS scale FROM cleaned GROUP BY ALL),
+    placed AS (SELECT {KEYS}, (epoch_us(ts) - t0) / span::DOUBLE AS t, greatest(0, (epoch_us(ts) - t0) / span::DOUBLE - 0.4::DOUBLE) AS h, cpu_usage / scale AS y
+      FROM cleaned JOIN sized USING ({KEYS}) WHERE cpu_usage IS NOT NULL),
+    moments AS (SELECT {KEYS}, count(*) AS n, avg(t) AS mt, avg(h) AS mh, avg(y) AS my, regr_sxx(t, t) AS tt, regr_sxy(h, t) AS ht, regr_sxy(y, t) AS yt, regr_sxx(h, h) AS hh,
+      regr_sxy(y, h) AS yh FROM placed GROUP BY ALL),
+    bent AS (SELECT *, yh - ht * yt / tt AS c FROM moments),
+    hinged AS (SELECT *, sign(c) * greatest(abs(c) - {_LAMBDA}, 0) / (hh - ht * ht / tt) AS hinge FROM bent)
+    SELECT {KEYS}, n, {r('my - (yt - hinge * ht) / tt * mt - hinge * mh', 'level', 4)}, {r('(yt - hinge * ht) / tt', 'slope', 4)}, {r('hinge', places=4)}
+    FROM hinged""",
+)
+def sparse_changepoint(spark, sf_dir):
+    """One hinge with a Laplace prior: a soft threshold on what a line leaves."""
+    history = materialise(cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage"), "history")
+    model = forecasting.fit_seasonal(history, SERIES, "ts", "cpu_usage", changepoints=1, daily=0, weekly=0, sparse=True)
+    part = lambda i: F.get("trend", F.lit(i))
+    return rounded(model.select(*SERIES, "n", part(0).alias("level"), part(1).alias("slope"), part(2).alias("hinge")), 4)
+
+
 @query("model_store_retry", "A11 I4 L1", SQL["straight_line_forecast"])
 def model_store_retry(spark, sf_dir):
     """A line for each series, stored twice and broken off once more, forecasts as if it had been stored once."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import quantile
 from ..operators import rates
 from ..plans.blocks import slot_for
+from ..session import materialise
 from ..sources.tables import LATENCY_BOUNDS, SERIES, bucket_counter, samples, value_counter
 from .base import KEYS, SAMPLES, ceil_ts, query, quantile_case, r, rounded
 
@@ -193,3 +195,23 @@ def latency_p99(spark, sf_dir):
 def latency_p50(spark, sf_dir):
     q = rates.quantile_by_bucket(bucket_rates(spark, sf_dir), [*SERIES, "ts"], {"response_latency_p50": 0.5}, value="rate")
     return rounded(q)
+
+
+@query(
+    "raw_quantiles",
+    "C7",
+    f"""WITH {SAMPLES} SELECT {KEYS}, date_trunc('day', ts)::TIMESTAMP AS ts, count(value) AS n, quantile_disc(value, 0.99) AS p99, TRUE AS within_bound
+    FROM samples GROUP BY ALL""",
+)
+def raw_quantiles(spark, sf_dir):
+    """The 99th percentile of raw observations per day, exact, and whether that from merged hourly sketches is within its rank error."""
+    rows = samples(spark, sf_dir).select(*SERIES, "ts", F.col("value").cast("double").alias("value"))
+    hours = rows.groupBy(*SERIES, F.date_trunc("hour", "ts").alias("hour")).agg(quantile.quantile_sketch(F.col("value")).alias("sketch"))
+    days = materialise(hours, "sketches").groupBy(*SERIES, F.date_trunc("day", "hour").alias("day")).agg(quantile.merged_sketch(F.col("sketch")).alias("sketch"))
+    told = days.select(*SERIES, F.col("day").alias("ts"), quantile.sketched_quantile(F.col("sketch"), 0.99).alias("told"))
+    placed = rows.withColumn("ts", F.date_trunc("day", "ts")).join(told, [*SERIES, "ts"])
+    below, upto = (F.avg(F.when(c, 1.0).otherwise(0.0)) for c in (F.col("value") < F.col("told"), F.col("value") <= F.col("told")))
+    # A value holds all ranks between the share below it and the share up to it.
+    within = (below - quantile.RANK_ERROR <= 0.99) & (upto + quantile.RANK_ERROR >= 0.99)
+    exact = F.expr("percentile_disc(0.99) within group (order by value)")
+    return placed.groupBy(*SERIES, "ts").agg(F.count("value").alias("n"), exact.alias("p99"), within.alias("within_bound"))

@@ -61,3 +61,23 @@ def histogram_quantile(q: float, buckets: Column) -> Column:
 
     found = F.aggregate(buckets, start, step, lambda acc: acc["hit"])
     return F.when(total > 0, found)
+
+
+#: Size parameter of a sketch; a rank read from it is off by less than ``RANK_ERROR`` of all values, nearly always.
+SKETCH_K = 400
+RANK_ERROR = 0.01
+
+
+def quantile_sketch(value: Column, k: int = SKETCH_K) -> Column:
+    """Aggregate: a mergeable summary of raw values, of a size that hardly grows with their number."""
+    return F.kll_sketch_agg_double(value.cast("double"), k)
+
+
+def merged_sketch(sketch: Column, k: int = SKETCH_K) -> Column:
+    """Aggregate: the summary of all values that the given summaries stand for."""
+    return F.kll_merge_agg_double(sketch, k)
+
+
+def sketched_quantile(sketch: Column, q: float) -> Column:
+    """The quantile that a summary tells; one of its values."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(float(q)))

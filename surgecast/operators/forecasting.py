@@ -48,8 +48,42 @@ def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return xx, xy, int(pdf["n"].sum())
 
 
-def _solve(names: list[str], penalty: list[float]):
-    ridge = np.diag(np.asarray(penalty))
+def lasso(a: np.ndarray, c: np.ndarray, l1: np.ndarray, sweeps: int = 4000, tol: float = 1e-13) -> np.ndarray:
+    """The ``b`` that minimises b'ab / 2 - c'b + sum(l1 |b|); coordinates with no ``l1`` are free.
+
+    The free coordinates are solved out, the others found by coordinate descent with soft
+    thresholds, and once the signs are known their values by one solve.
+    """
+    pen, free = np.flatnonzero(l1 > 0), np.flatnonzero(l1 == 0)
+    across = a[np.ix_(pen, free)] @ np.linalg.pinv(a[np.ix_(free, free)]) if len(free) else np.zeros((len(pen), 0))
+    left, right, limit = a[np.ix_(pen, pen)] - across @ a[np.ix_(free, pen)], c[pen] - across @ c[free], l1[pen]
+    b, rest = np.zeros(len(pen)), right.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(pen)):
+            if left[j, j] > 0:
+                at = rest[j] + left[j, j] * b[j]
+                step = np.sign(at) * max(abs(at) - limit[j], 0.0) / left[j, j] - b[j]
+                if step:
+                    b[j] += step
+                    rest -= left[:, j] * step
+                    moved = max(moved, abs(step))
+        if moved < tol:
+            break
+    on = np.flatnonzero(b)
+    if len(on):
+        exact = np.linalg.lstsq(left[np.ix_(on, on)], right[on] - limit[on] * np.sign(b[on]), rcond=None)[0]
+        if (np.sign(exact) == np.sign(b[on])).all():
+            b[on] = exact
+    out = np.zeros(len(c))
+    out[pen] = b
+    if len(free):
+        out[free] = np.linalg.lstsq(a[np.ix_(free, free)], c[free] - a[np.ix_(free, pen)] @ b, rcond=None)[0]
+    return out
+
+
+def _solve(names: list[str], penalty: list[float], l1: list[float] | None = None):
+    ridge, sparse = np.diag(np.asarray(penalty)), np.asarray(l1 or [0.0])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = len(ridge)
@@ -58,6 +92,8 @@ def _solve(names: list[str], penalty: list[float]):
         if not (np.isfinite(xx).all() and np.isfinite(xy).all()):
             return pd.DataFrame({**head, "coef": [None], "n": [n]})
         left, right = xx.reshape(p, p) + ridge, xy.reshape(p, -1)
+        if sparse.any():
+            return pd.DataFrame({**head, "coef": [lasso(left, right[:, 0], sparse)], "n": [n]})
         try:
             coef = np.linalg.solve(left, right)
         except np.linalg.LinAlgError:
@@ -71,7 +107,7 @@ def _solve(names: list[str], penalty: list[float]):
 FAN_IN = 32
 
 
-def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float]) -> DataFrame:
+def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float], l1: list[float] | None = None) -> DataFrame:
     """Add up the block sums of each series in two steps and solve; one row out per series.
 
     A series' blocks are first added in groups of about ``FAN_IN`` neighbours each, so a
@@ -87,13 +123,13 @@ def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float]
     grouped = join_series(sums, size, keys, "inner").withColumn("_g", F.pmod(F.xxhash64(block), F.ceil(F.col("_n") / FAN_IN)))
     partly = grouped.groupBy(*keys, "_g").applyInPandas(some, _sums_schema(sums, keys))
     out = T.StructType([*[sums.schema[c] for c in keys], T.StructField("coef", _DOUBLES), T.StructField("n", T.LongType())])
-    return partly.groupBy(*keys).applyInPandas(_solve(keys, penalty), out)
+    return partly.groupBy(*keys).applyInPandas(_solve(keys, penalty, l1), out)
 
 
-def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Sequence[float]) -> DataFrame:
+def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Sequence[float], l1: Sequence[float] | None = None) -> DataFrame:
     """Least squares per series for rows that carry a slot, a design array and a target.
 
-    Rows with an unknown value are left out of the sums and of ``n``.
+    ``penalty`` weighs squares and ``l1`` absolute values of the coefficients. Rows with an unknown value are left out of the sums and of ``n``.
     """
     names = [*keys, SLOT]
 
@@ -105,7 +141,7 @@ def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Seq
         return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [int(good.sum())]})
 
     sums = materialise(rows.groupBy(*names).applyInPandas(partial, _sums_schema(rows, names)), "sums")
-    return _fit_sums(sums, list(keys), SLOT, list(penalty))
+    return _fit_sums(sums, list(keys), SLOT, list(penalty), list(l1) if l1 else None)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -147,9 +183,13 @@ def fit_seasonal(
     daily: int = DAILY_TERMS,
     weekly: int = WEEKLY_TERMS,
     slot_s: float = 30 * DAY,
+    sparse: bool = False,
 ) -> DataFrame:
     """Fit ``y = trend * (1 + season)`` per series; one row of coefficients per series.
 
+    Hinges have a normal prior or, with ``sparse``, a Laplace one: most of them are zero
+    then, and the trend bends only where the rows ask for it.
+
     First the trend, with seasonal terms beside it so that it is not bent by them, then what
     is left of ``y`` on the seasonal terms times the trend, so that no row is left out where
     the trend is near zero. ``changepoints``, ``daily`` and ``weekly`` say how many hinges
@@ -162,12 +202,13 @@ def fit_seasonal(
     rows = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y)")
     rows = materialise(with_slot(rows.join(spans, keys), "ts", slot_s).withColumn("y", F.col("y") / F.col("scale")), "seasonal-rows")
 
-    trend_p = [1e-9, 1e-9] + [(NOISE_SCALE / changepoint_prior) ** 2] * changepoints
+    trend_p = [1e-9, 1e-9] + [1e-9 if sparse else (NOISE_SCALE / changepoint_prior) ** 2] * changepoints
     season_p = [SEASON_PENALTY] * (2 * (daily + weekly))
     # Shuffle the narrow rows; the design arrays are built after it.
     rows = rows.repartition(*keys, SLOT)
     both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts"), changepoints), *_season_terms("ts", daily, weekly)).alias("x"))
-    first = ridge_fit(both, keys, "x", "y", trend_p + season_p)
+    l1 = [0.0, 0.0, *[NOISE_SCALE**2 / changepoint_prior] * changepoints, *[0.0] * len(season_p)] if sparse else None
+    first = ridge_fit(both, keys, "x", "y", trend_p + season_p, l1)
     trend = materialise(first.select(*keys, F.slice("coef", 1, len(trend_p)).alias("trend")), "seasonal-trend")
     model = join_series(spans, trend, keys, "inner").withColumns({"daily": F.lit(daily), "weekly": F.lit(weekly)})
     if season_p:

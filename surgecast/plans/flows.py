@@ -78,6 +78,7 @@ def train(
     base_path: str = "models",
     keep: int = lifecycle.KEEP_VERSIONS,
     store: bool = False,
+    sparse_trend: bool = True,
 ) -> Trained:
     """Train both models for every series, register, promote and prune a version each.
 
@@ -88,7 +89,7 @@ def train(
     cleaned = materialise(cleaning.clean(frame, keys, ts), "cleaned")
     hours = forecasting.long_enough(cleaned, keys, ts, min_hours)
 
-    seasonal = materialise(forecasting.fit_seasonal(cleaned, keys, ts, target), "seasonal")
+    seasonal = materialise(forecasting.fit_seasonal(cleaned, keys, ts, target, sparse=sparse_trend), "seasonal")
 
     columns = [c for c in features.PRIMARY_METRICS if c in cleaned.columns]
     columns = list(dict.fromkeys([target, *columns])) + CALENDAR

@@ -123,3 +123,35 @@ def test_tick_guards_and_acts(history, spark):
     assert not b["executed"] and not b["approved"] and "BLOCKED" in b["reason"]
     assert (out["free actions"], out["blocked actions"]) == (1, 0)
     assert out["free"]["b"]["direction"] == "none" and not out["free"]["b"]["approved"]
+
+
+def test_lasso_meets_its_conditions():
+    """At the minimum the gradient is zero for free coordinates, within the limit for zeros and at it for the others."""
+    rng = np.random.default_rng(2)
+    for trial in range(5):
+        x = rng.normal(size=(80, 12)).cumsum(axis=1)
+        a, c = x.T @ x, x.T @ (x[:, [3, 7]] @ [2.0, -1.0] + rng.normal(size=80))
+        l1 = np.r_[0.0, 0.0, np.full(10, 10.0 * 3**trial)]
+        b = forecasting.lasso(a, c, l1)
+        slope = a @ b - c
+        assert np.abs(slope[:2]).max() < 1e-6
+        on = (b != 0) & (l1 > 0)
+        assert np.abs(slope[on] + l1[on] * np.sign(b[on])).max(initial=0) < 1e-6
+        assert (np.abs(slope[(b == 0)]) <= l1[b == 0] + 1e-6).all()
+    assert not forecasting.lasso(a, c, np.r_[0.0, 0.0, np.full(10, 1e9)])[2:].any()
+
+
+def test_a_trend_with_two_breaks_keeps_two_hinges(spark):
+    n = 4_000
+    tau = np.arange(n) / (n - 1)
+    spots = [forecasting.CHANGEPOINT_SHARE * (j + 1) / (forecasting.CHANGEPOINTS + 1) for j in (7, 18)]
+    y = 1 + 0.5 * tau + 6 * np.maximum(0, tau - spots[0]) - 9 * np.maximum(0, tau - spots[1])
+    pdf = pd.DataFrame({"s": "a", "ts": pd.date_range("2026-01-01", periods=n, freq="h"), "v": y + np.random.default_rng(1).normal(0, 0.01, n)})
+    df = spark.createDataFrame(pdf)
+    hinges = {}
+    for sparse in (True, False):
+        model = forecasting.fit_seasonal(df, ["s"], "ts", "v", daily=0, weekly=0, sparse=sparse).first()
+        hinges[sparse] = np.array(model["trend"][2:])
+    # The prior draws a bend to its neighbours at most.
+    big = np.flatnonzero(np.abs(hinges[True]) > 0.2)
+    assert set(big) == {7, 18} and (hinges[True] == 0).sum() >= 18 and (hinges[False] == 0).sum() == 0
