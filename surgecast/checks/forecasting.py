@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, features, forecasting, lifecycle, normalize, sequences
-from ..plans import model_store
+from ..operators import boosting, ensemble, features, forecasting, lifecycle, normalize, sequences
+from ..plans import flows, model_store
 from ..session import materialise, scratch_dir
 from ..sources import files
 from ..sources.tables import SERIES
@@ -185,6 +185,50 @@ def one_step_regression(spark, sf_dir):
     return rounded(out, 4)
 
 
+_BINS, _MIN_ROWS, _RATE = 16, 5, 0.5
+
+
+@query(
+    "boosted_stump",
+    "I1",
+    f"""WITH {_LINE}
+    train AS (SELECT {KEYS}, before::FLOAT::DOUBLE AS x, cpu_usage::FLOAT::DOUBLE AS y FROM timed WHERE before IS NOT NULL AND i - 1 <= floor((n - 1) * 0.8)),
+    sized AS (SELECT {KEYS}, min(x) AS lo, max(x) AS hi, avg(y) AS base, count(*) AS n FROM train GROUP BY ALL),
+    placed AS (SELECT {KEYS}, y - base AS g, 1 + len(list_filter(range(1, {_BINS}), lambda j: lo + (hi - lo) * j / {_BINS} < x)) AS b FROM train JOIN sized USING ({KEYS})),
+    hist AS (SELECT {KEYS}, b, sum(g) AS g, count(*) AS c FROM placed GROUP BY ALL),
+    upto AS (SELECT {KEYS}, b, sum(g) OVER u AS gl, sum(c) OVER u AS nl, sum(g) OVER whole AS ga, sum(c) OVER whole AS na
+      FROM hist WINDOW whole AS (PARTITION BY {KEYS}), u AS (PARTITION BY {KEYS} ORDER BY b ROWS UNBOUNDED PRECEDING)),
+    gains AS (SELECT *, round(gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1), 9) AS gain
+      FROM upto WHERE nl >= {_MIN_ROWS} AND na - nl >= {_MIN_ROWS}),
+    best AS (SELECT * FROM gains WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY gain DESC, b) = 1)
+    SELECT {KEYS}, n, {r(f'lo + (hi - lo) * b / {_BINS}', 'threshold', 4)}, {r(f'base + {_RATE} * gl / (nl + 1)', 'below', 4)},
+      {r(f'base + {_RATE} * (ga - gl) / (na - nl + 1)', 'above', 4)} FROM best JOIN sized USING ({KEYS})""",
+)
+def boosted_stump(spark, sf_dir):
+    """One round of depth one on the row before is the best of the bins' cuts, with a shrunk mean on either side."""
+    rows = cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage")
+    model = boosting.fit_boosted_sequence(
+        rows, SERIES, "ts", ["cpu_usage"], "cpu_usage", lookback=1, horizon=1, rounds=1, depth=1, bins=_BINS, rate=_RATE, min_rows=_MIN_ROWS, by="width"
+    )
+    tree = F.get("trees", F.lit(0))
+    at = lambda part, i: F.get(tree[part], F.lit(i))
+    out = model.select(
+        *SERIES,
+        "n",
+        F.get(F.get("edges", at("f", 1)), at("b", 1) - 1).alias("threshold"),
+        (F.col("base") + at("v", 2)).alias("below"),
+        (F.col("base") + at("v", 3)).alias("above"),
+    )
+    return rounded(out.filter("threshold is not null"), 4)
+
+
+@query("feature_forecast", "I1 F10 H1 H2 G6")
+def feature_forecast(spark, sf_dir):
+    """Boosted trees on all engineered features of the last rows, forecast in the target's own units."""
+    made = flows.train_on_features(frame(spark, sf_dir), SERIES, "ts", lookback=2, horizon=2, rounds=6, depth=2)
+    return flows.forecast_on_features(made, SERIES, "ts")
+
+
 @query("sequence_error", "I1 I5 H3")
 def sequence_error(spark, sf_dir):
     """Validation error of the sequence model on the last fifth of each series' samples."""

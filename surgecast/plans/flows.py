@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
+from ..operators import boosting, cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
 from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import join_series
 from ..session import materialise
@@ -54,6 +54,52 @@ def prepare(
     return Prepared(normalize.transform(featured, params, keys, columns), params, columns)
 
 
+@dataclass(frozen=True)
+class TrainedOnFeatures:
+    """Boosted trees per (series, step), with the prepared rows and scaler they read."""
+
+    model: DataFrame
+    prepared: Prepared
+    target: str
+    lookback: int
+    horizon: int
+    depth: int
+
+
+def train_on_features(
+    frame: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    *,
+    target: str = "cpu_usage",
+    lookback: int = 60,
+    horizon: int = 10,
+    share: float = 0.8,
+    depth: int = 3,
+    **fit,
+) -> TrainedOnFeatures:
+    """Prepare, window and fit: the sequence model on every engineered feature.
+
+    Cleaning limits, features and scaler come from the same ``prepare`` call that forecasts
+    read, so both sides see rows treated alike.
+    """
+    made = prepare(frame, keys, ts, share=share)
+    # Read for the windows of training and for those of forecasting.
+    rows = materialise(made.rows, "prepared")
+    model = boosting.fit_boosted_sequence(rows, keys, ts, made.columns, target, lookback=lookback, horizon=horizon, share=share, depth=depth, **fit)
+    return TrainedOnFeatures(materialise(model, "boosted-model"), Prepared(rows, made.params, made.columns), target, lookback, horizon, depth)
+
+
+def forecast_on_features(made: TrainedOnFeatures, keys: Sequence[str], ts: str) -> DataFrame:
+    """The next steps of every series from its newest prepared rows: ``(series…, h, yhat)``."""
+    windows = sequences.inference_window(made.prepared.rows, keys, ts, made.prepared.columns, lookback=made.lookback)
+    steps = boosting.forecast_boosted(made.model, windows.withColumnRenamed(ts, "ts"), keys, horizon=made.horizon, depth=made.depth)
+    arrays = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", "yhat"))).alias("_s"))
+    arrays = arrays.select(*keys, F.transform("_s", lambda s: s["yhat"]).alias("_v"))
+    back = normalize.inverse_transform_array(arrays, made.prepared.params, keys, "_v", made.target)
+    return back.select(*keys, F.posexplode("_v").alias("_i", "yhat")).select(*keys, (F.col("_i") + 1).alias("h"), "yhat")
+
+
 @dataclass(frozen=True)
 class Trained:
     seasonal: DataFrame
