@@ -18,5 +18,5 @@ def test_inventory_is_covered():
 def test_only_fits_and_whole_flows_lack_sql():
     reg = checks.load()
     assert set(reg["QUERIES"]) - set(reg["SQL"]) == {
-        "seasonal_forecast", "sequence_forecast", "sequence_error", "model_round_trip", "training_run", "control_tick", "streaming_model_tick",
+        "seasonal_forecast", "sequence_forecast", "sequence_error", "feature_forecast", "model_round_trip", "training_run", "control_tick", "streaming_model_tick",
     }
