@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import importable, materialise, scratch_dir  # noqa: F401  re-exported for the operators
 
@@ -36,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_key(docs: DataFrame, name: str = "doc_id") -> Column:
+    """A long that stands for an id in keys: whole numbers as they are, other types by hash, NULL as the smallest long."""
+    whole = isinstance(docs.schema[name].dataType, T.IntegralType)
+    return F.when(F.col(name).isNull(), F.lit(-(2**63))).otherwise(F.col(name).cast("long") if whole else F.xxhash64(name))
+
+
 def small_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
     """A bounded driver-side list as a DataFrame that Spark knows the size of."""
     return spark.createDataFrame(pa.table({k: pa.array(v, types[k]) for k, v in columns.items()}))

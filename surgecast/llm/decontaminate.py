@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import id_key, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -83,14 +83,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     bits; pairs within it are verified exactly. Words are runs of letters and digits in
     lower case. Items without words, null texts and empty tables match nothing; a repeated
     item matches under each of its rows' ids, repeated documents are found once by (id,
-    text). k1 is the id (nulls as the smallest long) and k2 a hash of the text.
+    text). Ids may be of any type; k1 stands for the id (see ``id_key``), k2 is a hash of the
+    text.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).dropDuplicates().withColumn("n", F.size("words")).filter("n > 0")
     items = materialise(items.withColumn("k", F.least("n", F.lit(shingle))).withColumn("u", F.xxhash64("item_id", "words")), "items")
     longest = {r["k"]: r["n"] for r in items.groupBy("k").agg(F.max("n").alias("n")).collect()}  # at most ``shingle`` rows
     sizes = sorted(longest)
     lane = 16 if max(longest.values(), default=0) < 1 << 15 else 32
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), "doc_id", words_of(F.col("text")).alias("words"))
+    keyed = docs.select(id_key(docs).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), "doc_id", words_of(F.col("text")).alias("words"))
     key = ["k1", "k2", "doc_id"]
 
     found = None
@@ -154,5 +155,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
     bad = contaminated(docs, benchmark, similarity).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keyed = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_k1", id_key(docs)).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)

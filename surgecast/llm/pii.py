@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import id_key, materialise
 
 #: The base kinds. Loops are possessive and starts are anchored at the edge of a run (or at
 #: the end of the match before), which finds the same leftmost matches in linear time.
@@ -45,7 +45,7 @@ def _found(kind: str, pattern: str) -> Column:
 def _scan(docs: DataFrame) -> DataFrame:
     """key, doc_id and all matches of every row; texts stay behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2"))
+    rows = docs.select("doc_id", text.alias("text"), id_key(docs).alias("k1"), F.xxhash64(text).alias("k2"))
     patterns = {**BASE, **CANDIDATES}
     t = F.col("text")
     none = F.array().cast("array<string>")
@@ -81,7 +81,7 @@ def _valid() -> Column:
 
 
 def _features() -> dict[str, Column]:
-    """Small whole numbers about format and context; together they have under 60,000 combinations."""
+    """Small whole numbers about generator, format and context; few of their combinations occur."""
     m = F.col("match")
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
@@ -94,7 +94,9 @@ def _features() -> dict[str, Column]:
         return out
 
     edge = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[A-Za-z0-9]"), 2).otherwise(3)
+    kind = F.col("kind")
     return {
+        "generator": F.when(kind == "address", 0).when(kind == "number", 1).otherwise(2),
         "digits": step(digits, 1, 7, 10, 13, 16, 20),
         "letters": step(letters, 1, 6),
         "groups": step(groups, 2, 3, 4, 6),
@@ -107,6 +109,20 @@ def _features() -> dict[str, Column]:
     }
 
 
+def _rewritten(base: DataFrame) -> DataFrame:
+    """Base matches in forms that only the generators find, where they stand: known personal data in candidates' clothes."""
+    m, kind = F.col("match"), F.col("kind")
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    none = F.array().cast("array<string>")
+    spelt = F.array(F.concat(local, F.lit("(at)"), domain), F.concat(local, F.lit(" [at] "), F.replace(domain, F.lit("."), F.lit(" [dot] "))))
+    phone = F.array(F.substring(m, 2, 1 << 20), digits)
+    card = F.array(F.trim(F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", "$1 - ")))
+    forms = F.when(kind == "email", spelt).when(kind == "phone", phone).when(kind == "card", card).otherwise(none)
+    generator = F.when(kind == "email", "address").otherwise("number")
+    return base.select("k1", "k2", generator.alias("kind"), F.explode(forms).alias("match"), "before", "after")
+
+
 def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -194,10 +210,13 @@ def find_spans(docs: DataFrame, precision: float = PRECISION) -> tuple[DataFrame
 
     The key is (k1, k2): the id and a hash of the text, so repeated rows share their spans.
     A span is (kind, start, end, is_base), in code points, end exclusive. Base spans are the
-    matches of ``BASE`` that pass their check. Candidates that overlap a base span are
-    positive examples, others negative; half of the documents train the trees and the other
-    half sets the threshold. Selected candidates without a base span under them are added
-    with the kind of their generator. Null texts are empty; other columns are ignored.
+    matches of ``BASE`` that pass their check. Positive examples are candidates over a base
+    span and base matches rewritten into forms that only the generators find; candidates
+    elsewhere are negative. Half of the documents train the trees, the other half sets a
+    threshold for each generator, in which candidates over a base span have no part where
+    rewritten matches exist. Selected candidates without a base span under them are added
+    with the kind of their generator. Ids may be of any type; null texts are empty; other
+    columns are ignored.
     """
     scan = materialise(_scan(docs), "scan")
     rows = scan.select("k1", "k2", "doc_id")
@@ -215,24 +234,33 @@ def find_spans(docs: DataFrame, precision: float = PRECISION) -> tuple[DataFrame
     hit = F.coalesce(base_end > F.col("start"), F.lit(False)) | F.coalesce(next_base < F.col("end"), F.lit(False))
     features = _features()
     names = list(features)
-    candidates = placed.withColumn("hit", hit).filter("not is_base").select("k1", "k2", "kind", "start", "end", "hit", *[c.alias(f"f_{n}") for n, c in features.items()])
+    featured = [c.alias(f"f_{n}") for n, c in features.items()]
+    candidates = placed.withColumn("hit", hit).filter("not is_base").select("k1", "k2", "kind", "start", "end", "hit", *featured)
     candidates = materialise(candidates, "candidates")
-    half = F.pmod(F.xxhash64("k1"), F.lit(2))
-    y = F.col("hit").cast("int")
-    cells = candidates.groupBy(*[f"f_{n}" for n in names]).agg(
-        *[F.sum(F.when(half == h, v).otherwise(0)).alias(a) for h in (0, 1) for v, a in ((F.lit(1), f"n{h}"), (y, f"y{h}"))]
+    # Nothing is added over a base span, so where rewritten matches stand for the kind, candidates over one do not calibrate it.
+    seen = candidates.select("k1", F.col("hit").alias("y"), (~F.col("hit") | (F.col("kind") == "token")).alias("judges"), *[f"f_{n}" for n in names])
+    planted = _rewritten(placed.filter("is_base")).select("k1", F.lit(True).alias("y"), F.lit(True).alias("judges"), *featured)
+    half, y, judges = F.pmod(F.xxhash64("k1"), F.lit(2)), F.col("y"), F.col("judges")
+    cells = seen.unionAll(planted).groupBy(*[f"f_{n}" for n in names]).agg(
+        F.count_if(half == 0).alias("n0"), F.count_if((half == 0) & y).alias("y0"), F.count_if((half == 1) & judges).alias("n1"), F.count_if((half == 1) & judges & y).alias("y1")
     ).collect()  # bounded by the combinations of feature values
     keyed = [(tuple(r[f"f_{n}"] for n in names), r) for r in sorted(cells, key=lambda r: tuple(r[f"f_{n}"] for n in names))]
     train = [(v, r["n0"], r["y0"]) for v, r in keyed if r["n0"]]
     spans = placed.filter("is_base").select("k1", "k2", "kind", "start", "end", "is_base")
-    if train and any(c[2] for c in train) and any(r["n1"] for _, r in keyed):
+    if train and any(c[2] for c in train):
         base, trees = boost(train, names)
-        at = threshold([(base + sum(_tree_value(t, v) for t in trees), r["n1"], r["y1"]) for v, r in keyed if r["n1"]], precision)
-        if at < math.inf:
-            score = F.lit(base)
+        at = {}
+        for g in range(len(CANDIDATES)):
+            scored = [(base + sum(_tree_value(t, v) for t in trees), r["n1"], r["y1"]) for v, r in keyed if r["n1"] and v[0] == g]
+            at[g] = threshold(scored, precision)
+        limits = [(g, t) for g, t in at.items() if t < math.inf]
+        if limits:
+            score, chosen = F.lit(base), F.lit(False)
             for t in trees:
                 score = score + _tree_column(t, names)
-            added = candidates.filter(~F.col("hit")).filter(score >= at - 1e-9)
+            for g, t in limits:
+                chosen = chosen | ((F.col("f_generator") == g) & (score >= t - 1e-9))
+            added = candidates.filter(~F.col("hit")).filter(chosen)
             spans = spans.unionAll(added.select("k1", "k2", "kind", "start", "end", F.lit(False)))
     return rows, materialise(spans, "spans")
 
@@ -257,7 +285,7 @@ def redact(docs: DataFrame) -> DataFrame:
     new = spans.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = new.groupBy("k1", "k2", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
     listed = merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
-    keyed = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_k1", id_key(docs)).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
     listed = listed.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_cuts")
     joined = keyed.join(listed, ["_k1", "_k2"], "left")
     at = F.col("_cuts")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise
+from .common import id_key, materialise
 from .words import mix, rolled, sliding_min, word_hashes
 
 K = 20
@@ -159,9 +160,16 @@ def dedup_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     or before it in the same document. Null texts have no words, and a document of fewer
     than ``k`` words has no window. Rows with one id and different texts are ordered by a
     hash of their texts; rows equal in both are one document and do not judge each other. A
-    null id comes before all others. Other columns are ignored.
+    null id comes before all others. Ids may be of any type that has an order. Other columns
+    are ignored.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        rows = texts.withColumn("doc", id_key(docs))
+    else:
+        # Other ids are numbered in their own order, nulls first.
+        order = docs.select(F.col("doc_id").alias("_id")).distinct().orderBy("_id").withColumn("doc", F.monotonically_increasing_id())
+        rows = texts.join(materialise(order, "order"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     unique = not rows.groupBy("doc").count().filter("count > 1").limit(1).count()
     rows = rows.withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     removed = materialise(removed_windows(rows.select("doc", "tie", "text"), k, m), "removed").groupBy("doc", "tie").agg(F.collect_list("packed").alias("removed"))
