@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import DAY, block_window, carry, ceil_to, floor_to, join_series, micros, own_rows, steps_between, time_blocks, with_slot
+from ..plans.blocks import DAY, block_window, carry, ceil_to, floor_to, join_series, micros, own_rows, steps_between, sum_of, time_blocks, trailing, with_slot
 from ..session import materialise
 
 # Alert thresholds and the time each must hold.
@@ -47,9 +47,9 @@ def event_rate(
 ) -> DataFrame:
     """Events per second over the window that ends at each row."""
     blocks = time_blocks(events, ts, width_s=max(block_s, window_s), back_s=window_s).withColumn("_us", micros(ts))
-    w = block_window(keys, ["_us"]).rangeBetween(-(window_s * 1_000_000 - 1), 0)
-    rate = (F.count(F.lit(1)).over(w) / window_s).alias(name)
-    return own_rows(blocks.select(*events.columns, "_block", "_own", rate))
+    framed = trailing(blocks, keys, "_us", window_s, {"_n": (F.count, F.lit(1))})
+    rate = (sum_of("_n_tail", "_n_head") / window_s).alias(name)
+    return own_rows(framed.select(*events.columns, "_block", "_own", rate))
 
 
 def stale_models(registry: DataFrame, keys: Sequence[str], at, limit_s: float = STALE_MODEL_S) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import DAY, SLOT, carry, join_series, micros, with_slot
+from ..plans.blocks import DAY, carry, join_series, micros
 from ..session import materialise
 from .ensemble import replicas_for, unknown
 
@@ -123,65 +123,48 @@ def rate_limit(df: DataFrame, guard: GuardConfig = GuardConfig()) -> DataFrame:
 # -- cooldown ---------------------------------------------------------------------------
 
 
-_NEVER = -(2**62)
-
-
-def _pick(condition: Column, yes: Column, no: Column) -> Column:
-    return F.when(condition, yes).otherwise(no)
-
-
 def executed_times(
     candidates: DataFrame, keys: Sequence[str], ts: str, cooldown_s: int, *, slot_s: float = DAY
 ) -> DataFrame:
     """The candidate actions that run when each one that runs starts a cooldown.
 
-    The choice depends on earlier choices. Per (series, slot) the last action is worked out
-    for every time the first one could start at: the candidates of one cooldown and the
-    next one. Chaining these few entries over the slots of a series gives the state each
-    slot starts from, and each slot is then settled on its own. So a long series is spread
-    over tasks, and the result equals one pass over the series.
+    A candidate with none in the cooldown before it runs in any case. Each candidate points
+    to its successor, the first one at least a cooldown later, and the others that run are
+    those that pointers reach from the sure ones. Pointers double their reach in each round
+    and end at sure candidates, so the rounds are the logarithm of the longest stretch
+    without a pause of one cooldown. Candidates whose pointers meet in one row lie within
+    one cooldown of each other, in any round, which bounds the rows of a join key.
     """
-    keys = list(keys)
-    cooldown = F.lit(int(cooldown_s * 1_000_000))
-    rows = with_slot(candidates.select(*keys, ts).withColumn("_us", micros(ts)), ts, slot_s)
-    times = rows.groupBy(*keys, SLOT).agg(F.array_sort(F.collect_list("_us")).alias("_times"))
-    # Read twice: for the slot summaries and for the final pass.
-    times = materialise(times, "candidate-times")
-
-    last_from = lambda first: F.aggregate(
-        "_times", first, lambda last, t: _pick(t - last >= cooldown, t, last)
-    )
-    early = F.size(F.filter("_times", lambda t: t < F.col(SLOT) + cooldown))
-    entries = F.transform(
-        F.slice("_times", F.lit(1), early + 1), lambda e: F.struct(e.alias("entry"), last_from(e).alias("exit"))
-    )
-    summaries = times.select(*keys, F.struct(F.col(SLOT).alias("slot"), entries.alias("entries")).alias("_s"))
-
-    def chain(acc: Column, s: Column) -> Column:
-        usable = F.filter(s["entries"], lambda e: e["entry"] - acc["last"] >= cooldown)
-        state = F.struct(s["slot"].alias("slot"), acc["last"].alias("last"))
-        return F.struct(
-            F.coalesce(F.get(usable, F.lit(0))["exit"], acc["last"]).alias("last"),
-            F.concat(acc["states"], F.array(state)).alias("states"),
-        )
-
-    none = F.expr("cast(array() as array<struct<slot: bigint, last: bigint>>)")
-    start = F.struct(F.lit(_NEVER).alias("last"), none.alias("states"))
-    # One summary per slot and series, so the list is bounded by the slots of the time span.
-    states = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_all"))
-    states = states.select(*keys, F.explode(F.aggregate("_all", start, chain, lambda acc: acc["states"])).alias("_x"))
-    states = states.select(*keys, F.col("_x.slot").alias(SLOT), F.col("_x.last").alias("_last"))
-
-    settle = F.aggregate(
-        "_times",
-        F.struct(F.col("_last").alias("last"), F.expr("cast(array() as array<bigint>)").alias("ran")),
-        lambda acc, t: _pick(
-            t - acc["last"] >= cooldown, F.struct(t.alias("last"), F.concat(acc["ran"], F.array(t)).alias("ran")), acc
-        ),
-        lambda acc: acc["ran"],
-    )
-    ran = times.join(states, [*keys, SLOT]).select(*keys, F.explode(settle).alias("_us"))
-    return ran.select(*keys, F.timestamp_micros("_us").alias(ts), F.lit(True).alias("_executed"))
+    keys, cooldown = list(keys), max(int(cooldown_s * 1_000_000), 1)
+    times = candidates.select(*keys, micros(ts).alias("_us")).distinct().withColumn("_at", F.timestamp_micros("_us"))
+    times = carry(times, keys, "_at", {"_prior": F.col("_us")}, slot_s=slot_s, strict=True)
+    sure = F.coalesce(F.col("_us") - F.col("_prior") >= cooldown, F.lit(True))
+    # Read for the candidates and for the ends of their cooldowns.
+    times = materialise(times.select(*keys, "_us", sure.alias("_runs")), "candidate-times")
+
+    # On one time line, the end of a cooldown looks ahead to the next candidate; itself if at the same time.
+    nobody, no = F.lit(None).cast("long"), F.lit(None).cast("boolean")
+    ends = times.select(*keys, (F.col("_us") + cooldown).alias("_line"), F.lit(0).alias("_kind"), "_us", "_runs", nobody.alias("_found"), no.alias("_sure"))
+    line = ends.unionByName(times.select(*keys, F.col("_us").alias("_line"), F.lit(1).alias("_kind"), nobody.alias("_us"), no.alias("_runs"), F.col("_us").alias("_found"), F.col("_runs").alias("_sure")))
+    ahead = F.when(F.col("_kind") == 1, F.struct(F.col("_found").alias("us"), F.col("_sure").alias("sure")))
+    line = carry(line.withColumn("_at", F.timestamp_micros("_line")), keys, "_at", {"_next": ahead}, order=["_line", "_kind"], slot_s=slot_s, backward=True)
+    to = F.when(~F.col("_next.sure"), F.col("_next.us"))
+    links = materialise(line.filter("_kind = 0").select(*keys, "_us", "_runs", to.alias("_to")), "candidate-links")
+
+    while not links.filter("_to IS NOT NULL").isEmpty():
+        # Two doublings a round halve the tables written.
+        links = materialise(_double(_double(links, keys), keys), "candidate-links")
+    return links.filter("_runs").select(*keys, F.timestamp_micros("_us").alias(ts), F.lit(True).alias("_executed"))
+
+
+def _double(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates that those that run point to run too; then each pointer takes the pointer of its end."""
+    reached = links.filter("_runs AND _to IS NOT NULL").select(*keys, F.col("_to").alias("_us"), F.lit(True).alias("_hit")).distinct()
+    further = links.filter("_to IS NOT NULL").select(*keys, F.col("_us").alias("_end"), F.col("_to").alias("_then"))
+    marked = links.join(reached, [*keys, "_us"], "left").withColumn("_runs", F.col("_runs") | F.col("_hit").isNotNull()).drop("_hit")
+    # A candidate without a pointer asks at its own place, where there is none, instead of under one shared NULL.
+    marked = marked.withColumn("_end", F.coalesce("_to", "_us"))
+    return marked.join(further, [*keys, "_end"], "left").select(*keys, "_us", "_runs", F.col("_then").alias("_to"))
 
 
 def guard_decisions(

@@ -20,6 +20,7 @@ from ..plans.blocks import (
     own_rows,
     row_blocks,
     time_blocks,
+    trailing,
     with_positions,
 )
 from ..session import materialise
@@ -156,14 +157,35 @@ def rolling_time(
     keys, base = list(keys), list(df.columns)
     blocks = time_blocks(df, ts, width_s=max(block_s, 60 * max(minutes)), back_s=60 * max(minutes))
     blocks = blocks.withColumn("_us", micros(ts))
-    w = block_window(keys, ["_us"])
     made = []
-    for c in cols:
-        for m in minutes:
-            frame = w.rangeBetween(-(m * 60_000_000 - 1), 0)
-            made.append(F.avg(c).over(frame).alias(f"{c}_mean_last_{m}min"))
-            made.append(F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)).alias(f"{c}_std_last_{m}min"))
-    return own_rows(blocks.select(*base, BLOCK, OWN, *made))
+    for m in minutes:
+        names = {c: f"_{m}_{i}" for i, c in enumerate(cols)}
+        parts = {}
+        for c, n in names.items():
+            parts |= {f"{n}n": (F.count, F.col(c)), f"{n}a": (F.avg, F.col(c)), f"{n}v": (F.var_pop, F.col(c))}
+        blocks = trailing(blocks, keys, "_us", 60 * m, parts)
+        for c, n in names.items():
+            made += [(c, m, *_merged_moments(n))]
+    out = [
+        column
+        for c in cols
+        for name, m, mean, std in made
+        if name == c
+        for column in (mean.alias(f"{c}_mean_last_{m}min"), F.coalesce(std, F.lit(0.0)).alias(f"{c}_std_last_{m}min"))
+    ]
+    return own_rows(blocks.select(*base, BLOCK, OWN, *out))
+
+
+def _merged_moments(n: str) -> tuple[Column, Column]:
+    """Mean and sample deviation of a frame from count, mean and variance of its two parts."""
+    n1, n2 = (F.coalesce(f"{n}n_{part}", F.lit(0)) for part in ("tail", "head"))
+    a1, a2 = (F.col(f"{n}a_{part}") for part in ("tail", "head"))
+    v1, v2 = (F.col(f"{n}v_{part}") for part in ("tail", "head"))
+    both, rows = (n1 > 0) & (n2 > 0), n1 + n2
+    mean = F.when(both, a1 + (a2 - a1) * n2 / rows).otherwise(F.coalesce(a1, a2))
+    within = F.coalesce(v1 * n1, F.lit(0.0)) + F.coalesce(v2 * n2, F.lit(0.0))
+    between = F.when(both, (a2 - a1) * (a2 - a1) * n1 * n2 / rows).otherwise(0.0)
+    return mean, F.when(rows > 1, F.sqrt((within + between) / (rows - 1)))
 
 
 def add_calendar(df: DataFrame, ts: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantile import histogram_quantile
-from ..plans.blocks import DAY, block_window, carry, micros, own_rows, time_blocks
+from ..plans.blocks import DAY, carry, micros, own_rows, sum_of, time_blocks, trailing
 
 RATE_WINDOW_S = 300
 
@@ -48,10 +48,9 @@ def counter_rate(
     """The rate at every sample of its own series."""
     inc = counter_increase(df, keys, ts, value, order=order, slot_s=slot_s, name="_inc")
     blocks = time_blocks(inc, ts, width_s=max(slot_s, window_s), back_s=window_s)
-    blocks = blocks.withColumn("_us", micros(ts))
-    w = block_window(keys, ["_us"]).rangeBetween(-(window_s * 1_000_000 - 1), 0)
-    rate = (F.sum("_inc").over(w) / window_s).alias(name)
-    return own_rows(blocks.select(*df.columns, "_block", "_own", rate))
+    framed = trailing(blocks.withColumn("_us", micros(ts)), keys, "_us", window_s, {"_sum": (F.sum, F.col("_inc"))})
+    rate = (sum_of("_sum_tail", "_sum_head") / window_s).alias(name)
+    return own_rows(framed.select(*df.columns, "_block", "_own", rate))
 
 
 def step_end(ts: str, step_s: int) -> Column:

@@ -16,7 +16,7 @@ A NULL series key raises an error, since the joins on keys would lose its rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -299,3 +299,42 @@ def own_rows(df: DataFrame, *drop: str) -> DataFrame:
 
 def block_window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, BLOCK).orderBy(*_order(order))
+
+
+def trailing(
+    placed: DataFrame, keys: Sequence[str], us: str, width_s: float, parts: Mapping[str, tuple[Callable[[Column], Column], Column]]
+) -> DataFrame:
+    """Add ``<name>_tail`` and ``<name>_head``, two aggregates that make up the frame
+    ``(t - width, t]`` of a row at ``t``; ``parts`` gives the function and its input.
+
+    Time is cut into panes as wide as the frame, so a frame is the end of one pane (the
+    tail) and the beginning of the next (the head). Both are running aggregates of a pane,
+    and a row costs the same however many rows its frame holds. ``placed`` has blocks with a
+    halo of at least one width; results are whole in own rows.
+    """
+    keys, width = list(keys), F.lit(int(width_s * 1_000_000))
+    ins = {n: f"_in_{n}" for n in parts}
+    rows = placed.select("*", *[value.alias(ins[n]) for n, (_, value) in parts.items()], (F.col(us) - F.pmod(us, width)).alias("_pane"))
+    pane = Window.partitionBy(*keys, BLOCK, "_pane")
+    so_far = pane.orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
+    heads = rows.select("*", *[f(F.col(ins[n])).over(so_far).alias(f"{n}_head") for n, (f, _) in parts.items()])
+
+    # Each row asks from the first instant of its frame on; a frame that is one whole pane asks nothing.
+    since = F.col(us) - width + F.lit(1)
+    row = F.struct(F.lit(False).alias("asks"), F.col(us).alias("at"), F.col("_home").alias("pane"))
+    ask = F.struct(F.lit(True).alias("asks"), since.alias("at"), (since - F.pmod(since, width)).alias("pane"))
+    both = heads.withColumnRenamed("_pane", "_home").select("*", F.explode(F.array(row, ask)).alias("_x"))
+    both = both.select("*", F.col("_x.pane").alias("_pane"), F.col("_x.at").alias("_at"), F.col("_x.asks").alias("_asks"))
+    onward = pane.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.select(
+        "*", *[f(F.when(~F.col("_asks"), F.col(ins[n]))).over(onward).alias(f"_seen_{n}") for n, (f, _) in parts.items()]
+    )
+    before = F.col("_pane") < F.col("_home")
+    tails = [F.when(before, F.col(f"_seen_{n}")).alias(f"{n}_tail") for n in parts]
+    return seen.filter("_asks").select(*placed.columns, *[f"{n}_head" for n in parts], *tails)
+
+
+def sum_of(*parts: str) -> Column:
+    """The sum of the columns that are known, NULL if none is."""
+    known = reduce(or_, [F.col(p).isNotNull() for p in parts])
+    return F.when(known, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts]))

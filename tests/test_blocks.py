@@ -93,6 +93,31 @@ def test_time_blocks_complete_frames(rows):
     same(blocks.own_rows(placed.withColumn("back", F.sum("v").over(w))), by_series(pdf, want), ["back"])
 
 
+@pytest.mark.parametrize("width_s", [60, 45 * 60, HOUR])
+def test_trailing_panes_equal_a_sliding_frame(rows, width_s):
+    """Panes that do not line up with the blocks, a frame of one whole pane, sums and extremes alike."""
+    _, df = rows
+    placed = blocks.time_blocks(df, "ts", width_s=HOUR, back_s=width_s)
+    parts = {"n": (F.count, F.col("v")), "lo": (F.min, F.col("v")), "hi": (F.max, F.col("v"))}
+    w = blocks.block_window(["s"], ["us"]).rangeBetween(-(width_s * 1_000_000 - 1), 0)
+    wanted = placed.withColumns({n: f(c).over(w) for n, (f, c) in parts.items()})
+    merged = blocks.trailing(placed, ["s"], "us", width_s, parts).withColumns(
+        {"n": blocks.sum_of("n_tail", "n_head"), "lo": F.least("lo_tail", "lo_head"), "hi": F.greatest("hi_tail", "hi_head")}
+    )
+    columns = ["s", "us", "n", "lo", "hi"]
+    got, want = (blocks.own_rows(x).select(columns).toPandas().sort_values(["s", "us"], ignore_index=True) for x in (merged, wanted))
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_trailing_panes_of_a_dense_minute(spark):
+    """10^5 rows in one minute, all in one frame: a sliding frame would add 5 * 10^9 times."""
+    rows = spark.range(100_000).select(F.lit("a").alias("s"), F.timestamp_micros(F.col("id") * 600).alias("ts"), F.lit(1.0).alias("v"))
+    placed = blocks.time_blocks(rows, "ts", width_s=HOUR, back_s=600).withColumn("us", blocks.micros("ts"))
+    out = blocks.own_rows(blocks.trailing(placed, ["s"], "us", 600, {"n": (F.sum, F.col("v"))}))
+    total = blocks.sum_of("n_tail", "n_head")
+    assert out.agg(F.sum(total), F.max(total)).first()[:] == (100_000 * 100_001 / 2, 100_000.0)
+
+
 def test_halo_longer_than_block_is_refused(rows):
     _, df = rows
     with pytest.raises(ValueError):

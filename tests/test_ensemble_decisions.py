@@ -186,6 +186,23 @@ def test_guard_equals_one_pass(spark, slot_s, cooldown):
     assert blocked["reason"].str.contains("BLOCKED: cooldown").all()
 
 
+def test_cooldown_over_long_stretches_without_a_pause(spark):
+    """Chains of over a thousand actions, repeated instants and candidates at exactly one cooldown."""
+    rng = np.random.default_rng(4)
+    us = np.concatenate([rng.integers(0, 4_000, 6_000), np.arange(10_000, 11_500, 3), np.full(50, 20_000)]) * 1_000_000
+    pdf = pd.DataFrame({"s": np.where(rng.random(len(us)) < 0.9, "a", "b"), "ts": pd.to_datetime(us, unit="us"), "us": us})
+    got = decisions.executed_times(spark.createDataFrame(pdf[["s", "ts"]]), ["s"], "ts", 3, slot_s=3600).toPandas()
+    want = []
+    for s, g in pdf.groupby("s"):
+        last = None
+        for t in sorted(set(g["us"])):
+            if last is None or t - last >= 3_000_000:
+                want.append((s, pd.Timestamp(t, unit="us")))
+                last = t
+    assert len(want) > 2_000
+    assert sorted(zip(got["s"], got["ts"])) == sorted(want)
+
+
 def test_rate_limit_cases(spark):
     pdf = decision_rows(2).assign(s=["a", "b"], current_replicas=[2, 10], target_replicas=[10, 3], direction=["up", "down"])
     pdf = pdf.astype({"current_replicas": "int32", "target_replicas": "int32"})
