@@ -127,10 +127,27 @@ def clip_outliers(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: float = OUTLIER_STD
 ) -> DataFrame:
     """Clip each column to its limits; statistics include the outliers, NULLs stay NULL."""
-    limited = join_series(df, clip_limits(df, keys, cols, width), keys)
+    return clip_to(df, clip_limits(df, keys, cols, width), keys, cols)
+
+
+def clip_to(df: DataFrame, limits: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Clip to given ``limits`` (see ``clip_limits``); a series or column without one stays as it is."""
+    limited = join_series(df, limits, keys)
     return limited.select(*[_clipped(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def limit_rows(limits: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``limits`` as rows ``(series…, column, lo, hi)``, the form that is stored with a model."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"_limit_{c}.lo").alias("lo"), F.col(f"_limit_{c}.hi").alias("hi")) for c in cols]
+    return limits.select(*keys, F.explode(F.array(*pairs)).alias("_l")).select(*keys, "_l.*").filter("lo IS NOT NULL")
+
+
+def limits_of(rows: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The way back from ``limit_rows``."""
+    pair = F.struct("lo", "hi")
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, pair)).alias(f"_limit_{c}") for c in cols])
+
+
 def clip_counts(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: float = OUTLIER_STD
 ) -> DataFrame:
@@ -172,20 +189,38 @@ def clean(
     Whether a column is too sparse is decided in each series (see ``mask_sparse``).
 
     Interpolation without a gap limit leaves NULLs only where a series has no value at
-    all, so the fill step has work only with a limit. The interpolated rows are written
-    once to the shared scratch folder.
+    all, so the fill step has work only with a limit.
     """
-    df = validate_index(df, ts)
-    cols = list(cols or numeric_columns(df, [*keys, ts]))
-    df, kept = mask_sparse(df, keys, cols, min_ratio)
+    df, kept = without_gaps(df, keys, ts, cols, min_ratio=min_ratio, max_gap_s=max_gap_s, slot_s=slot_s)
     if not kept:
         return df
-    # Clipping reads its input twice, for the statistics and for the rows.
-    df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")
     df = clip_outliers(df, keys, kept, width)
     return df if max_gap_s is None else fill_remaining(df, keys, ts, kept, slot_s=slot_s)
 
 
+def without_gaps(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    cols: Sequence[str] | None = None,
+    *,
+    min_ratio: float = MIN_VALID_RATIO,
+    max_gap_s: float | None = None,
+    slot_s: float = 7 * DAY,
+) -> tuple[DataFrame, list[str]]:
+    """The steps of ``clean`` before clipping, and the columns that it keeps.
+
+    The rows are written once to the shared scratch folder, since clipping reads them twice,
+    for the limits and for the values.
+    """
+    df = validate_index(df, ts)
+    cols = list(cols or numeric_columns(df, [*keys, ts]))
+    df, kept = mask_sparse(df, keys, cols, min_ratio)
+    if kept:
+        df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")
+    return df, kept
+
+
 def quality_report(
     df: DataFrame, keys: Sequence[str] = (), *, exclude: Sequence[str] = (), round_values: bool = True
 ) -> DataFrame:

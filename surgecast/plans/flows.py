@@ -14,7 +14,7 @@ from ..plans.blocks import join_series
 from ..session import materialise
 from . import model_store
 
-#: Rows before the window that a prediction reads for interpolation and clipping limits.
+#: Rows before the window that a prediction reads for interpolation.
 HISTORY_ROWS = 240
 CALENDAR = ["hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 
@@ -108,6 +108,8 @@ class Trained:
     columns: list[str]
     registry: DataFrame
     summary: DataFrame
+    #: ``(series…, column, lo, hi)``: what training clipped to, and forecasts clip to.
+    limits: DataFrame | None = None
 
 
 def train(
@@ -129,10 +131,12 @@ def train(
     """Train both models for every series, register, promote and prune a version each.
 
     A series shorter than ``min_hours`` gets the seasonal model only. With ``store`` the
-    coefficients and scalers are kept under ``base_path`` (see ``load``).
+    coefficients, scalers and clipping limits are kept under ``base_path`` (see ``load``).
     """
     keys = list(keys)
-    cleaned = materialise(cleaning.clean(frame, keys, ts), "cleaned")
+    whole, kept = cleaning.without_gaps(frame, keys, ts)
+    limits = materialise(cleaning.limit_rows(cleaning.clip_limits(whole, keys, kept), keys, kept), "limits")
+    cleaned = materialise(cleaning.clip_to(whole, cleaning.limits_of(limits, keys, kept), keys, kept), "cleaned")
     hours = forecasting.long_enough(cleaned, keys, ts, min_hours)
 
     seasonal = materialise(forecasting.fit_seasonal(cleaned, keys, ts, target, sparse=sparse_trend), "seasonal")
@@ -166,10 +170,10 @@ def train(
     versions = materialise(lifecycle.create_versions(registry, runs, keys, base_path), "versions")
     newest_version = lifecycle.latest_choice(versions, keys)
     if store:
-        model_store.publish({"seasonal": seasonal, "sequence": sequence, "scaler": scaler}, newest_version, keys, base_path)
+        model_store.publish({"seasonal": seasonal, "sequence": sequence, "scaler": scaler, "limits": limits}, newest_version, keys, base_path)
     versions = lifecycle.promote(versions, newest_version, keys)
     versions = materialise(lifecycle.prune(versions, keys, keep), "registry")
-    return Trained(seasonal, sequence, scaler, columns, versions, summary)
+    return Trained(seasonal, sequence, scaler, columns, versions, summary, limits)
 
 
 def load(registry: DataFrame, keys: Sequence[str], base_path: str, columns: Sequence[str]) -> Trained:
@@ -184,7 +188,9 @@ def load(registry: DataFrame, keys: Sequence[str], base_path: str, columns: Sequ
     def part(name: str) -> DataFrame:
         return model_store.stored(spark, name, wanted, keys, base_path)
 
-    return Trained(part("seasonal"), part("sequence"), part("scaler"), list(columns), registry, registry.select(*keys).distinct())
+    # Models stored before limits were have none.
+    limits = part("limits") if model_store.children(spark, f"{base_path}/limits") else None
+    return Trained(part("seasonal"), part("sequence"), part("scaler"), list(columns), registry, registry.select(*keys).distinct(), limits)
 
 
 def tick(
@@ -223,13 +229,19 @@ def predict(
     horizon: int = 10,
     weights: DataFrame | None = None,
 ) -> DataFrame:
-    """One prediction result per series for the steps after its last row."""
+    """One prediction result per series for the steps after its last row.
+
+    Recent rows are clipped to the limits of the series' training; models without them take
+    the limits of the recent rows themselves.
+    """
     keys = list(keys)
     # The rows that the window and the gaps around it can reach; the models know the rest.
     ends = frame.groupBy(*keys).agg(F.max(ts).alias("_end"))
     reach = F.col("_end") - F.make_interval(secs=F.lit(step_s * (lookback + HISTORY_ROWS)).cast("decimal(18,6)"))
     recent = join_series(frame, ends, keys).filter(F.col(ts) >= reach).drop("_end")
-    cleaned = materialise(cleaning.clean(recent, keys, ts, slot_s=7 * 86400), "recent")
+    filled, kept = cleaning.without_gaps(recent, keys, ts, slot_s=7 * 86400)
+    known = cleaning.clip_limits(filled, keys, kept) if models.limits is None else cleaning.limits_of(models.limits, keys, kept)
+    cleaned = materialise(cleaning.clip_to(filled, known, keys, kept), "recent")
     last = cleaned.groupBy(*keys).agg(F.max(ts).alias("cycle"))
     grid = last.withColumnRenamed("cycle", ts)
     seasonal = forecasting.forecast_seasonal(models.seasonal, grid, keys, ts, step_s=step_s, horizon=horizon)

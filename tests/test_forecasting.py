@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surgecast.operators import decisions, forecasting, sequences
+from surgecast.operators.cleaning import OUTLIER_STD
 from surgecast.plans import flows
 
 STEP = 3600
@@ -105,6 +106,25 @@ def test_stored_models_predict_the_same(history, tmp_path):
     a = flows.predict(df, ["s"], "ts", again, step_s=STEP, lookback=24, horizon=10).orderBy("s").collect()
     b = flows.predict(df, ["s"], "ts", loaded, step_s=STEP, lookback=24, horizon=10).orderBy("s").collect()
     assert [r["predicted_values"] for r in a] == [r["predicted_values"] for r in b]
+    pd.testing.assert_frame_equal(*(m.limits.toPandas().sort_values(["s", "column"], ignore_index=True)[["s", "column", "lo", "hi"]] for m in (again, loaded)))
+
+
+def test_forecasts_clip_to_the_limits_of_training(history, spark):
+    """A last value far outside the recent rows is cut at the limit of the whole history, not at that of the recent rows."""
+    pdf, df = history
+    models = flows.train(df, ["s"], "ts", lookback=24, horizon=10)
+    limits = {r["s"]: r["hi"] for r in models.limits.filter("column = 'cpu_usage'").collect()}
+    for s, g in pdf.groupby("s"):
+        assert limits[s] == pytest.approx(g["cpu_usage"].mean() + OUTLIER_STD * g["cpu_usage"].std())
+
+    def ahead(last_value):
+        rows = pdf.copy()
+        rows.loc[rows["ts"] == rows["ts"].max(), "cpu_usage"] = rows["s"].map(last_value)
+        made = flows.predict(spark.createDataFrame(rows), ["s"], "ts", models, step_s=STEP, lookback=24, horizon=10)
+        return [r["predicted_values"] for r in made.orderBy("s").collect()]
+
+    at_limit, beyond = ahead(limits), ahead({s: 50 * hi for s, hi in limits.items()})
+    np.testing.assert_allclose(beyond, at_limit, rtol=1e-6)
 
 
 def test_tick_guards_and_acts(history, spark):
