@@ -118,7 +118,7 @@ def test_forecasts_clip_to_the_limits_of_training(history, spark):
         assert limits[s] == pytest.approx(g["cpu_usage"].mean() + OUTLIER_STD * g["cpu_usage"].std())
 
     def ahead(last_value):
-        rows = pdf.copy()
+        rows = pdf.reset_index(drop=True)
         rows.loc[rows["ts"] == rows["ts"].max(), "cpu_usage"] = rows["s"].map(last_value)
         made = flows.predict(spark.createDataFrame(rows), ["s"], "ts", models, step_s=STEP, lookback=24, horizon=10)
         return [r["predicted_values"] for r in made.orderBy("s").collect()]
