@@ -2,16 +2,17 @@
 
 Both models are linear in their coefficients, so training needs only the sums X'X and X'y.
 These are formed per (series, block) and added up per series; a small ridge solve finishes
-each series. No task sees more than one block of a series.
+each series. No task sees more than one block of a series. Tasks read sorted Arrow batches
+that hold many short series, so a series costs its arithmetic and no call of its own.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +40,78 @@ def _sums_schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
 
 
-def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Totals of block sums, one block at a time."""
-    xx, xy = np.array(pdf["xx"].iloc[0]), np.array(pdf["xy"].iloc[0])
-    for a, b in zip(pdf["xx"].iloc[1:], pdf["xy"].iloc[1:]):
-        xx += a
-        xy += b
-    return xx, xy, int(pdf["n"].sum())
+def _starts(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """First row of each stretch of rows that agree in ``names``, NULL being a value of its own."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        column = table.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _doubles(table: pa.Table | pa.RecordBatch, c: str) -> np.ndarray:
+    """A numeric column with NaN where it is NULL."""
+    column = table.column(c).cast(pa.float64())
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.fill_null(math.nan).to_numpy(zero_copy_only=False)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each begins, from batches sorted by ``names``.
+
+    A task holds one batch and the group that it breaks off.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if table.num_rows:
+            starts = _starts(table, names)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+            rest = table.slice(starts[-1])
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64)
+
+
+def _batch(heads: pa.Table, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The group columns of ``heads`` with ``columns`` beside them."""
+    named = {**{c: heads.column(c).combine_chunks() for c in heads.column_names}, **columns}
+    return pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
+
+
+def _sums_out(heads: pa.Table, sums: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    xx, xy, n = zip(*sums)
+    return _batch(heads, {"xx": pa.array(xx, pa.list_(pa.float64())), "xy": pa.array(xy, pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
+
+
+def _totals(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, list[tuple[np.ndarray, np.ndarray, int]]]]:
+    """Totals of the sums (xx, xy, n) of each group in batches sorted by ``names``; a task holds one group's totals beside a batch."""
+    head, total = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch, names)
+        heads = pa.Table.from_batches([batch]).select(list(names)).take(pa.array(starts))
+        xx, xy, n = batch.column("xx"), batch.column("xy"), batch.column("n").to_numpy()
+        goes_on = head is not None and head.to_pylist() == heads.slice(0, 1).to_pylist()
+        ended, done = [], []
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], batch.num_rows])):
+            if total is not None and not (i == 0 and goes_on):
+                ended.append(head)
+                done.append(total)
+                total = None
+            head = heads.slice(i, 1)
+            for j in range(a, b):
+                more = np.asarray(xx[j].values), np.asarray(xy[j].values), int(n[j])
+                total = more if total is None else tuple(u + v for u, v in zip(total, more))
+        if done:
+            yield pa.concat_tables(ended), done
+    if total is not None:
+        yield head, [total]
 
 
 def lasso(a: np.ndarray, c: np.ndarray, l1: np.ndarray, sweeps: int = 4000, tol: float = 1e-13) -> np.ndarray:
@@ -82,23 +148,22 @@ def lasso(a: np.ndarray, c: np.ndarray, l1: np.ndarray, sweeps: int = 4000, tol:
     return out
 
 
-def _solve(names: list[str], penalty: list[float], l1: list[float] | None = None):
+def _solved(penalty: Sequence[float], l1: Sequence[float] | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray | None]:
+    """Coefficients from sums; none from sums that are not finite."""
     ridge, sparse = np.diag(np.asarray(penalty)), np.asarray(l1 or [0.0])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(xx: np.ndarray, xy: np.ndarray) -> np.ndarray | None:
         p = len(ridge)
-        xx, xy, n = _added(pdf)
-        head = {c: [pdf[c].iloc[0]] for c in names}
         if not (np.isfinite(xx).all() and np.isfinite(xy).all()):
-            return pd.DataFrame({**head, "coef": [None], "n": [n]})
+            return None
         left, right = xx.reshape(p, p) + ridge, xy.reshape(p, -1)
         if sparse.any():
-            return pd.DataFrame({**head, "coef": [lasso(left, right[:, 0], sparse)], "n": [n]})
+            return lasso(left, right[:, 0], sparse)
         try:
             coef = np.linalg.solve(left, right)
         except np.linalg.LinAlgError:
             coef = np.linalg.lstsq(left, right, rcond=None)[0]
-        return pd.DataFrame({**head, "coef": [coef.ravel()], "n": [n]})
+        return coef.ravel()
 
     return run
 
@@ -107,6 +172,11 @@ def _solve(names: list[str], penalty: list[float], l1: list[float] | None = None
 FAN_IN = 32
 
 
+def _together(rows: DataFrame, names: Sequence[str], *order: str) -> DataFrame:
+    """Rows of a group in one task, one after the other."""
+    return rows.repartition(*names).sortWithinPartitions(*names, *order)
+
+
 def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float], l1: list[float] | None = None) -> DataFrame:
     """Add up the block sums of each series in two steps and solve; one row out per series.
 
@@ -114,33 +184,49 @@ def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float]
     task of the last step sees one row for each of those. Sums that are not finite give NULL
     coefficients.
     """
-
-    def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx, xy, n = _added(pdf)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "xx": [xx], "xy": [xy], "n": [n]})
-
+    solve = _solved(penalty, l1)
     size = sums.groupBy(*keys).agg(F.count("*").alias("_n"))
     grouped = join_series(sums, size, keys, "inner").withColumn("_g", F.pmod(F.xxhash64(block), F.ceil(F.col("_n") / FAN_IN)))
-    partly = grouped.groupBy(*keys, "_g").applyInPandas(some, _sums_schema(sums, keys))
     out = T.StructType([*[sums.schema[c] for c in keys], T.StructField("coef", _DOUBLES), T.StructField("n", T.LongType())])
-    return partly.groupBy(*keys).applyInPandas(_solve(keys, penalty, l1), out)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for heads, totals in _totals(batches, [*keys, "_g"]):
+            yield _sums_out(heads.select(keys), totals)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for heads, totals in _totals(batches, keys):
+            coef = pa.array([solve(xx, xy) for xx, xy, _ in totals], pa.list_(pa.float64()))
+            yield _batch(heads, {"coef": coef, "n": pa.array([n for _, _, n in totals], pa.int64())})
+
+    partly = _together(grouped.select(*keys, "_g", "xx", "xy", "n"), [*keys, "_g"]).mapInArrow(some, _sums_schema(sums, keys))
+    return _together(partly, keys).mapInArrow(whole, out)
 
 
 def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Sequence[float], l1: Sequence[float] | None = None) -> DataFrame:
     """Least squares per series for rows that carry a slot, a design array and a target.
 
+    A task adds up what lies together, so rows sorted by series and slot give the fewest sums.
     ``penalty`` weighs squares and ``l1`` absolute values of the coefficients. Rows with an unknown value are left out of the sums and of ``n``.
     """
     names = [*keys, SLOT]
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.stack(pdf[x].to_numpy()).astype(float), pdf[y].to_numpy(dtype=float)[:, None]
-        good = np.isfinite(a).all(axis=1) & np.isfinite(b[:, 0])
-        xx, xy = _gram(a[good], b[good])
-        head = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [int(good.sum())]})
-
-    sums = materialise(rows.groupBy(*names).applyInPandas(partial, _sums_schema(rows, names)), "sums")
+    p = len(penalty)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums of a slot's rows in one batch; a slot that lies in several has a row for each.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = batch.column(x).flatten().fill_null(math.nan).to_numpy(zero_copy_only=False).reshape(-1, p)
+            b = _doubles(batch, y)
+            good = np.isfinite(a).all(axis=1) & np.isfinite(b)
+            starts = _starts(batch, names)
+            sums = []
+            for i, j in zip(starts, [*starts[1:], batch.num_rows]):
+                use = good[i:j]
+                sums.append((*_gram(a[i:j][use], b[i:j][use][:, None]), int(use.sum())))
+            yield _sums_out(pa.Table.from_batches([batch]).select(names).take(pa.array(starts)), sums)
+
+    sums = materialise(rows.select(*names, x, y).mapInArrow(partial, _sums_schema(rows, names)), "sums")
     return _fit_sums(sums, list(keys), SLOT, list(penalty), list(l1) if l1 else None)
 
 
@@ -200,12 +286,12 @@ def fit_seasonal(
         F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.greatest(F.max(F.abs(F.col(target))), F.lit(1e-12)).alias("scale")
     )
     rows = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y)")
-    rows = materialise(with_slot(rows.join(spans, keys), "ts", slot_s).withColumn("y", F.col("y") / F.col("scale")), "seasonal-rows")
+    # Shuffle the narrow rows once, so that slots lie together; the design arrays are built where they are read.
+    rows = _together(with_slot(rows.join(spans, keys), "ts", slot_s).withColumn("y", F.col("y") / F.col("scale")), [*keys, SLOT])
+    rows = materialise(rows, "seasonal-rows")
 
     trend_p = [1e-9, 1e-9] + [1e-9 if sparse else (NOISE_SCALE / changepoint_prior) ** 2] * changepoints
     season_p = [SEASON_PENALTY] * (2 * (daily + weekly))
-    # Shuffle the narrow rows; the design arrays are built after it.
-    rows = rows.repartition(*keys, SLOT)
     both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts"), changepoints), *_season_terms("ts", daily, weekly)).alias("x"))
     l1 = [0.0, 0.0, *[NOISE_SCALE**2 / changepoint_prior] * changepoints, *[0.0] * len(season_p)] if sparse else None
     first = ridge_fit(both, keys, "x", "y", trend_p + season_p, l1)
@@ -213,7 +299,7 @@ def fit_seasonal(
     model = join_series(spans, trend, keys, "inner").withColumns({"daily": F.lit(daily), "weekly": F.lit(weekly)})
     if season_p:
         level = _dot(F.col("trend"), F.array(*_trend_terms(_tau("ts"), changepoints)))
-        rest = join_series(rows, trend, keys, "inner").withColumn("_level", level)
+        rest = join_series(rows, trend, keys, "inner").select(*keys, SLOT, "ts", "y", level.alias("_level")).sortWithinPartitions(*keys, SLOT)
         swing = F.array(*[t * F.col("_level") for t in _season_terms("ts", daily, weekly)])
         rest = rest.select(*keys, SLOT, (F.col("y") - F.col("_level")).alias("y"), swing.alias("x"))
         season = ridge_fit(rest, keys, "x", "y", season_p).select(*keys, F.col("coef").alias("season"))
@@ -284,25 +370,21 @@ def seasonal_naive(history: DataFrame, points: DataFrame, keys: Sequence[str], t
 # -- sequence model ---------------------------------------------------------------------
 
 
-def _samples(pdf: pd.DataFrame, features: list[str], target: str, lookback: int, horizon: int):
-    """Design and target of every full window of a block whose last history row is its own.
+def _samples(values: np.ndarray, goal: np.ndarray, own: np.ndarray, lookback: int, horizon: int):
+    """Design, target and place of the last history row of every full window of a block whose last history row is its own.
 
     A block's rows are consecutive, so windows are strided views of one array.
     """
-    pdf = pdf.sort_values(POS)
-    values = pdf[features].to_numpy(dtype=float)
-    n = len(pdf) - lookback - horizon + 1
+    n = len(values) - lookback - horizon + 1
     if n <= 0:
         return None
     view = np.lib.stride_tricks.sliding_window_view
     x = view(values, lookback, axis=0)[:n].transpose(0, 2, 1).reshape(n, -1)
-    y = view(pdf[target].to_numpy(dtype=float)[lookback:], horizon)[:n]
-    anchors = pdf.iloc[lookback - 1 : lookback - 1 + n]
-    own = anchors[OWN].to_numpy()
+    y = view(goal[lookback:], horizon)[:n]
+    at = np.arange(lookback - 1, lookback - 1 + n)
     # Windows with an unknown value teach nothing.
-    own = own & np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
-    ones = np.ones((n, 1))
-    return np.hstack([ones, x])[own], y[own], anchors[own]
+    use = own[at].astype(bool) & np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+    return np.hstack([np.ones((n, 1)), x])[use], y[use], at[use]
 
 
 def _train_limit(n: Column, lookback: int, horizon: int, share: float) -> Column:
@@ -343,41 +425,56 @@ def fit_sequence(
     blocks = _sequence_blocks(df, keys, ts, features, target, lookback, horizon, share, slot_s, block_rows)
     names = [*keys, BLOCK]
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = _samples(pdf, features, target, lookback, horizon)
-        if made is None:
-            return pd.DataFrame()
-        x, y, anchors = made
-        train = (anchors[POS] <= anchors["_limit"]).to_numpy()
-        if not train.any():
-            return pd.DataFrame()
-        xx, xy = _gram(x[train], y[train])
-        head = {c: [pdf[c].iloc[0]] for c in names}
-        return pd.DataFrame({**head, "xx": [xx], "xy": [xy], "n": [int(train.sum())]})
-
     # Read for the sums and for the errors.
     blocks = materialise(blocks, "sequence-blocks")
-    sums = materialise(blocks.groupBy(*names).applyInPandas(partial, _sums_schema(blocks, names)), "sums")
+
+    def windows(table: pa.Table, starts: np.ndarray, skip: np.ndarray):
+        """Number, samples and training flags of every block that has samples, without its first ``skip`` rows."""
+        values, goal = np.column_stack([_doubles(table, c) for c in features]), _doubles(table, target)
+        own, pos, limit = (table.column(c).combine_chunks().cast(pa.int64()).fill_null(0).to_numpy() for c in (OWN, POS, "_limit"))
+        for k, (i, j) in enumerate(zip(starts + skip, [*starts[1:], table.num_rows])):
+            made = _samples(values[i:j], goal[i:j], own[i:j], lookback, horizon)
+            if made is not None:
+                x, y, at = made
+                yield k, x, y, pos[i:j][at] <= limit[i:j][at]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, names):
+            found, sums = [], []
+            for k, x, y, train in windows(table, starts, np.zeros(len(starts), np.int64)):
+                if train.any():
+                    found.append(starts[k])
+                    sums.append((*_gram(x[train], y[train]), int(train.sum())))
+            if found:
+                yield _sums_out(table.select(names).take(pa.array(found)), sums)
+
+    sums = materialise(_together(blocks, names, POS).mapInArrow(partial, _sums_schema(blocks, names)), "sums")
     width = lookback * len(features)
     model = materialise(_fit_sums(sums, keys, BLOCK, [1e-9] + [penalty] * width), "sequence-model")
-
-    def errors(rows: pd.DataFrame, coefs: pd.DataFrame) -> pd.DataFrame:
-        made = _samples(rows, features, target, lookback, horizon) if len(rows) and len(coefs) else None
-        if made is None:
-            return pd.DataFrame()
-        x, y, anchors = made
-        val = (anchors[POS] > anchors["_limit"]).to_numpy()
-        if not val.any():
-            return pd.DataFrame()
-        miss = np.abs(x[val] @ np.asarray(coefs["coef"].iloc[0]).reshape(x.shape[1], -1) - y[val])
-        head = {c: [rows[c].iloc[0]] for c in keys}
-        return pd.DataFrame({**head, "miss": [float(miss.sum())], "terms": [int(miss.size)]})
-
-    # One coefficient row per block, not per data row.
+    missing = T.StructType([*[blocks.schema[c] for c in keys], T.StructField("miss", T.DoubleType()), T.StructField("terms", T.LongType())])
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, names):
+            # A block's first row brings its coefficients, or the series has none.
+            coefs = table.column("coef").combine_chunks()
+            has = coefs.is_valid().to_numpy(zero_copy_only=False)
+            found, miss, terms = [], [], []
+            for k, x, y, train in windows(table, starts, has[starts].astype(np.int64)):
+                val = ~train
+                if has[starts[k]] and val.any():
+                    coef = np.asarray(coefs[starts[k]].values)
+                    off = np.abs(x[val] @ coef.reshape(x.shape[1], -1) - y[val])
+                    found.append(starts[k])
+                    miss.append(float(off.sum()))
+                    terms.append(int(off.size))
+            if found:
+                yield _batch(table.select(keys).take(pa.array(found)), {"miss": pa.array(miss), "terms": pa.array(terms, pa.int64())})
+
+    # One coefficient row per block, not per data row; it comes before the block's rows.
     block_names = blocks.select(*[F.col(c).alias(c) for c in names]).distinct()
     per_block = join_series(block_names, model.select(*keys, "coef").filter("coef is not null"), keys, "inner")
-    schema = T.StructType([*[blocks.schema[c] for c in keys], T.StructField("miss", T.DoubleType()), T.StructField("terms", T.LongType())])
-    missed = blocks.groupBy(*names).cogroup(per_block.groupBy(*names)).applyInPandas(errors, schema)
+    rows = blocks.unionByName(per_block.withColumn(POS, F.lit(0)), allowMissingColumns=True)
+    missed = _together(rows, names, POS).mapInArrow(errors, missing)
     quality = missed.groupBy(*keys).agg((F.sum("miss") / F.sum("terms")).alias("val_mae"))
     return model.join(quality, keys, "left")
 
