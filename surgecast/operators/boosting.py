@@ -4,18 +4,25 @@ Every input is cut into a few bins per series. A level of the trees of all serie
 ``groupBy`` over (series, node, input, bin): tasks add up residuals and counts before the
 shuffle, so what moves is bounded by series x nodes x inputs x bins whatever the rows are, and
 a series that holds most rows is spread over all tasks. The rows are written once; between
-levels only the trees change, and those stay in Spark as one row per series.
+levels only the trees change, and those stay in Spark as one row per series. Series of at most
+``WHOLE_ROWS`` rows, whose histograms would outweigh them, are read once: a task adds up the
+histograms of all their levels in turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.blocks import DAY, join_series
 from ..session import materialise
+from .forecasting import _batch, _doubles, _together, _whole_groups
 from .sequences import training_windows
 
 _TREE = "struct<f: array<int>, b: array<int>, v: array<double>>"
@@ -24,6 +31,9 @@ _NO_TREES = f"cast(array() as array<{_TREE}>)"
 #: Trees that are looked up again for each row before their sum is written beside the rows.
 LIVE_TREES = 16
 
+#: Rows of a series that may lie in one task.
+WHOLE_ROWS = 4096
+
 
 def _known(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
@@ -54,6 +64,102 @@ def _sum_of(trees: Column, bins: Column, depth: int) -> Column:
     return F.aggregate(trees, F.lit(0.0), lambda s, t: s + F.get(t["v"], _leaf(t, bins, depth)))
 
 
+def _cuts(trees: Column, edges: Column) -> Column:
+    """Trees with the value ``t`` that an input must exceed to go right, in place of all edges."""
+    at = lambda t, n: F.get(F.get(edges, F.get(t["f"], n)), F.get(t["b"], n) - 1)
+    cut = lambda t: F.transform(t["f"], lambda f, n: F.when((f >= 0) & (F.get(t["b"], n) > 0), at(t, n)))
+    return F.transform(trees, lambda t: F.struct(t["f"].alias("f"), t["b"].alias("b"), t["v"].alias("v"), cut(t).alias("t")))
+
+
+def _sum_at(cuts: Column, x: Column, depth: int) -> Column:
+    """What the trees of ``_cuts`` add up to; an input beyond bin 0 is known, beyond another above its last edge."""
+
+    def leaf(tree: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            f = F.get(tree["f"], node)
+            v = F.get(x, f).cast("double")
+            right = _known(v) & ((F.get(tree["b"], node) == 0) | (v > F.get(tree["t"], node)))
+            return F.when(f >= 0, node * 2 + F.when(right, 1).otherwise(0)).otherwise(node)
+
+        return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), F.lit(1), step)
+
+    return F.aggregate(cuts, F.lit(0.0), lambda s, t: s + F.get(t["v"], leaf(t)))
+
+
+def _cut_places(x: np.ndarray, bins: int, by: str) -> list[list[float | None]]:
+    """What ``_edges`` gives, of one series: the values at exact ranks for equal shares."""
+    made: list[list[float | None]] = []
+    for v in np.sort(x, axis=0).T:  # unknown values last
+        known = len(v) - int(np.isnan(v).sum())
+        if by == "width":
+            lo, hi = (float(v[0]), float(v[known - 1])) if known else (None, None)
+            made.append([lo + (hi - lo) * j / bins if known else None for j in range(1, bins)])
+        else:
+            ranks = [max(math.ceil(j / bins * known), 1) - 1 for j in range(1, bins)] if known else []
+            made.append(np.unique(v[ranks]).tolist())
+    return made
+
+
+def _trees_of(placed: np.ndarray, y: np.ndarray, *, rounds: int, depth: int, cells: int, rate: float, l2: float, min_rows: int, min_gain: float) -> list[dict]:
+    """The trees of one series from its inputs' bins: the histograms and splits of ``_best_splits`` and ``_grown``."""
+    inputs, size, rest, trees = placed.shape[1], 2 ** (depth + 1), y.copy(), []
+    cell = placed + np.arange(inputs) * cells
+    for _ in range(rounds):
+        f, b, v, node = np.full(size, -1, np.int32), np.full(size, -1, np.int32), np.zeros(size), np.ones(len(y), np.int64)
+        for level in range(depth):
+            on = np.flatnonzero(node >= 2**level)
+            if not len(on):
+                break
+            nodes, which = np.unique(node[on], return_inverse=True)
+            at = (which[:, None] * (inputs * cells) + cell[on]).ravel()
+            shape = (len(nodes), inputs, cells)
+            c = np.bincount(at, minlength=math.prod(shape)).reshape(shape)
+            g = np.bincount(at, np.repeat(rest[on], inputs), math.prod(shape)).reshape(shape)
+            gl, nl = np.cumsum(g, axis=2), np.cumsum(c, axis=2)
+            ga, na = gl[:, :, -1:], nl[:, :, -1:]
+            gr, nr = ga - gl, na - nl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.round(gl * gl / (nl + l2) + gr * gr / (nr + l2) - ga * ga / (na + l2), 9)
+            gain = np.where((c > 0) & (nl >= min_rows) & (nr >= min_rows) & (gain > min_gain), gain, -np.inf).reshape(len(nodes), -1)
+            # Equal gains go to the first input and bin.
+            best = gain.argmax(axis=1)
+            for k in np.flatnonzero(np.isfinite(gain[np.arange(len(nodes)), best])):
+                n, (i, j) = nodes[k], divmod(int(best[k]), cells)
+                f[n], b[n] = i, j
+                v[2 * n], v[2 * n + 1] = rate * gl[k, i, j] / (nl[k, i, j] + l2), rate * gr[k, i, j] / (nr[k, i, j] + l2)
+            split = f[node]
+            right = placed[np.arange(len(y)), np.maximum(split, 0)] > b[node]
+            node = np.where(split >= 0, 2 * node + right, node)
+        rest = rest - v[node]
+        trees.append({"f": f, "b": b, "v": v})
+    return trees
+
+
+def _fit_whole(rows: DataFrame, keys: list[str], *, depth: int, bins: int, by: str, **grow) -> DataFrame:
+    """Models of series that each lie in one task, ``rows`` being their ``(series…, _x, _y)``."""
+    tree = pa.struct([("f", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, keys):
+            y, lists, made = _doubles(table, "_y"), table.column("_x").combine_chunks(), {"n": [], "base": [], "edges": [], "trees": []}
+            for i, j in zip(starts, [*starts[1:], table.num_rows]):
+                x = lists.slice(i, j - i).flatten().cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                edges, base = _cut_places(x, bins, by), float(y[i:j].mean())
+                placed = [np.where(np.isnan(v), 0, 1 + np.searchsorted(np.array(e, float), v)) for v, e in zip(x.T, edges)]
+                placed = np.column_stack(placed) if placed else np.zeros((j - i, 0), np.int64)
+                made["n"].append(int(j - i))
+                made["base"].append(base)
+                made["edges"].append(edges)
+                made["trees"].append(_trees_of(placed, y[i:j] - base, depth=depth, cells=bins + 1, **grow))
+            columns = {"n": pa.array(made["n"], pa.int64()), "base": pa.array(made["base"], pa.float64()), "edges": pa.array(made["edges"], pa.list_(pa.list_(pa.float64())))}
+            yield _batch(table.select(keys).take(pa.array(starts)), {**columns, "trees": pa.array(made["trees"], pa.list_(tree))})
+
+    kinds = {"n": "bigint", "base": "double", "edges": "array<array<double>>", "trees": f"array<{_TREE}>"}
+    out = T.StructType([*[rows.schema[k] for k in keys], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in kinds.items()]])
+    made = _together(rows, keys).mapInArrow(run, out)
+    return made.select(*keys, "n", "base", F.lit(depth).alias("depth"), "edges", "trees")
+
+
 def _edges(rows: DataFrame, keys: list[str], x: str, bins: int, by: str) -> DataFrame:
     """Inner edges of the bins of every input: equal widths, or equal shares of the rows."""
     cells = rows.select(*keys, F.posexplode(x).alias("_i", "_v")).withColumn("_v", F.col("_v").cast("double"))
@@ -130,7 +236,8 @@ def fit_boosted(
     ``rounds`` trees of ``depth`` levels are fitted to what the trees before leave of ``y``,
     each worth ``rate``; a leaf's value is its residuals' sum over their number plus ``l2``,
     and both sides of a split hold ``min_rows`` rows. ``by`` places the ``bins`` by equal
-    shares of the rows (from a mergeable sketch) or by equal widths (``"width"``).
+    shares of the rows (beyond ``WHOLE_ROWS`` rows from a mergeable sketch) or by equal widths
+    (``"width"``).
 
     An unknown input (NULL or NaN) goes left at every split on it. Rows with an unknown ``y``
     or no ``x`` are left out; a series without any other row has no model.
@@ -138,7 +245,15 @@ def fit_boosted(
     keys = list(keys)
     target = F.col(y).cast("double")
     known = materialise(rows.filter(_known(target) & F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), target.alias("_y")), "boosting-rows")
-    base = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("base"))
+    base = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("base"), F.min(F.size("_x")).alias("_short"), F.max(F.size("_x")).alias("_long"))
+    base = materialise(base, "boosting-base")
+    fits = (F.col("n") <= WHOLE_ROWS) & (F.col("_short") == F.col("_long"))
+    whole = join_series(known, base.filter(fits).select(*keys), keys, "left_semi")
+    whole = _fit_whole(whole, keys, rounds=rounds, depth=depth, bins=bins, rate=rate, l2=l2, min_rows=min_rows, min_gain=min_gain, by=by)
+    base = base.filter(~fits).drop("_short", "_long")
+    if base.isEmpty():
+        return whole
+    known = join_series(known, base.select(*keys), keys, "left_semi")
     head = materialise(join_series(base, _edges(known, keys, "_x", bins, by), keys, "inner"), "boosting-bins")
     binned = join_series(known, head.select(*keys, "base", "edges"), keys, "inner")
     binned = materialise(binned.select(*keys, _bins(F.col("_x"), F.col("edges")).alias("_bins"), (F.col("_y") - F.col("base")).alias("_y")), "binned")
@@ -165,14 +280,14 @@ def fit_boosted(
                 done = F.array(F.col("_tree"))
                 grown = grown.select(*keys, F.concat("trees", done).alias("trees"), F.concat("_live", done).alias("_live"), empty.alias("_tree"))
             state = materialise(grown, "boosting-trees")
-    return join_series(head, state.select(*keys, "trees"), keys, "inner").select(*keys, "n", "base", F.lit(depth).alias("depth"), "edges", "trees")
+    levels = join_series(head, state.select(*keys, "trees"), keys, "inner").select(*keys, "n", "base", F.lit(depth).alias("depth"), "edges", "trees")
+    return levels.unionByName(whole)
 
 
 def score_boosted(rows: DataFrame, model: DataFrame, keys: Sequence[str], x: str, *, depth: int) -> DataFrame:
     """Add ``yhat``, NULL where a series has no model; ``depth`` is that of the fit."""
-    joined = join_series(rows, model.select(*keys, "base", "edges", "trees"), list(keys))
-    joined = joined.withColumn("_bins", _bins(F.col(x), F.col("edges")))
-    return joined.select(*rows.columns, (F.col("base") + _sum_of(F.col("trees"), F.col("_bins"), depth)).alias("yhat"))
+    joined = join_series(rows, model.select(*keys, "base", _cuts(F.col("trees"), F.col("edges")).alias("_cuts")), list(keys))
+    return joined.select(*rows.columns, (F.col("base") + _sum_at(F.col("_cuts"), F.col(x), depth)).alias("yhat"))
 
 
 def fit_boosted_sequence(

@@ -91,3 +91,22 @@ def test_trees_beat_lines_on_a_threshold(spark):
     line = forecasting.fit_sequence(*args, lookback=1, horizon=1).first()["val_mae"]
     tree = boosting.fit_boosted_sequence(*args, lookback=1, horizon=1, rounds=6, depth=2, bins=16, rate=0.6).first()["val_mae"]
     assert tree < 0.5 * line
+
+
+def test_short_series_are_read_once_and_get_the_same_trees(spark, monkeypatch):
+    """Series that lie in one task are not read level by level, and their trees are the same."""
+    rng = np.random.default_rng(9)
+    out = [(s, [None if rng.random() < 0.1 else float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 1))) for s, n in (("a", 90), (None, 40), ("b", 3)) for _ in range(n)]
+    df = spark.createDataFrame(out, "s string, x array<double>, y double")
+    made = {}
+    for rows in (0, 60, 4096):
+        monkeypatch.setattr(boosting, "WHOLE_ROWS", rows)
+        levels = []
+        monkeypatch.setattr(boosting, "_best_splits", lambda *a, f=best_splits, **k: levels.append(1) or f(*a, **k))
+        model = boosting.fit_boosted(df, ["s"], "x", "y", rounds=2, depth=2, bins=16, rate=0.4, min_rows=3).collect()
+        assert len(levels) == (0 if rows == 4096 else 4)
+        made[rows] = {r["s"]: (r["n"], r["edges"], [(t["f"], t["b"]) for t in r["trees"]], np.round([[r["base"], *t["v"]] for t in r["trees"]], 9).tolist()) for r in model}
+    assert made[0] == made[60] == made[4096]
+
+
+best_splits = boosting._best_splits

@@ -23,7 +23,7 @@ def test_totals_go_on_across_batches():
 
 
 def test_groups_are_whole():
-    batches = [pa.RecordBatch.from_arrays([pa.array(k)], names=["s"]) for k in (["a", "a"], ["a", "b", "c"], [], ["c", "d"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.string())], names=["s"]) for k in (["a", "a"], ["a", "b", "c"], [], ["c", "d"])]
     made = [table.column("s").to_pylist()[i:j] for table, starts in forecasting._whole_groups(iter(batches), ["s"]) for i, j in zip(starts, [*starts[1:], table.num_rows])]
     assert made == [["a"] * 3, ["b"], ["c"] * 2, ["d"]]
 
