@@ -252,16 +252,18 @@ def _evidence(rows: DataFrame, values: DataFrame) -> DataFrame:
     return part.drop("rare").join(added, "row", "left").select("doc_id", "tag", mean.alias("mean"), F.log1p(F.col("high") + F.coalesce("_high", zero)).alias("strong"), most.alias("most"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of a slightly penalised logistic regression of ``y`` on the columns of ``x``."""
-    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    penalty = np.append(np.full(x.shape[1], 1e-2), 1e-6)
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hess = (z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z + np.diag(penalty)
-        step = np.clip(np.linalg.solve(hess, z.T @ (p - y) + penalty * w), -3, 3)
+def _newton(sums, count: float, mean: np.ndarray, std: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of a slightly penalised logistic regression.
+
+    ``sums(centre, scale, w)`` gives the gradient and the Hessian over all rows, of standardised
+    columns and a constant.
+    """
+    centre, scale = mean, np.where(std > 0, std, 1.0)
+    penalty = np.append(np.full(len(centre), 1e-2), 1e-6)
+    w = np.zeros(len(penalty))
+    for _ in range(steps if count else 0):
+        gradient, hess = sums(centre, scale, w)
+        step = np.clip(np.linalg.solve(hess + np.diag(penalty), gradient + penalty * w), -3, 3)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -269,9 +271,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndar
     return slopes, float(w[-1] - slopes @ centre)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int = 500_000) -> DataFrame:
+def _gradient(x: np.ndarray, y: np.ndarray, centre: np.ndarray, scale: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return z.T @ (p - y), (z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of a slightly penalised logistic regression of ``y`` on the columns of ``x``."""
+    return _newton(lambda *at: _gradient(x, y, *at), len(x), x.mean(axis=0), x.std(axis=0), steps)
+
+
+def _fit_rows(rows: DataFrame, steps: int = 60) -> tuple[np.ndarray, float] | None:
+    """``fit_logistic`` over all ``rows`` (``RAW``, toxic): tasks add up, the driver takes the steps; None without rows."""
+    stats = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.avg, F.stddev_pop) for c in RAW]).first()
+    if not stats["n"]:
+        return None
+    size = len(RAW) + 1
+
+    def sums(centre: np.ndarray, scale: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + size * size)
+            for batch in batches:
+                x = np.column_stack([batch.column(c).to_numpy() for c in RAW])
+                total += np.concatenate([part.ravel() for part in _gradient(x, batch.column("toxic").to_numpy(), centre, scale, w)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        made = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        got = np.array([r["v"] for r in sorted(made.collect(), key=lambda r: r["i"])])  # a gradient and a Hessian
+        return got[:size], got[size:].reshape(size, size)
+
+    means, stds = (np.array([stats[f"{f}_{c}"] for c in RAW], float) for f in ("avg", "stddev_pop"))
+    return _newton(sums, stats["n"], means, stds, steps)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; see ``_scored``."""
-    return _scored(docs, labels, order, sample).drop("tag")
+    return _scored(docs, labels, order).drop("tag")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -284,12 +320,11 @@ def _tag():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int = 500_000) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, tag (a hash of the text), held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    ``labels`` (doc_id, toxic) is read only where crc32 of the id modulo 5 is not 0, and at
-    most ``sample`` rows of it, those with the smallest hash; remainder 1 calibrates and the
-    others count n-grams by class. Backoff counts come from all documents. A document with
+    ``labels`` (doc_id, toxic) is read only where crc32 of the id modulo 5 is not 0, but all
+    of it there; remainder 1 calibrates and the others count n-grams by class. Backoff counts come from all documents. A document with
     several labels is toxic if one says so; null labels and ids count for nothing. Null or
     empty texts have zero evidence. With fewer than three
     documents of a class all scores are the base rate. Columns other than the named are
@@ -300,7 +335,7 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.select(F.expr(f"try_cast(doc_id as {kind})").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold).filter("fold <> 0")
-    known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
+    known = materialise(known, "labelled")
     held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
     seen = {(r["toxic"], r["fitting"]): r["count"] for r in known.groupBy("toxic", (F.col("fold") == 1).alias("fitting")).count().collect()}
     positive, total = (sum(n for (c, _), n in seen.items() if c in which) for which in ([1], [0, 1]))
@@ -309,8 +344,7 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int
         flat = rows.select("doc_id", "tag", held_out, F.lit(base).alias("score"))
         return flat.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
-    # At most ``sample`` labels.
-    counting = F.broadcast(known.filter("fold > 1").select("doc_id", "toxic"))
+    counting = known.filter("fold > 1").select("doc_id", "toxic")
     classed = rows.join(counting, "doc_id", "left").filter("text is not null")
     classed = classed.select("text", F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, 1).otherwise(2).alias("class"))
     sums = [F.sum(c).alias(c) for c in CLASSES]
@@ -321,11 +355,8 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER, sample: int
     ratios = materialise(log_ratios(types), "ratios")
     raw = materialise(_evidence(rows, _word_values(words, ratios, order)), "raw")
 
-    fitted = raw.join(F.broadcast(known.filter("fold = 1").select("doc_id", "toxic")), "doc_id").select(*RAW, "toxic").toArrow()
-    if fitted.num_rows:
-        slopes, intercept = fit_logistic(np.column_stack([fitted.column(c).to_numpy() for c in RAW]), fitted.column("toxic").to_numpy())
-    else:
-        slopes, intercept = np.ones(len(RAW)), 0.0
+    fitted = materialise(raw.join(known.filter("fold = 1").select("doc_id", "toxic"), "doc_id").select(*RAW, "toxic"), "calibration")
+    slopes, intercept = _fit_rows(fitted) or (np.ones(len(RAW)), 0.0)
     z = F.lit(intercept)
     for c, slope in zip(RAW, slopes.tolist()):
         z = z + F.lit(slope) * F.col(c)

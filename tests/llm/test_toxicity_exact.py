@@ -1,5 +1,6 @@
 """Toxicity scores against plain dictionaries of n-grams."""
 
+import inspect
 import math
 import random
 import zlib
@@ -126,3 +127,16 @@ def test_a_toxic_row_takes_no_other_row_along(session, tmp_path):
     got = Counter((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] in (None, 950, 951))
     assert kept.columns == rows.columns
     assert got == Counter([(None, "no id here"), (None, fine), (950, fine), (951, None)])
+
+
+def test_calibration_reads_every_label(session):
+    """The calibration is added up over all rows in tasks; nothing of a label is left out above a number of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.logistic(0, 1, 400) > 0.3).astype(int)
+    rows = session.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "mean double, strong double, most double, toxic int").repartition(5)
+    slopes, intercept = toxicity._fit_rows(rows)
+    want, level = toxicity.fit_logistic(x, y)
+    np.testing.assert_allclose([*slopes, intercept], [*want, level], rtol=1e-6)
+    assert toxicity._fit_rows(rows.limit(0)) is None
+    assert "sample" not in inspect.signature(toxicity.score_documents).parameters
