@@ -23,6 +23,7 @@ class Weights(StatefulProcessor):
 
     State of a series: forecasts of open cycles, actual values that open cycles may need,
     and a ring of the last errors of each model. What a closed cycle leaves is dropped.
+    Values of a batch are stored in one call, and one timer waits for the earliest open cycle.
     """
 
     def __init__(self, keys: Sequence[str], horizon_us: int, window: int):
@@ -31,7 +32,7 @@ class Weights(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.forecasts = handle.getListState("forecasts", "cycle long, us long, seq double, seasonal double")
-        self.actuals = handle.getMapState("actuals", "us long", "value double")
+        self.actuals = handle.getListState("actuals", "us long, value double")
         self.rings = {m: handle.getListState(f"{m}_errors", "mae double") for m in MODELS}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -41,13 +42,15 @@ class Weights(StatefulProcessor):
             if len(made):
                 known = lambda v: None if pd.isna(v) else float(v)
                 self.forecasts.appendList([(int(c), int(us), known(a), known(b)) for c, us, a, b in zip(made["cycle"], made["us"], made["seq_pred"], made["seasonal_pred"])])
-                for cycle in made["cycle"].unique():
-                    self.handle.registerTimer(max(timer_ms(int(cycle) + self.horizon), passed // 1000 + 1))
+                self._wait_for(int(made["cycle"].min()), passed)
             seen = part[part["cycle"].isna() & part["value"].notna()]
-            for us, value in zip(seen["us"], seen["value"]):
-                self.actuals.updateValue((int(us),), (float(value),))
+            if len(seen):
+                self.actuals.appendList([(int(us), float(value)) for us, value in zip(seen["us"], seen["value"])])
         return iter(())
 
+    def _wait_for(self, cycle: int, passed: int) -> None:
+        self.handle.registerTimer(max(timer_ms(cycle + self.horizon), passed // 1000 + 1))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due, later = defaultdict(list), []
@@ -56,9 +59,12 @@ class Weights(StatefulProcessor):
                 due[row[0]].append(row)
             else:
                 later.append(tuple(row))
+        if later:
+            self._wait_for(min(row[0] for row in later), passed)
         if not due:
             return
-        actual = {k[0]: v[0] for k, v in self.actuals.iterator()}
+        # The last value of an instant counts.
+        actual = {us: value for us, value in self.actuals.get()}
         rings = {m: [r[0] for r in self.rings[m].get()] for m in MODELS}
         out = []
         for cycle in sorted(due):
@@ -82,9 +88,11 @@ class Weights(StatefulProcessor):
             self.forecasts.clear()
         # A cycle that is still to come starts after the watermark, and so do its steps.
         oldest = min([passed, *(r[1] for r in later)])
-        for us in actual:
-            if us < oldest:
-                self.actuals.removeKey((us,))
+        kept = [(us, value) for us, value in actual.items() if us >= oldest]
+        if kept:
+            self.actuals.put(kept)
+        else:
+            self.actuals.clear()
         if out:
             cols = list(zip(*out))
             names = ("avg_seq_mae", "avg_seasonal_mae", "seq_weight", "seasonal_weight")

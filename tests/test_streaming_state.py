@@ -180,3 +180,65 @@ def test_published_models_are_whole_or_invisible(spark, tmp_path):
     registry = spark.createDataFrame([("a", "v1"), ("b", "v2")], versions.schema)
     assert model_store.vacuum(registry, ["s"], path) == sorted([runs[0], "rbroken"])
     assert load(registry) == [("a", 1.0), ("b", 20.0)]
+
+
+class Calls:
+    """A state handle that counts the calls made to it, each of which is a trip to the JVM."""
+
+    def __init__(self):
+        self.made, self.lists, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return CountedList(self, self.lists.setdefault(name, []))
+
+    def registerTimer(self, ms):
+        self.made += 1
+        self.timers.add(ms)
+
+
+class CountedList:
+    def __init__(self, calls, rows):
+        self.calls, self.rows = calls, rows
+
+    def get(self):
+        self.calls.made += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.calls.made += 1
+        self.rows.extend(rows)
+
+    def put(self, rows):
+        self.calls.made += 1
+        self.rows[:] = rows
+
+    def clear(self):
+        self.calls.made += 1
+        self.rows.clear()
+
+
+class Passed:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_weights_call_their_state_a_few_times():
+    """The trips to the state do not grow with the values of a batch or its cycles; every cycle still closes in time."""
+    calls, day = Calls(), 86_400_000_000
+    weights = weighting.Weights(["s"], day, 3)
+    weights.init(calls)
+    steps = [(c * day, c * day + h * day // 12) for c in range(6) for h in range(12)]
+    made = pd.DataFrame({"cycle": [float(c) for c, _ in steps], "us": [u for _, u in steps], "seq_pred": 1.0, "seasonal_pred": 2.0, "value": np.nan})
+    seen = pd.DataFrame({"cycle": np.nan, "us": [u for _, u in steps], "seq_pred": np.nan, "seasonal_pred": np.nan, "value": 1.5})
+    list(weights.handleInputRows(("a",), iter([made, seen]), Passed(0)))
+    assert calls.made <= 4
+    out = []
+    for ms in (2 * day // 1000, 6 * day // 1000):
+        assert min(calls.timers) <= ms
+        calls.timers = {t for t in calls.timers if t > ms}
+        out += [part for part in weights.handleExpiredTimer(("a",), Passed(ms), None)]
+    assert [len(part) for part in out] == [2, 4]
+    assert calls.made <= 24 and not calls.lists["forecasts"]
