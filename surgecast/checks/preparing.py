@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, features, normalize, sequences
 from ..plans import flows
-from ..plans.blocks import slot_for
+from ..plans.blocks import parts_for, slot_for
 from ..sources.tables import METRICS, SERIES, read_table
 from .base import BY, CLEANED, FRAME, INTERPOLATED, KEYS, PRIMARY, frame, query, r, rounded, rs
 
@@ -283,6 +283,7 @@ def supplier_features(spark, sf_dir):
         difference=True,
         lags=(60,),
         slot_s=slot,
+        parts=parts_for(rows),
     )
     return rounded(out.drop("l_shipdate", "l_quantity"))
 

@@ -14,6 +14,7 @@ from ..plans.blocks import (
     DAY,
     OWN,
     POS,
+    SLOT,
     block_window,
     join_series,
     micros,
@@ -22,6 +23,7 @@ from ..plans.blocks import (
     time_blocks,
     trailing,
     with_positions,
+    with_slot,
 )
 from ..session import materialise
 
@@ -111,19 +113,25 @@ def row_features(
     ema_span: int | None = None,
     slot_s: float = DAY,
     block_rows: int = BLOCK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Any mix of row-count features, evaluated over one shared sort per (series, block).
 
-    ``cols`` must be free of NULLs where an exponential average is asked for.
+    ``cols`` must be free of NULLs where an exponential average is asked for. ``parts`` (see
+    ``plans.blocks.parts_for``) deals the rows to so many tasks, so that none sorts more as
+    the input grows.
     """
     keys = list(keys)
     base = list(df.columns)
-    placed = with_positions(df, keys, ts, order=order, slot_s=slot_s)
+    dealt = with_slot(df, ts, slot_s).repartition(parts, *keys, SLOT) if parts else df
+    placed = with_positions(dealt, keys, ts, order=order, slot_s=slot_s)
     back = max([n - 1 for n in rolling] + list(lags) + [1 if difference else 0, 0])
     if ema_span:
         # Read twice below: for the block totals and for the rows.
         placed = materialise(placed, "numbered-rows")
     blocks = row_blocks(placed, size=block_rows, back=back)
+    if parts:
+        blocks = blocks.repartition(parts, *keys, BLOCK)
     if ema_span:
         alpha = 2.0 / (ema_span + 1.0)
         if -block_rows * math.log(1.0 - alpha) > 600:

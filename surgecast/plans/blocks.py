@@ -71,16 +71,33 @@ def slot_for(
 ) -> int:
     """The longest slot of which the busiest one holds at most ``max_rows`` rows.
 
-    One pass counts rows per (series, shortest slot) map-side; the longer slots are summed
-    from those counts. If even the shortest slot holds more, it is returned.
+    One pass counts rows per series map-side; if none is too long, no slot is either. Else
+    each length is counted in turn, the longest first, so few groups meet in a task. If even
+    the shortest slot holds more, it is returned.
     """
-    shortest = min(lengths)
-    fine = df.groupBy(*keys, floor_to(micros(ts), shortest).alias(SLOT)).agg(F.count(F.lit(1)).alias("_n"))
-    wide = fine.select(*keys, SLOT, "_n", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in lengths])).alias("_len"))
-    start = F.col(SLOT) - F.pmod(F.col(SLOT), F.col("_len") * F.lit(1_000_000))
-    busiest = wide.groupBy(*keys, "_len", start.alias("_at")).agg(F.sum("_n").alias("_n")).groupBy("_len").agg(F.max("_n").alias("_n"))
-    fits = [row["_len"] for row in busiest.collect() if row["_n"] <= max_rows]
-    return max(fits, default=shortest)
+
+    def busiest(*by: Column) -> int | None:
+        return df.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_n")).first()["_n"]
+
+    most = busiest()
+    if most is None:
+        return min(lengths)
+    if most <= max_rows:
+        return max(lengths)
+    for length in sorted(lengths, reverse=True):
+        if busiest(floor_to(micros(ts), length).alias(SLOT)) <= max_rows:
+            return length
+    return min(lengths)
+
+
+#: Rows that a task sorts at a time.
+PART_ROWS = 500_000
+
+
+def parts_for(df: DataFrame, part_rows: int = PART_ROWS) -> int | None:
+    """How many tasks share ``df`` at ``part_rows`` rows each, None where the session's shuffles have as many."""
+    parts = -(-df.count() // part_rows)
+    return parts if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def join_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

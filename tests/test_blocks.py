@@ -6,6 +6,7 @@ import pytest
 from conftest import skewed_series
 from pyspark.sql import functions as F
 
+from surgecast.operators import features
 from surgecast.plans import blocks
 
 HOUR = 3600
@@ -140,3 +141,22 @@ def test_slot_for_bounds_the_busiest_slot(rows):
         slot = blocks.slot_for(df, ["s"], "ts", max_rows=limit)
         counts = {n: pdf.groupby(["s", pdf["us"] // (n * 1_000_000)]).size().max() for n in blocks.SLOT_LENGTHS}
         assert slot == max([n for n, c in counts.items() if c <= limit], default=60)
+
+
+def test_short_series_need_no_count_by_slot(spark, monkeypatch):
+    """Where no series is too long, rows are counted by series alone, not by minute."""
+    df = spark.createDataFrame([(s, i) for s in ("a", None) for i in range(5)], "s string, i long").selectExpr("s", "timestamp_seconds(i * 60) as ts")
+    monkeypatch.setattr(blocks, "floor_to", None)
+    assert blocks.slot_for(df, ["s"], "ts", max_rows=5) == max(blocks.SLOT_LENGTHS)
+    monkeypatch.undo()
+    assert blocks.slot_for(df, ["s"], "ts", max_rows=4, lengths=(600, 120, 60)) == 120
+    assert blocks.slot_for(df, ["s"], "ts", max_rows=0, lengths=(600, 60)) == 60
+    assert blocks.slot_for(df.limit(0), ["s"], "ts") == min(blocks.SLOT_LENGTHS)
+
+
+def test_parts_grow_with_the_rows(spark):
+    """More rows are dealt to more tasks, and the features stay the same."""
+    df = spark.createDataFrame([(f"s{i % 3}", i, float(i % 7)) for i in range(60)], "s string, i long, v double").selectExpr("s", "timestamp_seconds(i * 60) as ts", "v")
+    assert blocks.parts_for(df) is None and blocks.parts_for(df, 6) == 10
+    made = [sorted(map(tuple, features.row_features(df, ["s"], "ts", ["v"], rolling=[3], lags=[2], parts=n).collect()), key=str) for n in (None, 10)]
+    assert made[0] == made[1]
