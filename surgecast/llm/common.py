@@ -16,6 +16,8 @@ from ..session import importable, materialise, scratch_dir  # noqa: F401  re-exp
 WORD_GAP = "[ \\t-\\r]+"
 #: Texts that one batch hands to Python; words cut from them take about ten times that.
 BATCH_BYTES = 3 << 20
+#: Bits of a sieve for each key, and of the whole at most, 8 MB; its parts are as long as Spark's bitmaps.
+SIEVE_BITS, SIEVE_MOST, SIEVE_PART = 32, 1 << 26, 1 << 15
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -77,6 +79,24 @@ def split_hot(rows: DataFrame, keys: list[str], chunk: int, by: str) -> DataFram
     return joined.withColumn("_c", F.explode(F.when(F.col("_n") == 1, one).otherwise(cells))).select(*rows.columns, F.col("_c.a").alias("a"), F.col("_c.b").alias("b"), (F.col("_p") == F.col("_c.a")).alias("side"))
 
 
+def sifted(rows: DataFrame, by: Column, keys: DataFrame, key: Column, count: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may meet one of ``count`` keys, and those that surely meet none.
+
+    ``by`` and ``key`` are long hashes that are equal where a row and a key meet. A bitmap of
+    the keys' hashes tells the rows apart where they lie, so that a join need only move the
+    former. It is bounded: more keys than it is made for only let more rows through.
+    """
+    size = min(SIEVE_MOST, max(SIEVE_PART, 1 << (SIEVE_BITS * max(1, count) - 1).bit_length()))
+    part = lambda h: F.floor(F.pmod(h, F.lit(size)) / SIEVE_PART)
+    bit = lambda h: F.pmod(h, F.lit(SIEVE_PART))
+    # One row for 32,768 bits that are not all zero, 2,048 rows at most.
+    bits = keys.select(part(key).alias("_part"), bit(key).alias("_bit")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit(by) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (bit(by) % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(bits), part(by) == F.col("_part"), "left")
+    return marked.filter(found).select(*rows.columns), marked.filter(~found).select(*rows.columns)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 50_000) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no run of equal keys is cut; about ``at_least`` rows each."""
     held: list[pa.RecordBatch] = []

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sifted
 
 #: Characters of one n-gram, word edges included.
 ORDER = 5
@@ -313,7 +313,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> D
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, told apart by id and text hash."""
     bad = _scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (_tag() == bad["_tag"]), "left_anti")
+    bad = materialise(bad, "toxic")
+    maybe, fine = sifted(docs, _tag(), bad, F.col("_tag"), bad.count())
+    return fine.unionAll(maybe.join(bad, maybe["doc_id"].eqNullSafe(bad["_id"]) & (_tag() == bad["_tag"]), "left_anti"))
 
 
 def _tag():
@@ -345,8 +347,11 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame
         return flat.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
     counting = known.filter("fold > 1").select("doc_id", "toxic")
-    classed = rows.join(counting, "doc_id", "left").filter("text is not null")
+    # Only texts that may have a label meet the labels in a join.
+    maybe, none = sifted(rows.filter("text is not null"), F.xxhash64("doc_id"), counting, F.xxhash64("doc_id"), sum(n for (_, fitting), n in seen.items() if not fitting))
+    classed = maybe.join(counting, "doc_id", "left")
     classed = classed.select("text", F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, 1).otherwise(2).alias("class"))
+    classed = classed.unionAll(none.select("text", F.lit(2).alias("class")))
     sums = [F.sum(c).alias(c) for c in CLASSES]
     words = materialise(classed.mapInArrow(_count, "word string, toxic long, plain long, rest long").groupBy("word").agg(*sums), "words")
     grams = words.mapInArrow(_types(order), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from surgecast.llm import toxicity
+from surgecast.llm import common, toxicity
 from surgecast.llm.common import prepare
 
 SCHEMA = "doc_id long, text string"
@@ -140,3 +141,26 @@ def test_calibration_reads_every_label(session):
     np.testing.assert_allclose([*slopes, intercept], [*want, level], rtol=1e-6)
     assert toxicity._fit_rows(rows.limit(0)) is None
     assert "sample" not in inspect.signature(toxicity.score_documents).parameters
+
+
+def test_sifted_rows_are_whole_and_keys_let_through(session, monkeypatch):
+    """Every row is on one side, once, and those that meet a key on the first; a full sieve lets all through."""
+    rows = session.range(5000).selectExpr("id as doc_id", "cast(id as string) as text").unionAll(session.createDataFrame([(None, "n"), (7, "again")], SCHEMA))
+    for keys, bound in ((500, 900), (40_000, 5002)):
+        monkeypatch.setattr(common, "SIEVE_MOST", common.SIEVE_PART)
+        maybe, none = common.sifted(rows, F.xxhash64("doc_id"), session.range(0, 10 * keys, 10).withColumnRenamed("id", "key"), F.xxhash64("key"), keys)
+        sides = [Counter((r["doc_id"], r["text"]) for r in side.collect()) for side in (maybe, none)]
+        assert sides[0] + sides[1] == Counter((r["doc_id"], r["text"]) for r in rows.collect())
+        assert all(i is None or i % 10 for i, _ in sides[1]) and sum(sides[0].values()) <= bound
+
+
+def test_texts_without_a_label_are_not_shuffled(session, tmp_path, monkeypatch):
+    """The class counts move the texts of labelled documents only, and the filter those of toxic ones."""
+    moved = []
+    monkeypatch.setattr(toxicity, "sifted", lambda rows, *a: moved.append((rows, made := common.sifted(rows, *a))) or made)
+    docs, labels = case()
+    frame = session.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    session.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.toxicity_filter(session, frame, str(tmp_path)).collect()
+    (rows, (maybe, _)), (all_, (bad, _)) = moved
+    assert maybe.count() < 0.6 * rows.count() and bad.count() < 0.5 * all_.count()
