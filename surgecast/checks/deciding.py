@@ -26,8 +26,8 @@ inputs AS (
   FROM spread)"""
 
 
-def decision_inputs(spark, sf_dir):
-    rows = cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage")
+def decision_inputs(spark, sf_dir, clean=None):
+    rows = (cleaned(spark, sf_dir) if clean is None else clean).select(*SERIES, "ts", "cpu_usage")
     rows = rows.withColumn("need", ensemble.replicas_for(F.col("cpu_usage").cast("float").cast("double")))
     out = features.row_features(rows, SERIES, "ts", ["cpu_usage", "need"], rolling=[12], lags=[1], slot_s=30 * 86400)
     mean, std = F.col("cpu_usage_rolling_mean_12m"), F.col("cpu_usage_rolling_std_12m")
@@ -62,8 +62,8 @@ DECISIONS = f"{INPUTS},\ndecisions AS {decide_sql('inputs')}"
 D_COLS = f"{KEYS}, ts, current_replicas, target_replicas, direction, approved"
 
 
-def decided(spark, sf_dir):
-    return decisions.decide(materialise(decision_inputs(spark, sf_dir), "decision-inputs"))
+def decided(spark, sf_dir, clean=None):
+    return decisions.decide(materialise(decision_inputs(spark, sf_dir, clean), "decision-inputs"))
 
 
 @query(
@@ -205,8 +205,8 @@ guarded AS (
   FROM ranked r JOIN chain USING ({KEYS}, rn))"""
 
 
-def guarded(spark, sf_dir):
-    return materialise(decisions.guard_decisions(materialise(decided(spark, sf_dir), "decisions"), SERIES, "ts", GUARD), "guarded")
+def guarded(spark, sf_dir, clean=None):
+    return materialise(decisions.guard_decisions(materialise(decided(spark, sf_dir, clean), "decisions"), SERIES, "ts", GUARD), "guarded")
 
 
 @query("guard_decisions", "K5 K6", f"WITH RECURSIVE {GUARDED} SELECT {D_COLS}, executed, reason FROM guarded")

@@ -261,8 +261,8 @@ CYCLE = [*SERIES, "cycle"]
 C = ", ".join(CYCLE)
 
 
-def forecast_pairs(spark, sf_dir):
-    rows = cleaned(spark, sf_dir).select(*SERIES, "ts", "cpu_usage")
+def forecast_pairs(spark, sf_dir, clean=None):
+    rows = (cleaned(spark, sf_dir) if clean is None else clean).select(*SERIES, "ts", "cpu_usage")
     mean, std = "cpu_usage_rolling_mean_12m", "cpu_usage_rolling_std_12m"
     rows = features.row_features(rows, SERIES, "ts", ["cpu_usage"], rolling=[12], lags=[12], slot_s=30 * 86400)
     rows = features.row_features(materialise(rows, "rolled"), SERIES, "ts", [mean, std], lags=[1], slot_s=30 * 86400)

@@ -11,6 +11,7 @@ from ..sources.tables import SERIES, samples
 from .base import FRAME, KEYS, SAMPLES, ceil_ts, floor_ts, frame, query, r, rounded, rs
 from .deciding import AS_OF, GUARD, GUARDED, INPUTS, decision_inputs, guarded
 from .forecasting import C, CYCLE, PAIRS, RESULTS, forecast_pairs
+from .preparing import cleaned
 
 # -- registry ---------------------------------------------------------------------------
 
@@ -23,8 +24,8 @@ best AS (SELECT {KEYS}, arg_min(version, (mae, n)) AS version FROM registry WHER
 promoted AS (SELECT r.*, coalesce(r.version = b.version, FALSE) AS is_active FROM registry r LEFT JOIN best b USING ({KEYS}))"""
 
 
-def registry(spark, sf_dir):
-    runs = frame(spark, sf_dir).groupBy(*SERIES, F.date_trunc("day", "ts")).agg(
+def registry(spark, sf_dir, grid=None):
+    runs = (frame(spark, sf_dir) if grid is None else grid).groupBy(*SERIES, F.date_trunc("day", "ts")).agg(
         F.max("ts").alias("created_at"), F.round(F.stddev_samp("cpu_usage") / 50, 6).alias("mae")
     )
     runs = runs.select(*SERIES, "created_at", F.create_map(F.lit("mae"), F.col("mae").cast("string")).alias("metrics"))
@@ -34,8 +35,8 @@ def registry(spark, sf_dir):
     return materialise(lifecycle.create_versions(first, runs.filter(~half), SERIES, "models"), "registry")
 
 
-def promoted(spark, sf_dir):
-    rows = registry(spark, sf_dir)
+def promoted(spark, sf_dir, grid=None):
+    rows = registry(spark, sf_dir, grid)
     mae = F.col("metrics")["mae"].cast("double")
     best = rows.groupBy(*SERIES).agg(F.min_by("version", F.when(mae.isNotNull(), F.struct(mae, "n"))).alias("version"))
     return materialise(lifecycle.promote(rows, best, SERIES), "promoted")
@@ -261,8 +262,8 @@ maes AS (SELECT {C}, avg(abs(actual - blended)) AS mae FROM banded GROUP BY ALL)
 prediction AS (SELECT {KEYS}, cycle AS ts, confidence, predicted_peak, recommended_replicas, urgency, mae FROM predictions JOIN maes USING ({C}))"""
 
 
-def predictions(spark, sf_dir):
-    rows = forecast_pairs(spark, sf_dir)
+def predictions(spark, sf_dir, clean=None):
+    rows = forecast_pairs(spark, sf_dir, clean)
     results = ensemble.combine(rows, CYCLE)
     blended = ensemble.blend(rows)
     error = F.avg(F.abs(F.col("actual") - F.col("blended"))).alias("mae")
@@ -308,6 +309,12 @@ EVERYTHING = f"""{GUARDED},
 {RUNS[RUNS.index('runs AS'):]}"""
 
 
+def shared(spark, sf_dir):
+    """The metric grid and its cleaned rows, made once for a query that reads them several times."""
+    grid = materialise(frame(spark, sf_dir), "grid")
+    return grid, materialise(cleaned(spark, sf_dir, grid).select(*SERIES, "ts", "cpu_usage"), "cleaned")
+
+
 @query(
     "exported_gauges",
     "A13",
@@ -336,9 +343,8 @@ def exported_gauges(spark, sf_dir):
     FROM a LEFT JOIN b USING ({KEYS}) LEFT JOIN c USING ({KEYS}) LEFT JOIN d USING ({KEYS})""",
 )
 def status_rollup(spark, sf_dir):
-    out = alerts.status_rollup(
-        frame(spark, sf_dir), predictions(spark, sf_dir), guarded(spark, sf_dir), promoted(spark, sf_dir), SERIES, "ts"
-    )
+    grid, clean = shared(spark, sf_dir)
+    out = alerts.status_rollup(grid, predictions(spark, sf_dir, clean), guarded(spark, sf_dir, clean), promoted(spark, sf_dir, grid), SERIES, "ts")
     return rounded(out)
 
 

@@ -112,8 +112,8 @@ def clean_frame(spark, sf_dir):
 # -- features ---------------------------------------------------------------------------
 
 
-def cleaned(spark, sf_dir):
-    return cleaning.clean(frame(spark, sf_dir), SERIES, "ts")
+def cleaned(spark, sf_dir, grid=None):
+    return cleaning.clean(frame(spark, sf_dir) if grid is None else grid, SERIES, "ts")
 
 
 def rows_frame(back: int) -> str:
