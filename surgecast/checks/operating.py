@@ -328,7 +328,8 @@ def shared(spark, sf_dir):
     SELECT {KEYS}, metric, direction, {r('value')} FROM gauges""",
 )
 def exported_gauges(spark, sf_dir):
-    return rounded(alerts.exported_gauges(predictions(spark, sf_dir), guarded(spark, sf_dir), registry(spark, sf_dir), SERIES, "ts"))
+    grid, clean = shared(spark, sf_dir)
+    return rounded(alerts.exported_gauges(predictions(spark, sf_dir, clean), guarded(spark, sf_dir, clean), registry(spark, sf_dir, grid), SERIES, "ts"))
 
 
 @query(

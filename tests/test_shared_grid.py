@@ -9,7 +9,7 @@ from surgecast.operators import cleaning
 from surgecast.sources import tables
 
 
-@pytest.mark.parametrize("name", ["status_rollup"])
+@pytest.mark.parametrize("name", ["status_rollup", "exported_gauges"])
 def test_grid_is_binned_and_cleaned_once(spark, tmp_path, monkeypatch, name):
     start = datetime.datetime(2025, 3, 1)
     rows = [(i, start + datetime.timedelta(hours=2 * (i // 2)), 10 * (i % 2), "view", 5.0 + i % 7, '{"k": 1}') for i in range(120)]
