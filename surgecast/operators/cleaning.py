@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.blocks import DAY, join_series, micros, neighbours
+from ..plans.blocks import DAY, SLOT, checked, group_starts, join_series, micros, neighbours, whole_groups, with_slot
 from ..session import materialise
 
 # Clip width in deviations and the share of known values a column needs.
@@ -69,8 +71,78 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna()
 
 
-def _known(col: str) -> Column:
-    return F.when(F.col(col).isNotNull(), F.struct(F.col("_us").alias("t"), F.col(col).cast("double").alias("v")))
+def _slot_ends(names: Sequence[str], count: int):
+    """Time and value of the last and the first known entry of each column, for each stretch of rows of one slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = group_starts(batch, names)
+            us = batch.column("_us")
+            # Rows need not be in order: the extreme times of a stretch are found by sorting it.
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            by = np.lexsort((us.fill_null(0).to_numpy(zero_copy_only=False), group))
+            made = {c: batch.column(c).take(pa.array(starts)) for c in names}
+            for i in range(count):
+                value = batch.column(f"_v{i}")
+                known = value.is_valid().to_numpy(zero_copy_only=False)[by]
+                at = np.arange(n)
+                for side, ends in (("p", np.maximum.reduceat(np.where(known, at, -1), starts)), ("n", np.minimum.reduceat(np.where(known, at, n), starts))):
+                    none = (ends < 0) | (ends >= n)
+                    rows = pa.array(by[np.where(none, 0, ends)], mask=none)
+                    made |= {f"{side}t{i}": us.take(rows), f"{side}v{i}": value.take(rows)}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return run
+
+
+def _slot_filled(names: Sequence[str], base: Sequence[str], cols: Sequence[str], most: int | None):
+    """Rows with their unknown entries filled; a slot's first row brings what is known before and after the slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, names):
+            table = table.combine_chunks()
+            n, k = table.num_rows, len(cols)
+            stops = np.append(starts[1:], n)
+            group = np.repeat(np.arange(len(starts)), stops - starts)
+            whole = lambda c: table.column(c).combine_chunks()
+            us = whole("_us").fill_null(0).to_numpy(zero_copy_only=False)
+            head = np.zeros(n, bool)
+            head[starts] = True
+            times, values = (whole(c).take(pa.array(starts)).flatten() for c in ("_far_t", "_far_v"))
+            far = times.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 2, k)
+            far_t = times.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, 2, k)
+            far_v = values.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, 2, k)
+            at, rows, filled = np.arange(n), pa.array(np.flatnonzero(~head)), {}
+            for i, c in enumerate(cols):
+                column = whole(f"_v{i}")
+                known = column.is_valid().to_numpy(zero_copy_only=False)
+                v = column.fill_null(0.0).to_numpy(zero_copy_only=False).copy()
+                unknown = np.flatnonzero(~known & ~head)
+                g, t = group[unknown], us[unknown]
+                prev = np.maximum.accumulate(np.where(known, at, -1))[unknown]
+                nxt = np.minimum.accumulate(np.where(known, at, n)[::-1])[::-1][unknown]
+                near0, near1 = prev >= starts[g], nxt < stops[g]
+                prev, nxt = np.where(near0, prev, 0), np.where(near1, nxt, 0)
+                has0, has1 = near0 | far[g, 0, i], near1 | far[g, 1, i]
+                t0, v0 = np.where(near0, us[prev], far_t[g, 0, i]), np.where(near0, v[prev], far_v[g, 0, i])
+                t1, v1 = np.where(near1, us[nxt], far_t[g, 1, i]), np.where(near1, v[nxt], far_v[g, 1, i])
+                both = has0 & has1
+                if (both & (t1 == t0)).any():
+                    raise ZeroDivisionError("known values at one instant around an unknown one")
+                inside = v0 + (v1 - v0) * (t - t0) / np.where(both, t1 - t0, 1)
+                told = has0 | has1
+                if most is not None:
+                    told &= np.where(has1, t1, t) - np.where(has0, t0, t) <= most
+                v[unknown] = np.where(both, inside, np.where(has0, v0, v1))
+                known[unknown] = told
+                filled[c] = pa.array(v, mask=~known)
+            out = pa.Table.from_arrays([filled[c] if c in filled else table.column(c) for c in base], names=list(base)).take(rows)
+            yield from out.combine_chunks().to_batches()
+
+    return run
 
 
 def interpolate(
@@ -85,21 +157,33 @@ def interpolate(
     """Time-weighted linear interpolation; the edges take the nearest known value.
 
     With ``max_gap_s`` a hole is filled only if the known values around it (or, at an edge,
-    the known value next to it) are at most that far apart.
-    """
-    base = df.columns
-    rows = neighbours(df.withColumn("_us", micros(ts)), keys, ts, {f"_{c}": _known(c) for c in cols}, slot_s=slot_s)
-
-    def filled(c: str) -> Column:
-        prev, nxt, t = F.col(f"_{c}_prev"), F.col(f"_{c}_next"), F.col("_us")
-        inside = prev["v"] + (nxt["v"] - prev["v"]) * (t - prev["t"]) / (nxt["t"] - prev["t"])
-        gap = F.coalesce(nxt["t"], t) - F.coalesce(prev["t"], t)
-        value = F.when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"]).otherwise(inside)
-        if max_gap_s is not None:
-            value = F.when(gap <= int(max_gap_s * 1_000_000), value)
-        return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(value).alias(c)
+    the known value next to it) are at most that far apart. Results are DOUBLE.
 
-    return rows.select(*[filled(c) if c in cols else F.col(c) for c in base])
+    A task fills the slots that it holds, sorted, in Arrow batches of many slots. What is known
+    before and after a slot comes as one row in front of it, carried over the slots of its series.
+    """
+    keys, cols, base = list(keys), list(dict.fromkeys(cols)), df.columns
+    if not cols:
+        return df
+    names, each = [*keys, SLOT], range(len(cols))
+    rows = with_slot(checked(df, keys), ts, slot_s).withColumn("_us", micros(ts))
+    rows = rows.select("*", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+
+    found = T.StructType([*[rows.schema[c] for c in names], *[T.StructField(f"{side}{part}{i}", kind) for i in each for side in "pn" for part, kind in (("t", T.LongType()), ("v", T.DoubleType()))]])
+    ends = rows.select(*names, "_us", *[f"_v{i}" for i in each]).mapInArrow(_slot_ends(names, len(cols)), found)
+    picks = [pick(f"{side}{part}{i}", f"{side}t{i}").alias(f"{side}{part}{i}") for i in each for side, pick in (("p", F.max_by), ("n", F.min_by)) for part in "tv"]
+    slots = Window.partitionBy(*keys)
+    across = {
+        "p": slots.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1),
+        "n": slots.orderBy(F.col(SLOT).desc()).rowsBetween(Window.unboundedPreceding, -1),
+    }
+    far = [F.array(*[F.last(f"{side}{part}{i}", ignorenulls=True).over(across[side]) for side in "pn" for i in each]).alias(f"_far_{part}") for part in "tv"]
+    heads = ends.groupBy(*names).agg(*picks).select(*names, *far)
+
+    both = rows.drop(*[c for c in cols if c not in names]).unionByName(heads, allowMissingColumns=True)
+    dealt = both.repartition(*names).sortWithinPartitions(*names, F.col("_far_t").isNull(), "_us")
+    out = T.StructType([T.StructField(c, T.DoubleType()) if c in cols else df.schema[c] for c in base])
+    return dealt.mapInArrow(_slot_filled(names, base, cols, None if max_gap_s is None else int(max_gap_s * 1_000_000)), out)
 
 
 def clip_limits(df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: float = OUTLIER_STD) -> DataFrame:
@@ -210,11 +294,14 @@ def without_gaps(
 ) -> tuple[DataFrame, list[str]]:
     """The steps of ``clean`` before clipping, and the columns that it keeps.
 
-    The rows are written once to the shared scratch folder, since clipping reads them twice,
-    for the limits and for the values.
+    The rows are written to the shared scratch folder before and after: the shares of known
+    values, the ends of the slots and the rows are three readings of the frame, which may be a
+    grid that is costly to fill, and clipping reads twice, for the limits and for the values.
     """
     df = validate_index(df, ts)
     cols = list(cols or numeric_columns(df, [*keys, ts]))
+    if cols:
+        df = materialise(df, "frame")
     df, kept = mask_sparse(df, keys, cols, min_ratio)
     if kept:
         df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.blocks import BLOCK, DAY, OWN, POS, SLOT, join_series, row_blocks, with_positions, with_slot
+from ..plans.blocks import group_starts as _starts
+from ..plans.blocks import whole_groups as _whole_groups
 from ..session import materialise
 
 # Seasonal terms, changepoints and prior scales of the seasonal model.
@@ -40,18 +42,6 @@ def _sums_schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(n, t) for n, t in extra]])
 
 
-def _starts(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    """First row of each stretch of rows that agree in ``names``, NULL being a value of its own."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for c in names:
-        column = table.column(c)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
-
-
 def _doubles(table: pa.Table | pa.RecordBatch, c: str) -> np.ndarray:
     """A numeric column with NaN where it is NULL."""
     column = table.column(c).cast(pa.float64())
@@ -59,24 +49,6 @@ def _doubles(table: pa.Table | pa.RecordBatch, c: str) -> np.ndarray:
     return column.fill_null(math.nan).to_numpy(zero_copy_only=False)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, and where each begins, from batches sorted by ``names``.
-
-    A task holds one batch and the group that it breaks off.
-    """
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        if table.num_rows:
-            starts = _starts(table, names)
-            if len(starts) > 1:
-                yield table.slice(0, starts[-1]), starts[:-1]
-            rest = table.slice(starts[-1])
-    if rest is not None:
-        yield rest, np.zeros(1, np.int64)
-
-
 def _batch(heads: pa.Table, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The group columns of ``heads`` with ``columns`` beside them."""
     named = {**{c: heads.column(c).combine_chunks() for c in heads.column_names}, **columns}

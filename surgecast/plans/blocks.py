@@ -16,10 +16,12 @@ A NULL series key raises an error, since the joins on keys would lose its rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -355,3 +357,33 @@ def sum_of(*parts: str) -> Column:
     """The sum of the columns that are known, NULL if none is."""
     known = reduce(or_, [F.col(p).isNotNull() for p in parts])
     return F.when(known, reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts]))
+
+
+def group_starts(table: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """First row of each stretch of rows that agree in ``names``, NULL being a value of its own."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        column = table.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each begins, from batches sorted by ``names``.
+
+    A task holds one batch and the group that it breaks off.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if table.num_rows:
+            starts = group_starts(table, names)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+            rest = table.slice(starts[-1])
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64)
