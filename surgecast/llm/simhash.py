@@ -19,7 +19,7 @@ RADIUS = 4
 #: Fingerprints of one bucket that meet in one cell, at most twice this many.
 CHUNK = 1024
 #: (query, block) pairs compared in one go.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 def _set_bits(hashes: np.ndarray) -> int:
