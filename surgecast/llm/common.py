@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from ..session import importable, materialise, scratch_dir  # noqa: F401  re-exp
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` finds the same runs.
 WORD_GAP = "[ \\t-\\r]+"
 #: Texts that one batch hands to Python; words cut from them take about ten times that.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 #: Bits of a sieve for each key, and of the whole at most, 8 MB; its parts are as long as Spark's bitmaps.
 SIEVE_BITS, SIEVE_MOST, SIEVE_PART = 32, 1 << 26, 1 << 15
 
@@ -24,7 +24,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings of one session that these operators rely on.
 
     A batch of whole texts handed to Python is bounded by bytes, not only by rows, and
-    shuffle files go when the job that wrote them ends.
+    shuffle files go when the job that wrote them ends. Parquet's parallel reads are off, as
+    each of their threads keeps a buffer outside the heap as large as the largest column
+    chunk that it has read.
     """
     importable(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -32,6 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
     return spark
 
 
@@ -39,6 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with memory that Arrow no longer needs given back when a task ends.
+
+    Workers wait for the next task, a minute at most, beside stages that need none, and would hold on to it.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def id_key(docs: DataFrame, name: str = "doc_id") -> Column:
     """A long that stands for an id in keys: whole numbers as they are, other types by hash, NULL as the smallest long."""
     whole = isinstance(docs.schema[name].dataType, T.IntegralType)

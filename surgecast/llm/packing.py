@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_table
+from .common import lean, materialise, small_table
 
 MAX_LEN = 4096
 END_ID = 2
@@ -179,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_len:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_tokenise(tokenizer, max_len, end_id), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    return rows.mapInArrow(lean(_tokenise(tokenizer, max_len, end_id)), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int]]:
@@ -258,7 +258,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, order: tuple[str, ...] = ("d
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(first[at] + want - key[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_len: int = MAX_LEN) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_components, materialise, sorted_groups, split_hot
+from .common import lean, local_components, materialise, sorted_groups, split_hot
 from .components import components
 
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fp = [fingerprint(t or "", words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fp, pa.int64())], names=["doc_id", "tag", "fp"])
 
-    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, fp long")
+    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(lean(run), f"doc_id {kind}, tag long, fp long")
 
 
 def _tag():
@@ -200,7 +200,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
     rows = distinct.select("fp", F.explode(block_keys("fp", radius)).alias("key"))
     cells = split_hot(rows, ["key"], chunk, "fp")
     dealt = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(_links(radius), "src long, dst long").distinct()
+    return dealt.mapInArrow(lean(_links(radius)), "src long, dst long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:

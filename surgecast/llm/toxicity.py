@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sifted
+from .common import lean, materialise, sifted
 
 #: Characters of one n-gram, word edges included.
 ORDER = 5
@@ -195,7 +195,7 @@ def _word_values(words: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
     """
     common = words.sparkSession.sparkContext.broadcast(_commonest(ratios, "gram", "ratio", COMMON))
     total = F.col("toxic") + F.col("plain") + F.col("rest")
-    told = materialise(words.select(F.xxhash64("word").alias("w"), "word", total.alias("total")).mapInArrow(_valued(common, order), "w long, total long, gram long, part double"), "told")
+    told = materialise(words.select(F.xxhash64("word").alias("w"), "word", total.alias("total")).mapInArrow(lean(_valued(common, order)), "w long, total long, gram long, part double"), "told")
     common.unpersist()
     lacking = told.filter("gram is not null").join(ratios.select("gram", "ratio"), "gram")
     summed = lacking.groupBy("w").agg(F.max("total").alias("total"), F.sum(F.col("part") + F.col("ratio")).alias("value"))
@@ -241,7 +241,7 @@ def _evidence(rows: DataFrame, values: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     common = rows.sparkSession.sparkContext.broadcast(_commonest(values, "w", "value", COMMON_WORDS))
     types = f"row long, doc_id {kind}, tag long, chars long, all double, high double, top double, rare array<struct<w: long, n: long>>"
-    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_partial(common), types), "partial")
+    part = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_partial(common)), types), "partial")
     common.unpersist()
     others = part.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.n").join(values.select("w", "value"), "w")
     value, high = F.col("value") * F.col("n"), F.when(F.col("value") > STRONG, F.col("value") * F.col("n"))
@@ -297,7 +297,7 @@ def _fit_rows(rows: DataFrame, steps: int = 60) -> tuple[np.ndarray, float] | No
                 total += np.concatenate([part.ravel() for part in _gradient(x, batch.column("toxic").to_numpy(), centre, scale, w)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-        made = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        made = rows.mapInArrow(lean(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
         got = np.array([r["v"] for r in sorted(made.collect(), key=lambda r: r["i"])])  # a gradient and a Hessian
         return got[:size], got[size:].reshape(size, size)
 
@@ -353,8 +353,8 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame
     classed = classed.select("text", F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, 1).otherwise(2).alias("class"))
     classed = classed.unionAll(none.select("text", F.lit(2).alias("class")))
     sums = [F.sum(c).alias(c) for c in CLASSES]
-    words = materialise(classed.mapInArrow(_count, "word string, toxic long, plain long, rest long").groupBy("word").agg(*sums), "words")
-    grams = words.mapInArrow(_types(order), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")
+    words = materialise(classed.mapInArrow(lean(_count), "word string, toxic long, plain long, rest long").groupBy("word").agg(*sums), "words")
+    grams = words.mapInArrow(lean(_types(order)), "gram long, ctx long, mid long, low_ctx long, code long, toxic long, plain long, rest long")
     same = [F.first(c).alias(c) for c in ("ctx", "mid", "low_ctx", "code")]
     types = materialise(grams.groupBy("gram").agg(*same, *sums), "types")
     ratios = materialise(log_ratios(types), "ratios")
