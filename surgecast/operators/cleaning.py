@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.blocks import DAY, SLOT, checked, group_starts, join_series, micros, neighbours, whole_groups, with_slot
-from ..session import materialise
+from ..session import materialise, release
 
 # Clip width in deviations and the share of known values a column needs.
 OUTLIER_STD = 4.0
@@ -297,14 +297,17 @@ def without_gaps(
     The rows are written to the shared scratch folder before and after: the shares of known
     values, the ends of the slots and the rows are three readings of the frame, which may be a
     grid that is costly to fill, and clipping reads twice, for the limits and for the values.
+    What was written before goes once the filled rows are there.
     """
     df = validate_index(df, ts)
     cols = list(cols or numeric_columns(df, [*keys, ts]))
-    if cols:
-        df = materialise(df, "frame")
+    if not cols:
+        return df, []
+    df = written = materialise(df, "frame")
     df, kept = mask_sparse(df, keys, cols, min_ratio)
     if kept:
         df = materialise(interpolate(df, keys, ts, kept, max_gap_s=max_gap_s, slot_s=slot_s), "interpolated")
+        release(written)
     return df, kept
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..plans.blocks import BLOCK, DAY, OWN, POS, SLOT, join_series, row_blocks, with_positions, with_slot
 from ..plans.blocks import group_starts as _starts
 from ..plans.blocks import whole_groups as _whole_groups
-from ..session import materialise
+from ..session import materialise, release
 
 # Seasonal terms, changepoints and prior scales of the seasonal model.
 DAILY_TERMS, WEEKLY_TERMS = 4, 3
@@ -33,7 +33,8 @@ _DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def _gram(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x.T @ x).ravel(), (x.T @ y).ravel()
+    """X'X, of which one half is kept, and X'y."""
+    return (x.T @ x)[np.triu_indices(x.shape[1])], (x.T @ y).ravel()
 
 
 def _sums_schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
@@ -128,7 +129,9 @@ def _solved(penalty: Sequence[float], l1: Sequence[float] | None = None) -> Call
         p = len(ridge)
         if not (np.isfinite(xx).all() and np.isfinite(xy).all()):
             return None
-        left, right = xx.reshape(p, p) + ridge, xy.reshape(p, -1)
+        left = np.zeros((p, p))
+        left[np.triu_indices(p)] = xx
+        left, right = left + np.triu(left, 1).T + ridge, xy.reshape(p, -1)
         if sparse.any():
             return lasso(left, right[:, 0], sparse)
         try:
@@ -140,6 +143,9 @@ def _solved(penalty: Sequence[float], l1: Sequence[float] | None = None) -> Call
     return run
 
 
+#: Rows of a series that one task holds at once.
+WHOLE_ROWS = 4096
+
 #: Block sums that meet in one task on the way to a series' total.
 FAN_IN = 32
 
@@ -149,16 +155,19 @@ def _together(rows: DataFrame, names: Sequence[str], *order: str) -> DataFrame:
     return rows.repartition(*names).sortWithinPartitions(*names, *order)
 
 
-def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float], l1: list[float] | None = None) -> DataFrame:
+def _group(block: str, n: Column) -> Column:
+    """The group of a block of a series that has ``n`` of them."""
+    return F.pmod(F.xxhash64(block), F.ceil(n / FAN_IN))
+
+
+def _fit_sums(sums: DataFrame, keys: list[str], penalty: list[float], l1: list[float] | None = None) -> DataFrame:
     """Add up the block sums of each series in two steps and solve; one row out per series.
 
-    A series' blocks are first added in groups of about ``FAN_IN`` neighbours each, so a
+    A series' blocks are first added in groups ``_g`` of about ``FAN_IN`` each, so a
     task of the last step sees one row for each of those. Sums that are not finite give NULL
     coefficients.
     """
     solve = _solved(penalty, l1)
-    size = sums.groupBy(*keys).agg(F.count("*").alias("_n"))
-    grouped = join_series(sums, size, keys, "inner").withColumn("_g", F.pmod(F.xxhash64(block), F.ceil(F.col("_n") / FAN_IN)))
     out = T.StructType([*[sums.schema[c] for c in keys], T.StructField("coef", _DOUBLES), T.StructField("n", T.LongType())])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +179,7 @@ def _fit_sums(sums: DataFrame, keys: list[str], block: str, penalty: list[float]
             coef = pa.array([solve(xx, xy) for xx, xy, _ in totals], pa.list_(pa.float64()))
             yield _batch(heads, {"coef": coef, "n": pa.array([n for _, _, n in totals], pa.int64())})
 
-    partly = _together(grouped.select(*keys, "_g", "xx", "xy", "n"), [*keys, "_g"]).mapInArrow(some, _sums_schema(sums, keys))
+    partly = _together(sums.select(*keys, "_g", "xx", "xy", "n"), [*keys, "_g"]).mapInArrow(some, _sums_schema(sums, keys))
     return _together(partly, keys).mapInArrow(whole, out)
 
 
@@ -199,7 +208,9 @@ def ridge_fit(rows: DataFrame, keys: Sequence[str], x: str, y: str, penalty: Seq
             yield _sums_out(pa.Table.from_batches([batch]).select(names).take(pa.array(starts)), sums)
 
     sums = materialise(rows.select(*names, x, y).mapInArrow(partial, _sums_schema(rows, names)), "sums")
-    return _fit_sums(sums, list(keys), SLOT, list(penalty), list(l1) if l1 else None)
+    size = sums.groupBy(*keys).agg(F.count("*").alias("_n"))
+    grouped = join_series(sums, size, keys, "inner").withColumn("_g", _group(SLOT, F.col("_n")))
+    return _fit_sums(grouped, list(keys), list(penalty), list(l1) if l1 else None)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -242,6 +253,7 @@ def fit_seasonal(
     weekly: int = WEEKLY_TERMS,
     slot_s: float = 30 * DAY,
     sparse: bool = False,
+    whole_rows: int = WHOLE_ROWS,
 ) -> DataFrame:
     """Fit ``y = trend * (1 + season)`` per series; one row of coefficients per series.
 
@@ -252,23 +264,47 @@ def fit_seasonal(
     is left of ``y`` on the seasonal terms times the trend, so that no row is left out where
     the trend is near zero. ``changepoints``, ``daily`` and ``weekly`` say how many hinges
     and harmonics there are; zero switches them off. ``sigma`` and ``mae`` are in-sample.
+
+    Series of up to ``whole_rows`` rows are solved by the task that holds them, longer ones
+    by the sums of their slots.
     """
     keys = list(keys)
     spans = df.groupBy(*keys).agg(
-        F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.greatest(F.max(F.abs(F.col(target))), F.lit(1e-12)).alias("scale")
+        F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.greatest(F.max(F.abs(F.col(target))), F.lit(1e-12)).alias("scale"), F.count(F.lit(1)).alias("_n")
     )
-    rows = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y)")
-    # Shuffle the narrow rows once, so that slots lie together; the design arrays are built where they are read.
-    rows = _together(with_slot(rows.join(spans, keys), "ts", slot_s).withColumn("y", F.col("y") / F.col("scale")), [*keys, SLOT])
-    rows = materialise(rows, "seasonal-rows")
-
+    spans = materialise(spans, "spans")
+    narrow = df.select(*keys, F.col(ts).alias("ts"), F.col(target).cast("double").alias("y")).filter("y is not null and not isnan(y)")
     trend_p = [1e-9, 1e-9] + [1e-9 if sparse else (NOISE_SCALE / changepoint_prior) ** 2] * changepoints
     season_p = [SEASON_PENALTY] * (2 * (daily + weekly))
-    both = rows.select(*keys, SLOT, "y", F.array(*_trend_terms(_tau("ts"), changepoints), *_season_terms("ts", daily, weekly)).alias("x"))
     l1 = [0.0, 0.0, *[NOISE_SCALE**2 / changepoint_prior] * changepoints, *[0.0] * len(season_p)] if sparse else None
-    first = ridge_fit(both, keys, "x", "y", trend_p + season_p, l1)
+    terms = F.array(*_trend_terms(_tau("ts"), changepoints), *_season_terms("ts", daily, weekly)).alias("x")
+
+    def scaled(which: str) -> DataFrame:
+        return narrow.join(spans.filter(which).drop("_n"), keys).withColumn("y", F.col("y") / F.col("scale"))
+
+    # A series that is whole in a task is solved there: its sums, larger than its rows, are written nowhere.
+    rows = _together(scaled(f"_n <= {whole_rows}"), keys, "ts")
+    head = [*keys, "t0", "t1", "scale"]
+    out = T.StructType(
+        [
+            *[rows.schema[c] for c in head],
+            *[T.StructField(c, _DOUBLES) for c in ("trend", "season")],
+            *[T.StructField(c, T.DoubleType()) for c in ("sigma", "mae")],
+            T.StructField("n", T.LongType()),
+        ]
+    )
+    alone = rows.select(*head, "y", terms).mapInArrow(_seasonal_alone(keys, head, trend_p, season_p, l1), out)
+    columns = [*head, "trend", F.lit(daily).alias("daily"), F.lit(weekly).alias("weekly"), "season", "sigma", "mae", "n"]
+    alone = alone.select(*columns)
+    if spans.filter(f"_n > {whole_rows}").isEmpty():
+        return alone
+
+    # Shuffle the narrow rows once, so that slots lie together; the design arrays are built where they are read.
+    rows = _together(with_slot(scaled(f"_n > {whole_rows}"), "ts", slot_s), [*keys, SLOT])
+    rows = materialise(rows, "seasonal-rows")
+    first = ridge_fit(rows.select(*keys, SLOT, "y", terms), keys, "x", "y", trend_p + season_p, l1)
     trend = materialise(first.select(*keys, F.slice("coef", 1, len(trend_p)).alias("trend")), "seasonal-trend")
-    model = join_series(spans, trend, keys, "inner").withColumns({"daily": F.lit(daily), "weekly": F.lit(weekly)})
+    model = join_series(spans.drop("_n"), trend, keys, "inner").withColumns({"daily": F.lit(daily), "weekly": F.lit(weekly)})
     if season_p:
         level = _dot(F.col("trend"), F.array(*_trend_terms(_tau("ts"), changepoints)))
         rest = join_series(rows, trend, keys, "inner").select(*keys, SLOT, "ts", "y", level.alias("_level")).sortWithinPartitions(*keys, SLOT)
@@ -285,7 +321,43 @@ def fit_seasonal(
     quality = fitted.groupBy(*keys).agg(
         F.sqrt(F.avg(error * error)).alias("sigma"), F.avg(F.abs(error)).alias("mae"), F.count(F.lit(1)).alias("n")
     )
-    return model.join(quality, keys)
+    return alone.unionByName(model.join(quality, keys))
+
+
+def _seasonal_alone(keys: Sequence[str], head: Sequence[str], trend_p: list[float], season_p: list[float], l1: list[float] | None):
+    """The seasonal model of every series from its whole rows, scaled ``y`` and the terms ``x``."""
+    k, p = len(trend_p), len(trend_p) + len(season_p)
+    solve_trend, solve_season = _solved(trend_p + season_p, l1), _solved(season_p)
+
+    def sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.isfinite(x).all(axis=1) & np.isfinite(y)
+        return _gram(x[good], y[good][:, None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, keys):
+            a = table.column("x").combine_chunks().flatten().fill_null(math.nan).to_numpy(zero_copy_only=False).reshape(-1, p)
+            b, scales = _doubles(table, "y"), _doubles(table, "scale")
+            trends, seasons, sigmas, maes, counts = [], [], [], [], []
+            for i, j in zip(starts, [*starts[1:], table.num_rows]):
+                x, y, scale, trend, season, sigma, mae = a[i:j], b[i:j], scales[i], None, [], None, None
+                found = solve_trend(*sums(x, y))
+                if found is not None:
+                    trend = found[:k]
+                with np.errstate(all="ignore"):
+                    level = x[:, :k] @ trend if trend is not None else np.full(len(y), math.nan)
+                    if season_p:
+                        season = solve_season(*sums(x[:, k:] * level[:, None], y - level))
+                    if trend is not None:
+                        swing = x[:, k:] @ season if season_p and season is not None else 0.0
+                        error = y * scale - scale * level * (1.0 + swing)
+                        sigma, mae = math.sqrt(np.mean(error * error)), float(np.mean(np.abs(error)))
+                for values, v in zip((trends, seasons, sigmas, maes, counts), (trend, season, sigma, mae, j - i)):
+                    values.append(v)
+            doubles = pa.list_(pa.float64())
+            made = {"trend": pa.array(trends, doubles), "season": pa.array(seasons, doubles), "sigma": pa.array(sigmas, pa.float64()), "mae": pa.array(maes, pa.float64())}
+            yield _batch(table.select(list(head)).take(pa.array(starts)), made | {"n": pa.array(counts, pa.int64())})
+
+    return run
 
 
 def score_seasonal(rows: DataFrame, model: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -368,8 +440,10 @@ def _sequence_blocks(df, keys, ts, features, target, lookback, horizon, share, s
     placed = with_positions(df, keys, ts, slot_s=slot_s, total="_n")
     placed = placed.withColumn("_limit", _train_limit(F.col("_n"), lookback, horizon, share))
     cols = list(dict.fromkeys([*features, target]))
-    narrow = placed.select(*keys, POS, "_limit", *cols)
-    return row_blocks(narrow, size=block_rows, back=lookback - 1, ahead=horizon)
+    # A series that fits into one block needs no copies of its rows in others.
+    whole = F.col("_n") <= block_rows
+    narrow = placed.select(*keys, POS, "_limit", whole.alias("_whole"), F.ceil(F.col("_n") / block_rows).alias("_blocks"), *cols)
+    return row_blocks(narrow, size=block_rows, back=lookback - 1, ahead=horizon).filter(F.col(OWN) | ~F.col("_whole"))
 
 
 def fit_sequence(
@@ -391,14 +465,16 @@ def fit_sequence(
     All horizons share X'X, so one pass trains them together. Samples of the last
     ``1 - share`` part of a series are left out; ``val_mae`` is the mean absolute error on
     them (NULL when there are none). Windows that hold an unknown value are left out and not
-    counted in ``n``.
+    counted in ``n``. Series of up to ``block_rows`` rows are solved by the task that holds
+    them, longer ones by the sums of their blocks.
     """
     keys, features = list(keys), list(features)
     blocks = _sequence_blocks(df, keys, ts, features, target, lookback, horizon, share, slot_s, block_rows)
-    names = [*keys, BLOCK]
+    names, cols = [*keys, BLOCK], list(dict.fromkeys([*features, target]))
 
-    # Read for the sums and for the errors.
-    blocks = materialise(blocks, "sequence-blocks")
+    written = materialise(blocks, "sequence-blocks")
+    blocks, whole = written.filter("not _whole").withColumn("_g", _group(BLOCK, F.col("_blocks"))), written.filter("_whole")
+    penalties = [1e-9] + [penalty] * (lookback * len(features))
 
     def windows(table: pa.Table, starts: np.ndarray, skip: np.ndarray):
         """Number, samples and training flags of every block that has samples, without its first ``skip`` rows."""
@@ -410,6 +486,33 @@ def fit_sequence(
                 x, y, at = made
                 yield k, x, y, pos[i:j][at] <= limit[i:j][at]
 
+    def missed_by(coef: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.abs(x @ coef.reshape(x.shape[1], -1) - y)
+
+    # A series that is whole in a task is solved there: its sums, larger than its rows, are written nowhere.
+    solve = _solved(penalties)
+    out = T.StructType([*[whole.schema[c] for c in keys], T.StructField("coef", _DOUBLES), T.StructField("n", T.LongType()), T.StructField("val_mae", T.DoubleType())])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, keys):
+            found, coefs, counts, maes = [], [], [], []
+            for k, x, y, train in windows(table, starts, np.zeros(len(starts), np.int64)):
+                if train.any():
+                    coef = solve(*_gram(x[train], y[train]))
+                    known = coef is not None and not train.all()
+                    found.append(starts[k])
+                    coefs.append(coef)
+                    counts.append(int(train.sum()))
+                    maes.append(float(missed_by(coef, x[~train], y[~train]).mean()) if known else None)
+            if found:
+                made = {"coef": pa.array(coefs, pa.list_(pa.float64())), "n": pa.array(counts, pa.int64()), "val_mae": pa.array(maes, pa.float64())}
+                yield _batch(table.select(keys).take(pa.array(found)), made)
+
+    fitted = materialise(_together(whole.select(*keys, POS, "_limit", OWN, *cols), keys, POS).mapInArrow(alone, out), "sequence-whole")
+    if blocks.isEmpty():
+        release(written)
+        return fitted
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches, names):
             found, sums = [], []
@@ -418,11 +521,10 @@ def fit_sequence(
                     found.append(starts[k])
                     sums.append((*_gram(x[train], y[train]), int(train.sum())))
             if found:
-                yield _sums_out(table.select(names).take(pa.array(found)), sums)
+                yield _sums_out(table.select([*keys, "_g"]).take(pa.array(found)), sums)
 
-    sums = materialise(_together(blocks, names, POS).mapInArrow(partial, _sums_schema(blocks, names)), "sums")
-    width = lookback * len(features)
-    model = materialise(_fit_sums(sums, keys, BLOCK, [1e-9] + [penalty] * width), "sequence-model")
+    sums = _together(blocks, names, POS).mapInArrow(partial, _sums_schema(blocks, [*keys, "_g"]))
+    model = materialise(_fit_sums(sums, keys, penalties), "sequence-model")
     missing = T.StructType([*[blocks.schema[c] for c in keys], T.StructField("miss", T.DoubleType()), T.StructField("terms", T.LongType())])
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,8 +536,7 @@ def fit_sequence(
             for k, x, y, train in windows(table, starts, has[starts].astype(np.int64)):
                 val = ~train
                 if has[starts[k]] and val.any():
-                    coef = np.asarray(coefs[starts[k]].values)
-                    off = np.abs(x[val] @ coef.reshape(x.shape[1], -1) - y[val])
+                    off = missed_by(np.asarray(coefs[starts[k]].values), x[val], y[val])
                     found.append(starts[k])
                     miss.append(float(off.sum()))
                     terms.append(int(off.size))
@@ -448,7 +549,9 @@ def fit_sequence(
     rows = blocks.unionByName(per_block.withColumn(POS, F.lit(0)), allowMissingColumns=True)
     missed = _together(rows, names, POS).mapInArrow(errors, missing)
     quality = missed.groupBy(*keys).agg((F.sum("miss") / F.sum("terms")).alias("val_mae"))
-    return model.join(quality, keys, "left")
+    long = materialise(model.join(quality, keys, "left"), "sequence-long")
+    release(written, model)
+    return fitted.unionByName(long)
 
 
 def forecast_sequence(model: DataFrame, windows: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

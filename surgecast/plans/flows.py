@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting, cleaning, decisions, ensemble, features, forecasting, lifecycle, normalize, sequences
 from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import join_series
-from ..session import materialise
+from ..session import materialise, release
 from . import model_store
 
 #: Rows before the window that a prediction reads for interpolation.
@@ -137,6 +137,7 @@ def train(
     whole, kept = cleaning.without_gaps(frame, keys, ts)
     limits = materialise(cleaning.limit_rows(cleaning.clip_limits(whole, keys, kept), keys, kept), "limits")
     cleaned = materialise(cleaning.clip_to(whole, cleaning.limits_of(limits, keys, kept), keys, kept), "cleaned")
+    release(whole)
     hours = forecasting.long_enough(cleaned, keys, ts, min_hours)
 
     seasonal = materialise(forecasting.fit_seasonal(cleaned, keys, ts, target, sparse=sparse_trend), "seasonal")
@@ -148,9 +149,9 @@ def train(
     flagged = sequences.chronological_split(rows, keys, ts, share=share).filter("is_train")
     scaler = materialise(normalize.fit(flagged, keys, columns), "sequence-scaler")
     scaled = materialise(normalize.transform(rows, scaler, keys, columns), "scaled-rows")
-    sequence = materialise(
-        forecasting.fit_sequence(scaled, keys, ts, columns, target, lookback=lookback, horizon=horizon, share=share), "sequence"
-    )
+    release(rows)
+    sequence = forecasting.fit_sequence(scaled, keys, ts, columns, target, lookback=lookback, horizon=horizon, share=share)
+    release(scaled)
 
     fitted = hours.join(seasonal.select(*keys, F.col("mae").alias("_seasonal")), keys, "left")
     fitted = fitted.join(sequence.select(*keys, F.col("val_mae").alias("_sequence"), F.lit(True).alias("_has")), keys, "left")
@@ -168,6 +169,7 @@ def train(
     metrics = F.create_map(*[part for n in names for part in (F.lit(n), F.col(n).cast("string"))])
     runs = summary.join(newest, keys).select(*keys, "created_at", metrics.alias("metrics"))
     versions = materialise(lifecycle.create_versions(registry, runs, keys, base_path), "versions")
+    release(cleaned)
     newest_version = lifecycle.latest_choice(versions, keys)
     if store:
         model_store.publish({"seasonal": seasonal, "sequence": sequence, "scaler": scaler, "limits": limits}, newest_version, keys, base_path)
@@ -242,6 +244,7 @@ def predict(
     filled, kept = cleaning.without_gaps(recent, keys, ts, slot_s=7 * 86400)
     known = cleaning.clip_limits(filled, keys, kept) if models.limits is None else cleaning.limits_of(models.limits, keys, kept)
     cleaned = materialise(cleaning.clip_to(filled, known, keys, kept), "recent")
+    release(filled)
     last = cleaned.groupBy(*keys).agg(F.max(ts).alias("cycle"))
     grid = last.withColumnRenamed("cycle", ts)
     seasonal = forecasting.forecast_seasonal(models.seasonal, grid, keys, ts, step_s=step_s, horizon=horizon)
@@ -249,7 +252,8 @@ def predict(
         *keys, "h", F.col("yhat").alias("seasonal_pred"), F.col("yhat_lower").alias("lower"), F.col("yhat_upper").alias("upper")
     )
     scaled = normalize.transform(features.add_calendar(cleaned, ts), models.scaler, keys, models.columns)
-    windows = sequences.inference_window(scaled, keys, ts, models.columns, lookback=lookback).withColumnRenamed(ts, "ts")
+    # Written before the coefficients meet them, which are larger by far.
+    windows = materialise(sequences.inference_window(scaled, keys, ts, models.columns, lookback=lookback).withColumnRenamed(ts, "ts"), "windows")
     steps = forecasting.forecast_sequence(models.sequence, windows, keys, horizon)
     arrays = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "yhat"))).alias("_s"))
     arrays = arrays.select(*keys, F.transform("_s", lambda s: s["yhat"]).alias("v"))

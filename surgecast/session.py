@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Shuffle files go when the job that wrote them ends, not when the driver happens to collect its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -59,11 +61,27 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
 _created: list[str] = []
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders this process made; call it when no result of them is needed."""
     while _created:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_created.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _created.pop())
+
+
+def release(*made) -> None:
+    """Delete the folders of frames that ``materialise`` returned; call it when nothing will read them again.
+
+    Other frames, which read what is not theirs, are passed over.
+    """
+    for df in made:
+        path = getattr(df, "_scratch", None)
+        if path in _created:
+            _created.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -87,4 +105,6 @@ def materialise(df, purpose: str):
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
