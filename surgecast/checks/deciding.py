@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions, ensemble, features
 from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans.blocks import OWN, POS, block_window, own_rows, row_blocks, with_positions
-from ..session import materialise
+from ..session import materialise, release
 from ..sources.tables import SERIES, read_table
 from .base import BY, CLEANED, FRAME, KEYS, frame, query, rounded, rs
 from .preparing import cleaned
@@ -206,7 +206,12 @@ guarded AS (
 
 
 def guarded(spark, sf_dir, clean=None):
-    return materialise(decisions.guard_decisions(materialise(decided(spark, sf_dir, clean), "decisions"), SERIES, "ts", GUARD), "guarded")
+    inputs = materialise(decision_inputs(spark, sf_dir, clean), "decision-inputs")
+    made = materialise(decisions.decide(inputs), "decisions")
+    release(inputs)
+    out = materialise(decisions.guard_decisions(made, SERIES, "ts", GUARD), "guarded")
+    release(made)
+    return out
 
 
 @query("guard_decisions", "K5 K6", f"WITH RECURSIVE {GUARDED} SELECT {D_COLS}, executed, reason FROM guarded")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosting, ensemble, features, forecasting, lifecycle, normalize, sequences
 from ..plans import flows, model_store
-from ..session import materialise, scratch_dir
+from ..session import materialise, release, scratch_dir
 from ..sources import files
 from ..sources.tables import SERIES
 from .base import BY, CLEANED, FRAME, KEYS, SQL, STEP_S, frame, query, r, rounded, rs
@@ -265,7 +265,8 @@ def forecast_pairs(spark, sf_dir, clean=None):
     rows = (cleaned(spark, sf_dir) if clean is None else clean).select(*SERIES, "ts", "cpu_usage")
     mean, std = "cpu_usage_rolling_mean_12m", "cpu_usage_rolling_std_12m"
     rows = features.row_features(rows, SERIES, "ts", ["cpu_usage"], rolling=[12], lags=[12], slot_s=30 * 86400)
-    rows = features.row_features(materialise(rows, "rolled"), SERIES, "ts", [mean, std], lags=[1], slot_s=30 * 86400)
+    rolled = materialise(rows, "rolled")
+    rows = features.row_features(rolled, SERIES, "ts", [mean, std], lags=[1], slot_s=30 * 86400)
     seasonal, spread = F.col("lag_cpu_usage_12m"), F.col(f"lag_{std}_1m")
     prod = F.col("namespace") == "prod"
     out = rows.select(
@@ -279,7 +280,9 @@ def forecast_pairs(spark, sf_dir, clean=None):
         F.when(prod, seasonal - spread).alias("lower"),
         F.when(prod, seasonal + spread).alias("upper"),
     )
-    return materialise(out.filter("seq_pred is not null"), "forecast-pairs")
+    made = materialise(out.filter("seq_pred is not null"), "forecast-pairs")
+    release(rolled)
+    return made
 
 
 PAIR_COLS = ["seq_pred", "seasonal_pred", "lower", "upper", "actual"]

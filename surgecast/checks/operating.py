@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, ensemble, lifecycle
 from ..plans import flows
-from ..session import materialise, scratch_dir
+from ..session import materialise, release, scratch_dir
 from ..sources.tables import SERIES, samples
 from .base import FRAME, KEYS, SAMPLES, ceil_ts, floor_ts, frame, query, r, rounded, rs
 from .deciding import AS_OF, GUARD, GUARDED, INPUTS, decision_inputs, guarded
@@ -352,8 +352,9 @@ def status_rollup(spark, sf_dir):
 # -- whole flows ------------------------------------------------------------------------
 
 
-def trained(spark, sf_dir, base_path="models", store=False):
-    return flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path=base_path, store=store)
+def trained(spark, sf_dir, base_path="models", store=False, grid=None):
+    grid = frame(spark, sf_dir) if grid is None else grid
+    return flows.train(grid, SERIES, "ts", lookback=24, horizon=10, base_path=base_path, store=store)
 
 
 @query("training_run", "I1 I2 I5 I6 L1 L2 L5")
@@ -370,13 +371,19 @@ def control_tick(spark, sf_dir):
     Weights are those after the last cycle with actuals, and the cooldown runs from the last
     executed decision of the history.
     """
-    rows = frame(spark, sf_dir)
+    rows, clean = shared(spark, sf_dir)
+    # What a tick needs of the history is a row for each series; the rest goes before the next step.
+    pairs = forecast_pairs(spark, sf_dir, clean)
+    errors = ensemble.cycle_errors(pairs, CYCLE)
+    weights = materialise(ensemble.latest_weights(ensemble.adaptive_weights(errors, SERIES, "cycle"), SERIES, "cycle"), "weights")
+    release(pairs)
+    acted = guarded(spark, sf_dir, clean)
+    last = materialise(acted.filter("executed").groupBy(*SERIES).agg(F.max("ts").alias("last_executed")), "last-executed")
+    release(acted, clean)
     path = scratch_dir(spark, "models")
-    fitted = trained(spark, sf_dir, path, True)
+    fitted = trained(spark, sf_dir, path, True, rows)
     models = flows.load(fitted.registry, SERIES, path, fitted.columns)
-    errors = ensemble.cycle_errors(forecast_pairs(spark, sf_dir), CYCLE)
-    weights = ensemble.latest_weights(ensemble.adaptive_weights(errors, SERIES, "cycle"), SERIES, "cycle")
-    last = guarded(spark, sf_dir).filter("executed").groupBy(*SERIES).agg(F.max("ts").alias("last_executed"))
+    release(fitted.seasonal, fitted.sequence, fitted.scaler, fitted.limits)
     replicas = rows.groupBy(*SERIES).agg(F.max_by("ready_replicas", F.when(F.col("ready_replicas").isNotNull(), F.col("ts"))).cast("int").alias("current_replicas"))
     return flows.tick(
         rows, SERIES, "ts", models, replicas, last_executed=last, weights=weights, guard=GUARD, step_s=7200, lookback=24, horizon=10

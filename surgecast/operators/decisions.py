@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.blocks import DAY, carry, join_series, micros
-from ..session import materialise
+from ..session import materialise, release
 from .ensemble import replicas_for, unknown
 
 
@@ -150,10 +150,12 @@ def executed_times(
     line = carry(line.withColumn("_at", F.timestamp_micros("_line")), keys, "_at", {"_next": ahead}, order=["_line", "_kind"], slot_s=slot_s, backward=True)
     to = F.when(~F.col("_next.sure"), F.col("_next.us"))
     links = materialise(line.filter("_kind = 0").select(*keys, "_us", "_runs", to.alias("_to")), "candidate-links")
+    release(times)
 
     while not links.filter("_to IS NOT NULL").isEmpty():
         # Two doublings a round halve the tables written.
-        links = materialise(_double(_double(links, keys), keys), "candidate-links")
+        before, links = links, materialise(_double(_double(links, keys), keys), "candidate-links")
+        release(before)
     return links.filter("_runs").select(*keys, F.timestamp_micros("_us").alias(ts), F.lit(True).alias("_executed"))
 
 
