@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions
 from ..plans import flows
 from ..plans.blocks import OWN, POS, block_window, floor_to, micros, own_rows, row_blocks, with_positions
-from ..session import scratch_dir
+from ..session import release, scratch_dir
 from ..sources.tables import SERIES, bin_metrics, bin_sums, label_events
 from ..streaming import control, firing, ingest, weighting
 from .base import BY, FRAME, KEYS, SAMPLES, STEP_S, floor_ts, frame, query, r, rounded, rs
@@ -180,6 +180,8 @@ def streaming_model_tick(spark, sf_dir):
     """Closed bins go through a control cycle with stored models in each micro-batch."""
     path = scratch_dir(spark, "models")
     fitted = flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path=path, store=True)
+    # The loop reads the stored models.
+    release(fitted.seasonal, fitted.sequence, fitted.scaler, fitted.limits)
     bins = metric_bins(spark, sf_dir)
     loop = control.ControlLoop(
         spark, SERIES, lambda s: flows.load(fitted.registry, SERIES, path, fitted.columns), bins.schema,

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.decisions import DecisionConfig, GuardConfig
 from ..plans import flows
 from ..plans.model_store import children, remove
-from ..session import materialise, scratch_dir
+from ..session import materialise, release, scratch_dir
 from ..sources.tables import fill_grid
 
 #: How long metric history is kept, in seconds.
@@ -202,6 +202,7 @@ class ControlLoop:
         )
         path = f"{self.folder}/decisions/batch={batch_id}"
         made.write.mode("overwrite").parquet(path)
+        release(frame)
         now = spark.read.schema(made.schema).parquet(path).filter("executed").select(*self.keys, F.col("cycle").alias("last_executed"))
         both = now if last is None else last.unionByName(now)
         both.groupBy(*self.keys).agg(F.max("last_executed").alias("last_executed")).write.mode("overwrite").parquet(f"{self.folder}/executed/batch={batch_id}")

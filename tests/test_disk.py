@@ -116,7 +116,7 @@ def test_released_tables_are_gone_and_others_stay(spark):
     assert not os.path.exists(folder(gone)) and stays.count() == 3
 
 
-@pytest.mark.parametrize("name", ["training_run", "control_tick"])
+@pytest.mark.parametrize("name", ["training_run", "control_tick", "streaming_model_tick"])
 def test_large_tables_of_a_training_go_before_its_end(spark, sf_dir, name):
     """Rows that were cleaned, scaled or decided on are not on disk when the result is read; stored models once."""
     had = set(session._created)
