@@ -182,6 +182,8 @@ def streaming_model_tick(spark, sf_dir):
     fitted = flows.train(frame(spark, sf_dir), SERIES, "ts", lookback=24, horizon=10, base_path=path, store=True)
     # The loop reads the stored models.
     release(fitted.seasonal, fitted.sequence, fitted.scaler, fitted.limits)
+    # Open bins of all series wait outside the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", control.ROCKSDB)
     bins = metric_bins(spark, sf_dir)
     loop = control.ControlLoop(
         spark, SERIES, lambda s: flows.load(fitted.registry, SERIES, path, fitted.columns), bins.schema,
